@@ -107,3 +107,17 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def cpu_bound_memory() -> None:
     """Keep numpy's helper threads from multiplying with Spark's own task slots."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+#: Rows of at most two numbers that may be broadcast: some 64 MB in memory.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a stored table), marked for broadcast if it has no more than ``most`` rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``gone``; a null id stays."""
+    return docs.join(bounded(store(gone.distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quantloom.llm.language_id import op2_language_id
+from quantloom.llm.packing import op9_packing
 from quantloom.llm.sharding import op3_sharding
+from quantloom.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
+        "op6_simhash": op6_simhash,
+        "op9_packing": op9_packing,
     }
 
 

@@ -12,10 +12,10 @@ which are replaced. No shards, a non-prime size or more weight than slots is a `
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +36,8 @@ def lookup_table(shards: Sequence[str] | Mapping[str, int], size: int = TABLE_SI
     if not weights or not is_prime(size) or sum(weights.values()) > size:
         raise ValueError("needs shards, a prime table size and at most one turn per slot and round")
     names = list(weights)
-    offset = [zlib.crc32(b"offset:" + s.encode()) % size for s in names]
-    skip = [zlib.crc32(b"skip:" + s.encode()) % (size - 1) + 1 for s in names]
+    offset = [xxhash.xxh64_intdigest(s.encode(), 1) % size for s in names]
+    skip = [xxhash.xxh64_intdigest(s.encode(), 2) % (size - 1) + 1 for s in names]
     turns = [i for i, s in enumerate(names) for _ in range(weights[s])]
     owner = [-1] * size
     step = [0] * len(names)
