@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import language_id
+from quantloom.llm import decontamination, language_id, packing, pii, simhash
 from quantloom.llm.common import documents, store
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("simhash", simhash.stage),
+    ("decontamination", decontamination.stage),
+    ("pii", pii.stage),
+    ("packing", packing.stage),
 ]
 
 #: A tokenizer and a trained classifier take part, which SQL cannot express.

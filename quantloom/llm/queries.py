@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantloom.llm import decontamination
+from quantloom.llm.decontamination import op4_decontamination
 from quantloom.llm.language_id import op2_language_id
 from quantloom.llm.packing import op9_packing
+from quantloom.llm.pii import op8_pii
 from quantloom.llm.sharding import op3_sharding
 from quantloom.llm.simhash import op6_simhash
 
@@ -16,10 +19,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
+        "op4_decontamination": op4_decontamination,
         "op6_simhash": op6_simhash,
+        "op8_pii": op8_pii,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": decontamination.ORACLE_SQL}
