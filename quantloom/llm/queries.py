@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import decontamination
+from quantloom.llm import decontamination, topk
 from quantloom.llm.decontamination import op4_decontamination
 from quantloom.llm.language_id import op2_language_id
 from quantloom.llm.packing import op9_packing
 from quantloom.llm.pii import op8_pii
 from quantloom.llm.sharding import op3_sharding
 from quantloom.llm.simhash import op6_simhash
+from quantloom.llm.topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
+        "op10_topk": op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontamination.ORACLE_SQL}
+    return {"op4_decontamination": decontamination.ORACLE_SQL, "op10_topk": topk.ORACLE_SQL}
