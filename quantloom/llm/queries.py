@@ -13,11 +13,13 @@ from quantloom.llm.packing import op9_packing
 from quantloom.llm.pii import op8_pii
 from quantloom.llm.sharding import op3_sharding
 from quantloom.llm.simhash import op6_simhash
+from quantloom.llm.suffix_tree import op1_suffix_tree
 from quantloom.llm.topk import op10_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_tree": op1_suffix_tree,
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op4_decontamination": op4_decontamination,
