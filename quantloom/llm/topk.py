@@ -37,15 +37,20 @@ SCALE = 256
 SLICE_BITS = 6
 BLOCK = 1 << 15
 CHUNK = 256
-SAFE = 1 << 62
 
 
-def integers(values: np.ndarray) -> np.ndarray:
-    """floor(256 * x): int64 while sums of products stay safe, else Python integers."""
-    scaled = np.floor(values.astype(np.float64) * SCALE)
+def scaled_bytes(values: np.ndarray) -> bytes:
+    """floor(256 * x), as 16-bit integers if all fit, else as doubles."""
+    scaled = np.floor(values * SCALE)
+    return scaled.astype(np.int16 if not scaled.size or np.abs(scaled).max() < 1 << 15 else np.float64).tobytes()
+
+
+def integers(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """What :func:`scaled_bytes` packed: int64 while sums of products stay safe, else Python integers."""
+    scaled = np.frombuffer(raw, np.int16 if len(raw) == 2 * n * dim else np.float64).reshape(n, dim)
     if not scaled.size or np.abs(scaled).max() < (1 << 24):
         return scaled.astype(np.int64)
-    return np.array([[int(x) for x in row] for row in scaled], object).reshape(scaled.shape)
+    return np.array([[int(x) for x in row] for row in scaled], object).reshape(n, dim)
 
 
 def bitmap(flags: np.ndarray) -> np.ndarray:
@@ -56,20 +61,23 @@ def bitmap(flags: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=-1, bitorder="little").view(np.uint64)
 
 
+def sliced(exact: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Bits dropped, bits kept, and the bit slices (attributes x bits x words) of the rows of ``exact``."""
+    low = exact.min(axis=0)
+    spread = int((exact.max(axis=0) - low).max()) if exact.shape[1] else 0
+    drop, bits = max(0, spread.bit_length() - SLICE_BITS), min(spread.bit_length(), SLICE_BITS)
+    kept = ((exact - low) >> drop).astype(np.int64)
+    return drop, bits, np.stack([bitmap((kept.T >> b & 1).astype(bool)) for b in range(bits)], axis=1) if bits else np.zeros((exact.shape[1], 0, 0), np.uint64)
+
+
 class Block:
-    """Bit slices of the rows of ``exact`` (rows x attributes)."""
+    """Rows of the index: ids, numbers of their own, exact integers and the bit slices of these."""
 
-    def __init__(self, ids: np.ndarray, own: np.ndarray, exact: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, own: np.ndarray, exact: np.ndarray, index: tuple[int, int, np.ndarray] | None = None) -> None:
         self.ids, self.own, self.exact = ids, own, exact
-        n, self.dim = exact.shape
-        self.n = n
-        self.low = exact.min(axis=0)
-        spread = int((exact.max(axis=0) - self.low).max()) if self.dim else 0
-        self.drop = max(0, spread.bit_length() - SLICE_BITS)
-        self.bits = min(spread.bit_length(), SLICE_BITS)
-        kept = ((exact - self.low) >> self.drop).astype(np.int64)
-        self.slices = np.stack([bitmap((kept.T >> b & 1).astype(bool)) for b in range(self.bits)], axis=1) if self.bits else np.zeros((self.dim, 0, 0), np.uint64)
-        self.all = bitmap(np.ones((1, n), bool))[0]
+        self.n, self.dim = exact.shape
+        self.drop, self.bits, self.slices = index or sliced(exact)
+        self.all = bitmap(np.ones((1, self.n), bool))[0]
 
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Bit slices, least significant first, of the sum over attributes of |factor| * (kept value or its complement)."""
@@ -142,9 +150,9 @@ def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
 
 
-def packed(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (id, own, v) in runs of one vector length: (part, dim, n, ids, owns, values)."""
-    names = ["part", "dim", "n", "ids", "owns", "v"]
+def packed(rows: DataFrame, most: int, index: bool) -> DataFrame:
+    """Rows (id, own, v) in runs of one vector length: (part, dim, n, ids, owns, v) and, for an index, bit slices."""
+    names = ["part", "dim", "n", "ids", "owns", "v", "dropped", "bits", "slices"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
@@ -153,8 +161,10 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
 
         def flush(dim: int) -> pa.RecordBatch:
             ids, own, values = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            row = [[base + made], [dim], [len(ids)], [ids.tobytes()], [own.tobytes()], [values.tobytes()]]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            raw = scaled_bytes(values)
+            drop, bits, slices = sliced(integers(raw, *values.shape)) if index else (0, 0, np.zeros(0))
+            row = [[base + made], [dim], [len(ids)], [ids.tobytes()], [own.tobytes()], [raw], [drop], [bits], [slices.tobytes()]]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], names)
 
         for b in batches:
@@ -176,12 +186,11 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
             yield flush(dim)
             made += 1
 
-    return rows.mapInArrow(run, "part long, dim int, n int, ids binary, owns binary, v binary")
+    return rows.mapInArrow(run, "part long, dim int, n int, ids binary, owns binary, v binary, dropped int, bits int, slices binary")
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values = np.frombuffer(row["v"], np.float64).reshape(row["n"], row["dim"])
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owns"], np.int64), integers(values)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["owns"], np.int64), integers(row["v"], row["n"], row["dim"])
 
 
 def order_key(s: int) -> bytes:
@@ -195,7 +204,8 @@ def meet(queries: pa.Table, blocks: pa.Table, k: int) -> pa.Table:
     """The k best of each block for each query of the chunks."""
     out: list[tuple] = []
     for b in blocks.to_pylist():
-        block = Block(*unpacked(b))
+        slices = np.frombuffer(b["slices"], np.uint64).reshape(b["dim"], b["bits"], -1 if b["bits"] else 0)
+        block = Block(*unpacked(b), (b["dropped"], b["bits"], slices))
         for q in queries.to_pylist():
             for query_id, own, values in zip(*unpacked(q), strict=True):
                 if values.dtype != block.exact.dtype:
@@ -215,8 +225,8 @@ def top_k(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k
     asked = rows.where(F.pmod("id", F.lit(every)) == 0)
     n_asked = asked.count()
     groups, chunks = max(1, -(-n // BLOCK)), max(1, -(-n_asked // CHUNK))
-    index = store(packed(rows.repartition(groups, F.xxhash64("own")), BLOCK), "bit-slices")
-    query = store(packed(asked.repartition(chunks, F.xxhash64("own")), CHUNK), "query-chunks")
+    index = store(packed(rows.repartition(groups), BLOCK, True), "bit-slices")
+    query = store(packed(asked.repartition(chunks), CHUNK, False), "query-chunks")
     # blocks and chunks are dealt to a grid; every pair of a block and a chunk of one length meets in one cell of it
     g, c = min(groups, 1024), min(chunks, 1024)
     left = query.withColumn("cell_c", F.pmod(F.xxhash64("part"), F.lit(c))).withColumn("cell_g", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
