@@ -17,8 +17,9 @@ Candidates are counted length by length over all training texts. Every prefix an
 the candidates are the states of an automaton, and scoring steps through many stretches of text at once.
 
 For the base score words are counted over all training texts too. A task splits its documents in chunks and writes
-each document as numbers of words of its chunk, and each chunk's words with their training counts. Counts are summed
-by word in one shuffle and go back to the chunks by a join of chunk words (not of occurrences).
+each document as numbers of words of its chunk, and each chunk's words, packed by part (a hash of the word), with
+their training counts. A part sums the counts of its words over all chunks, in one shuffle of chunk words (not of
+occurrences), and sends each chunk the sums of its words.
 
 Cases: a null text is empty: just the end; with nothing to train on the base score is 0 for every text and the tree
 is uniform; words only in held-out texts have count 0; repeated rows count as often as they occur; an empty table
@@ -29,17 +30,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import crc_mod, documents, row_groups, segment_sums, store, text_bytes
 
-DEPTH = 6
-LEAST_SHARE = 1e-5
+DEPTH = 5
+LEAST_SHARE = 2e-5
 DIVERGENCE = 20.0
 CHUNK_BYTES = 16 << 20
 #: Weight of whole words beside the tree, and what is taken off each word's count for the tree.
@@ -62,45 +64,43 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def blanked(text: str) -> Column:
+    """The text between two blanks, so that :func:`canonical` needs to insert nothing."""
+    return F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" "))
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts as boundary, word, boundary, word .. boundary, and where each begins (n+1)."""
-    n = len(offsets) - 1
-    # a blank after each text parts it from the next; only the first blank of a run is kept
-    raw = np.full(len(data) + n, BOUNDARY, np.uint8)
-    raw[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))] = _FOLD[data]
+    """Bytes of all blanked texts as boundary, word, boundary, word .. boundary, and where each begins (n+1)."""
+    raw = _FOLD[data]
     space = _SPACE[raw]
-    starts = offsets[:-1] + np.arange(n)
-    after = np.empty(len(raw), bool)  # preceded by a blank or the start of a text
-    after[1:] = space[:-1]
-    after[starts] = True
-    keep = ~(space & after)
     raw[space] = BOUNDARY
-    kept = np.concatenate(([0], np.cumsum(keep)))[np.concatenate((starts, [len(raw)]))]
-    out = np.full(int(kept[-1]) + n, BOUNDARY, np.uint8)
-    out[np.arange(int(kept[-1])) + np.repeat(np.arange(1, n + 1), np.diff(kept))] = raw[keep]
-    return out, kept + np.arange(n + 1)
+    gone = np.zeros(len(raw), bool)  # a blank after a blank of the same text
+    np.logical_and(space[1:], space[:-1], out=gone[1:])
+    gone[offsets[:-1]] = False
+    keep = ~gone
+    return raw[keep], np.concatenate(([0], np.cumsum(np.add.reduceat(keep, offsets[:-1], dtype=np.int64))))
 
 
 def streams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, canonical bytes, starts) of runs of texts of about BLOCK bytes; a longer text stands alone."""
+    """(first row, canonical bytes, starts) of runs of blanked texts of about BLOCK bytes; a longer text stands alone."""
     data, offsets = text_bytes(column)
     for i, j in row_groups(offsets, BLOCK):
         yield (i, *canonical(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
 
 
 def byte_counts(texts: DataFrame) -> np.ndarray:
-    """How often each byte follows something in the canonical texts of ``texts`` (text)."""
+    """How often each byte follows something in the canonical texts of ``texts`` (blank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, np.int64)
         for b in batches:
-            for _, s, starts in streams(b.column("text")):
+            for _, s, starts in streams(b.column("blank")):
                 n += np.bincount(s, minlength=256)
                 n[BOUNDARY] -= len(starts) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
 
     out = np.zeros(256, np.int64)
-    for r in texts.select("text").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("blank").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r["byte"]] = r["n"]
     return out
 
@@ -138,68 +138,73 @@ def alphabet(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbol, rare
 
 
-def position_in_text(starts: np.ndarray, most: int) -> np.ndarray:
-    """For each canonical byte how many bytes of its own text precede it, up to ``most``."""
-    return np.minimum(np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts)), most)
+def known(starts: np.ndarray, d: int) -> np.ndarray:
+    """Which positions have at least ``d`` symbols of their own text before them."""
+    out = np.ones(int(starts[-1]), bool)
+    for k in range(d):
+        at = starts[:-1] + k
+        out[at[at < len(out)]] = False
+    return out
 
 
-def shorter_place(y: np.ndarray, known: np.ndarray, contexts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that follow a candidate of length ``depth``, and which one."""
-    at = np.flatnonzero(known >= depth)
-    key = np.zeros(len(at), np.int64)
-    for d in range(min(depth, 3), 0, -1):
-        key = key << 6 | y[at - d]
-    table = np.full(SYMBOLS ** min(depth, 3), -1, np.int32)
-    table[contexts[min(depth, 3)]] = np.arange(len(contexts[min(depth, 3)]))
+def places(y: np.ndarray, contexts: list[np.ndarray], depth: int) -> np.ndarray:
+    """For each position which candidate of length ``depth`` precedes it, from 1; 0 if none (or if it cannot be known)."""
+    n, first = len(y), min(depth, 3)
+    key = np.zeros(n, np.int32)
+    for d in range(first, 0, -1):
+        key[d:] |= y[: n - d].astype(np.int32) << (6 * (d - 1))
+    table = np.zeros(SYMBOLS**first, np.int32)
+    table[contexts[first]] = np.arange(1, len(contexts[first]) + 1)
     place = table[key]
     for d in range(4, depth + 1):
-        ok = place >= 0
-        at, place = at[ok], place[ok]
-        # candidates are sorted with the oldest symbol highest, so those of one more symbol are found by their suffix
-        suffix = np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 6 * (d - 1)) - 1))
-        table = np.full(len(contexts[d - 1]) * SYMBOLS, -1, np.int32)
-        table[suffix * SYMBOLS + (contexts[d] >> 6 * (d - 1))] = np.arange(len(contexts[d]))
-        place = table[place.astype(np.int64) * SYMBOLS + y[at - d]]
-    ok = place >= 0
-    return at[ok], place[ok]
+        # the oldest symbol stands highest, so a candidate is found by its suffix and that symbol
+        suffix = np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 6 * (d - 1)) - 1)) + 1
+        table = np.zeros((len(contexts[d - 1]) + 1) * SYMBOLS, np.int32)
+        table[suffix * SYMBOLS + (contexts[d] >> 6 * (d - 1))] = np.arange(1, len(contexts[d]) + 1)
+        step = place * np.int32(SYMBOLS)
+        step[d:] += y[: n - d]
+        place = table[step]
+    return place
 
 
 def next_counts(texts: DataFrame, symbol: np.ndarray, contexts: list[np.ndarray], d: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """(context << 6 | next, count) of contexts of ``d`` symbols that at least ``least`` symbols follow.
 
-    For d = 3 the shorter ones come with it (a list by length); longer ones extend the candidates of length d - 1.
+    For d = 3 the shorter ones come with it (a list by length); longer ones extend candidates of length d - 1 at either
+    end.
     """
     sent = texts.sparkSession.sparkContext.broadcast((symbol, contexts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_symbol, kept = sent.value
-        size = SYMBOLS**4 if d == 3 else len(kept[d - 1]) * SYMBOLS**2
-        dense = np.zeros(size, np.int64) if size <= COUNTERS else None
+        size = SYMBOLS**4 if d == 3 else (len(kept[d - 1]) + 1) * SYMBOLS**2
+        dense = np.zeros(size, np.int64 if d == 3 else np.int32) if size <= COUNTERS else None
         short = [np.zeros(SYMBOLS ** (k + 1), np.int64) for k in range(3)]
         sparse: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for _, s, starts in streams(b.column("text")):
-                y, known = to_symbol[s], position_in_text(starts, d)
+            for _, s, starts in streams(b.column("blank")):
+                y = to_symbol[s]
+                n = len(y)
                 if d == 3:
                     for k in (1, 2):
-                        at = np.flatnonzero(known == k)
+                        at = starts[:-1] + k
+                        at = at[at < starts[1:]]
                         key = np.zeros(len(at), np.int64)
                         for x in range(k, -1, -1):
                             key = key << 6 | y[at - x]
-                        short[k] += np.bincount(key, minlength=len(short[k]))
-                    at = np.flatnonzero(known >= 3)
-                    key = np.zeros(len(at), np.int64)
+                        np.add.at(short[k], key, 1)
+                    key = np.zeros(n, np.int32)
                     for x in (3, 2, 1, 0):
-                        key = key << 6 | y[at - x]
+                        key[x:] |= y[: n - x].astype(np.int32) << (6 * x)
+                    key = key[known(starts, 3)]
                 else:
-                    at, place = shorter_place(y, known, kept, d - 1)
-                    ok = known[at] >= d
-                    at, place = at[ok], place[ok].astype(np.int64)
-                    key = place << 12 | y[at - d].astype(np.int64) << 6 | y[at]
+                    place = places(y, kept, d - 1)
+                    ok = known(starts, d)
+                    ok[1:] &= (place[1:] > 0) & (place[:-1] > 0)
+                    at = np.flatnonzero(ok)
+                    key = place[at].astype(np.int64) << 12 | y[at - d].astype(np.int64) << 6 | y[at]
                 if dense is not None:
-                    dense += np.bincount(key, minlength=size) if len(key) * 8 > size else 0
-                    if len(key) * 8 <= size:
-                        np.add.at(dense, key, 1)
+                    np.add.at(dense, key, 1)
                 else:
                     sparse.append(np.unique(key, return_counts=True))
                     if len(sparse) > 32:
@@ -212,10 +217,10 @@ def next_counts(texts: DataFrame, symbol: np.ndarray, contexts: list[np.ndarray]
             found.append((d, *merged(sparse)))
         for k, key, n in found:
             if k == d and d > 3:
-                key = kept[d - 1][key >> 12] << 6 | (key & 63) | (key >> 6 & 63) << 6 * d
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.astype(np.int64)), pa.array(n)], ["d", "key", "n"])
+                key = kept[d - 1][(key >> 12) - 1] << 6 | (key & 63) | (key >> 6 & 63) << 6 * d
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["d", "key", "n"])
 
-    pairs = texts.select("text").mapInArrow(run, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+    pairs = texts.select("blank").mapInArrow(run, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
     if d > 3:
         pairs = pairs.groupBy(F.shiftright("key", 6).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next")).where(F.col("total") >= least).select(F.explode("next").alias("x")).select(F.lit(d).alias("d"), "x.key", "x.n")
     # up to three symbols: at most SYMBOLS ** 4 rows; beyond: at most SYMBOLS / LEAST_SHARE rows
@@ -284,6 +289,7 @@ def jumps(tree: Tree) -> np.ndarray:
 
 def train(texts: DataFrame) -> Tree:
     """The tree of all rows of ``texts`` (text)."""
+    texts = texts.select(blanked("text").alias("blank"))
     counts = byte_counts(texts)
     symbol, rare = alphabet(counts)
     total = int(counts.sum())
@@ -348,63 +354,83 @@ class Scorer:
 
 # ---- words of chunks -------------------------------------------------------------------------------------------
 
-_NAMES = ["chunk", "doc_id", "train", "ids", "spelled", "word", "lid", "n"]
+_NAMES = ["chunk", "doc_id", "train", "ids", "spelled", "part", "words", "n"]
+
 
+def chunked(df: DataFrame, tree: Broadcast, parts: int) -> DataFrame:
+    """Rows of documents (chunk, doc_id, train, ids, spelled: the tree's score of each word) and of a chunk's words.
 
-def chunked(df: DataFrame, tree: Broadcast) -> DataFrame:
-    """Rows of documents (chunk, doc_id, train, ids, spelled: the tree's score of each word) and of words (chunk, word, lid, n: training count), in one pass."""
+    The words of a chunk are numbered part by part; a row (chunk, part, words, n) has those of a part, joined by
+    blanks, in the order of their numbers, and their training counts.
+    """
     kind = df.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
         made, size = 0, 0
-        known: dict[bytes, int] = {}
+        count: dict[bytes, int] = {}
         docs: list[tuple] = []
+        doc_type = pa.int64()
+        scorer = Scorer(tree.value)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, size
             chunk = base + made
-            counts = np.zeros(len(known), np.int64)
-            for _, train, ids, _ in docs:
-                if train:
-                    counts += np.bincount(ids, minlength=len(known))
-            for a in range(0, len(docs), 1_000):
-                part = docs[a : a + 1_000]
-                n = len(part)
-                none = pa.nulls(n)
-                columns = [pa.array([chunk] * n), pa.array([x[0] for x in part], doc_type), pa.array([x[1] for x in part]), pa.array([x[2].tobytes() for x in part], pa.binary()), pa.array([x[3].tobytes() for x in part], pa.binary()), none.cast(pa.string()), none.cast(pa.int32()), none.cast(pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, _NAMES)
-            words = list(known)
-            for a in range(0, len(words), 100_000):
-                part = words[a : a + 100_000]
-                n = len(part)
-                none = pa.nulls(n)
-                columns = [pa.array([chunk] * n), none.cast(doc_type), none.cast(pa.bool_()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(counts[a : a + n])]
+            words = np.array(list(count), object)
+            part = np.fromiter((crc32(w) % parts for w in words), np.int32, len(words))
+            order = np.argsort(part, kind="stable")
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words), dtype=np.int32)
+            n = np.zeros(len(words), np.int64)
+            for a in range(0, len(docs), 2_000):
+                some = docs[a : a + 2_000]
+                ids = [number[x[2]] for x in some]
+                for x, i in zip(some, ids, strict=True):
+                    if x[1]:
+                        np.add.at(n, i, 1)
+                none = pa.nulls(len(some))
+                columns = [pa.array([chunk] * len(some)), pa.array([x[0] for x in some], doc_type), pa.array([x[1] for x in some]), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([x[3].tobytes() for x in some], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, _NAMES)
+            words, part = words[order], part[order]
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            none = pa.nulls(len(pairs))
+            columns = [pa.array([chunk] * len(pairs), pa.int64()), none.cast(doc_type), none.cast(pa.bool_()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(part[cuts[:-1]]), pa.array([b" ".join(words[i:j]) for i, j in pairs], pa.binary()), pa.array([n[i:j].tobytes() for i, j in pairs], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _NAMES)
             made, size = made + 1, 0
-            known.clear()
+            count.clear()
             docs.clear()
 
-        doc_type = pa.int64()
-        scorer = Scorer(tree.value)
         for b in batches:
             doc_type = b.column("doc_id").type
-            raw = b.column("text").cast(pa.binary()).to_pylist()
+            raw = b.column("blank").cast(pa.binary()).to_pylist()
             # half precision is enough beside a word's other half and keeps the table small
-            spelled, cuts = scorer.words(b.column("text"))
+            spelled, cuts = scorer.words(b.column("blank"))
             spelled = np.maximum(spelled, -65_000).astype(np.float16)
             for k, (d, t, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), raw, strict=True)):
-                p = spelled[cuts[k] : cuts[k + 1]]
-                words = (text or b"").lower().split()
-                ids = np.array([known.setdefault(w, len(known)) for w in words], np.int32)
-                docs.append((d, t, ids, p))
-                size += len(text or b"")
+                words = text.lower().split()
+                ids = np.array([count.setdefault(w, len(count)) for w in words], np.int32)
+                docs.append((d, t, ids, spelled[cuts[k] : cuts[k + 1]]))
+                size += len(text)
                 if size >= CHUNK_BYTES:
                     yield from flush()
         if docs:
             yield from flush()
 
-    return df.mapInArrow(run, f"chunk long, doc_id {kind.simpleString()}, train boolean, ids binary, spelled binary, word string, lid int, n long")
+    return df.select("doc_id", "train", blanked("text").alias("blank")).mapInArrow(run, f"chunk long, doc_id {kind.simpleString()}, train boolean, ids binary, spelled binary, part int, words binary, n binary")
+
+
+def summed(words: pa.Table) -> pa.Table:
+    """Of one part: for each chunk the training counts of its words over all chunks, and how many words and counts there are."""
+    rows = words.to_pylist()
+    total: dict[bytes, int] = {}
+    for r in rows:
+        for w, n in zip(r["words"].split(b" "), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
+            total[w] = total.get(w, 0) + n
+    sums = [np.fromiter(map(total.__getitem__, r["words"].split(b" ")), np.int64).tobytes() for r in rows]
+    kinds, n = sum(x > 0 for x in total.values()), sum(total.values())
+    stats = [(kinds, n), *[(0, 0)] * (len(rows) - 1)]
+    return pa.table({"of": pa.array([r["chunk"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32()), "c": pa.array(sums, pa.binary()), "kinds": pa.array([k for k, _ in stats], pa.int64()), "words": pa.array([x for _, x in stats], pa.int64())})
 
 
 # ---- scoring ---------------------------------------------------------------------------------------------------
@@ -415,24 +441,23 @@ def score(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     kind = df.schema["doc_id"].dataType.simpleString()
     tree = spark.sparkContext.broadcast(train(df.where("train")))
-    told = store(chunked(df.select("doc_id", "train", "text"), tree), "chunks")
-    docs, words = told.where("word is null").select("chunk", "doc_id", "train", "ids", "spelled"), told.where("word is not null").select("chunk", "word", "lid", "n")
-    counts = store(words.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
-    seen = counts.where("c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    told = store(chunked(df, tree, parts), "chunks")
+    docs = told.where("part is null").select("chunk", "doc_id", "train", "ids", "spelled")
+    sums = told.where("part is not null").select("chunk", "part", "words", "n").groupBy("part").applyInArrow(summed, "of long, part int, c binary, kinds long, words long")
+    placed = store(sums, "word-sums")
+    seen = placed.agg(F.sum("kinds").alias("v"), F.sum("words").alias("n")).first()
     ends = docs.where("train").count()
-    words_all, kinds = seen["n"] or 0, seen["v"]
-    n_all, v_all = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
+    words_all, kinds = seen["n"] or 0, seen["v"] or 0
+    n_all, v_all = words_all + ends, kinds + (ends > 0)
     stop = np.log10((ends + 1) / (n_all + 2))
     go = np.log10(1 - (ends + 1) / (n_all + 2))
     # shares of the two halves: a word's own, for each discounted occurrence, and the tree's
     each = WORD_SHARE / words_all if words_all else 0.0
     tree_share = 1 - WORD_SHARE + each * DISCOUNT * kinds if words_all else 1.0
     base = np.log10(n_all + v_all + 1)
-    placed = words.join(counts, "word").select(F.col("chunk").alias("of"), "lid", "c")
-
     def add(d: pa.Table, w: pa.Table) -> pa.Table:
-        c = np.zeros(len(w), np.int64)
-        c[w["lid"].to_numpy()] = w["c"].to_numpy()
+        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, x in sorted(zip(w["part"].to_pylist(), w["c"].to_pylist(), strict=True)))])
         log_c = np.log10(c + 1.0)
         own = each * np.maximum(c - DISCOUNT, 0.0)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
@@ -448,7 +473,7 @@ def score(df: DataFrame) -> DataFrame:
         return pa.table({"doc_id": d["doc_id"], "train": d["train"], "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n_all] * len(d), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
     schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(placed.groupBy("of")).applyInArrow(add, schema)
+    return docs.groupBy("chunk").cogroup(placed.select("of", "part", "c").groupBy("of")).applyInArrow(add, schema)
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

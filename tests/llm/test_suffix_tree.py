@@ -98,7 +98,7 @@ def test_tree_against_brute_force(spark, sample, monkeypatch):
     want, symbol, rare = brute_tree(texts)
     assert (tree.symbol == symbol).all() and sum(int(k.sum()) for k in tree.retained) == len(want) > 50
     asked = [*texts[:10], *(t for _, t in sample[60:70]), "unseen w\xf6rd", "", "z" * 500, " lead  and trail \n", "\u65e5\u672c"]
-    each, cuts = st.Scorer(tree).words(pa.array(asked))
+    each, cuts = st.Scorer(tree).words(pa.array([f" {t} " for t in asked]))
     got = [each[a:b].sum() for a, b in zip(cuts, cuts[1:])]
     assert [b - a for a, b in zip(cuts, cuts[1:])] == [len(tokens(t)) for t in asked]
     assert np.allclose(got, [brute_score(want, symbol, rare, t) for t in asked], rtol=1e-4)
