@@ -1,0 +1,78 @@
+"""Walk-forward backtests. Rebalances do not depend on each other, so all of them run side by side; only turnover
+looks at the rebalance before, and that is a join afterwards."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quantloom.functions import constants as C
+from quantloom.functions.solver import Limits, frontier
+from quantloom.operators.panel import month_end_dates
+
+
+def rebalance_dates(dates: DataFrame, start: str) -> DataFrame:
+    """(as_of, until): month ends from the month before ``start``, each with the one that follows it (or none)."""
+    first = F.add_months(F.trunc(F.lit(start).cast("date"), "month"), -1)
+    ends = month_end_dates(dates).where(F.trunc("date", "month") >= first)
+    return ends.select(F.col("date").alias("as_of"), F.lead("date").over(Window.orderBy("date")).alias("until"))
+
+
+def held_returns(weights: DataFrame, rebalances: DataFrame, returns: DataFrame) -> DataFrame:
+    """(portfolio, date, ret): the weights of a rebalance earn the returns after it, up to and with the next one.
+
+    ``weights``: (portfolio, as_of, symbol, weight). Each date is given its rebalance once (a lookup in the short
+    list of rebalances, broadcast), so weights and returns meet in an equi-join.
+    """
+    dates = returns.select("date").distinct()
+    spans = F.broadcast(rebalances)
+    held = dates.join(spans, (F.col("date") > F.col("as_of")) & (F.col("until").isNull() | (F.col("date") <= F.col("until"))))
+    rows = returns.join(F.broadcast(held.select("date", "as_of")), "date").join(weights, ["as_of", "symbol"])
+    return rows.groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"))
+
+
+def turnover(weights: DataFrame) -> DataFrame:
+    """(portfolio, as_of, turnover): half the absolute change of target weights, from the second rebalance on."""
+    dates = weights.select("portfolio", "as_of").distinct()
+    order = Window.partitionBy("portfolio").orderBy("as_of")
+    pairs = dates.withColumn("prior", F.lag("as_of").over(order)).where("prior IS NOT NULL")
+    now = pairs.join(weights, ["portfolio", "as_of"]).select("portfolio", "as_of", "symbol", "weight")
+    before = pairs.join(weights.select("portfolio", F.col("as_of").alias("prior"), "symbol", (-F.col("weight")).alias("weight")), ["portfolio", "prior"]).select("portfolio", "as_of", "symbol", "weight")
+    change = now.unionByName(before).groupBy("portfolio", "as_of", "symbol").agg(F.sum("weight").alias("d"))
+    return change.groupBy("portfolio", "as_of").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
+
+
+def walk_forward(history: DataFrame, rebalances: DataFrame, halflife: float = C.EWMA_HALFLIFE, points: int = C.BACKTEST_FRONTIER_POINTS, least: int = 12, limits: Callable[[list[str]], Limits] | None = None) -> DataFrame:
+    """(portfolio, as_of, symbol, weight) of the least-variance, best-Sharpe and equal portfolios of every rebalance.
+
+    ``history`` is (date, symbol, ret). A rebalance sees only what is dated up to it: history is dealt to the
+    rebalances by a join with the short list of dates, and each is estimated and solved in one task.
+    """
+    schema = "portfolio string, as_of date, symbol string, weight double"
+    seen = history.join(F.broadcast(rebalances.select("as_of")), F.col("date") <= F.col("as_of")).select("as_of", "date", "symbol", "ret")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        as_of = pdf["as_of"].iloc[0]
+        wide = pdf.pivot_table(index="date", columns="symbol", values="ret").sort_index()
+        wide = wide.loc[:, wide.notna().sum() >= least].dropna()
+        symbols = list(wide.columns)
+        if len(symbols) < 2 or len(wide) < least:
+            return pd.DataFrame(columns=["portfolio", "as_of", "symbol", "weight"])
+        x = wide.to_numpy(float)
+        w = 0.5 ** (np.arange(len(x))[::-1] / halflife)
+        mean = w @ x / w.sum()
+        centred = x - mean
+        sigma = (centred.T * w) @ centred / w.sum() * w.sum() ** 2 / (w.sum() ** 2 - (w**2).sum())
+        sigma += np.diag(np.diag(sigma)) * 0.1  # specific part: keeps few dates from looking riskless
+        lim = limits(symbols) if limits else Limits(cap=C.MAX_STOCK_WEIGHT, soft=True, penalty=C.STOCK_SOFT_PENALTY)
+        path = [p for p in frontier(sigma, mean, points, lim) if p["converged"]]
+        if not path:
+            return pd.DataFrame(columns=["portfolio", "as_of", "symbol", "weight"])
+        picks = {"GMV": path[0]["weights"], "Max-Sharpe": max(path, key=lambda p: p["sharpe"] or -np.inf)["weights"], "Equal-Weight": np.full(len(symbols), 1 / len(symbols))}
+        return pd.DataFrame([(name, as_of, s, float(v)) for name, ws in picks.items() for s, v in zip(symbols, ws, strict=True)], columns=["portfolio", "as_of", "symbol", "weight"])
+
+    return seen.groupBy("as_of").applyInPandas(solve, schema)
