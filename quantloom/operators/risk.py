@@ -6,17 +6,18 @@ aggregation, so only the latest matrix is computed, not one for each day.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import constants as C
 
 
 def _aged(series: DataFrame, halflife: float) -> DataFrame:
-    """With the weight of each date, counted back over the distinct dates of the whole table."""
+    """With the weight w of each date, counted back over the distinct dates of the whole table, and their number."""
     dates = series.select("date").distinct()
-    aged = dates.select("date", (F.row_number().over(Window.orderBy(F.desc("date"))) - 1).alias("age"))
-    return series.join(F.broadcast(aged.select("date", F.pow(F.lit(0.5), F.col("age") / halflife).alias("w"))), "date")
+    last = Window.orderBy(F.desc("date"))
+    aged = dates.select("date", (F.row_number().over(last) - 1).alias("age"), F.count("*").over(Window.partitionBy()).alias("n_dates"))
+    return series.join(F.broadcast(aged.select("date", F.pow(F.lit(0.5), F.col("age") / halflife).alias("w"), "n_dates")), "date")
 
 
 def ewma_mean(series: DataFrame, by: str = "factor", value: str = "ret", halflife: float = C.EWMA_HALFLIFE) -> DataFrame:
@@ -24,13 +25,14 @@ def ewma_mean(series: DataFrame, by: str = "factor", value: str = "ret", halflif
     return good.groupBy(by).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
 
 
-def _unbiased(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+def _unbiased(rows: DataFrame, by: list[str], x: str, y: str, *more: Column) -> DataFrame:
     """by, n, cov: weighted covariance with the reliability correction, means first and then products."""
     w = Window.partitionBy(*by)
     mean = {"_mx": F.sum(F.col("w") * F.col(x)).over(w) / F.sum("w").over(w), "_my": F.sum(F.col("w") * F.col(y)).over(w) / F.sum("w").over(w)}
-    sums = rows.withColumns(mean).groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_my"))).alias("s"))
+    sums = rows.withColumns(mean).groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * (F.col(x) - F.col("_mx")) * (F.col(y) - F.col("_my"))).alias("s"), *more)
     free = F.col("sw") * F.col("sw") - F.col("sww")
-    return sums.select(*by, "n", (F.col("s") / F.col("sw") * F.col("sw") * F.col("sw") / F.when(free != 0, free)).alias("cov"))
+    rest = [c for c in sums.columns if c not in (*by, "n", "sw", "sww", "s")]
+    return sums.select(*by, "n", *rest, (F.col("s") / F.col("sw") * F.col("sw") * F.col("sw") / F.when(free != 0, free)).alias("cov"))
 
 
 def ewma_covariance(series: DataFrame, value: str = "ret", halflife: float = C.EWMA_HALFLIFE, least: int | None = None) -> DataFrame:
@@ -38,15 +40,17 @@ def ewma_covariance(series: DataFrame, value: str = "ret", halflife: float = C.E
 
     ``least`` is by default twice the half-life, but never more than one less than the number of dates.
     """
-    good = _aged(series, halflife).where(F.col(value).isNotNull()).select("date", "factor", "w", F.col(value).alias("x"))
-    other = good.select("date", F.col("factor").alias("col"), F.col("x").alias("y"))
-    pairs = good.withColumnRenamed("factor", "row").join(other, "date").where("row <= col")
-    half = _unbiased(pairs, ["row", "col"], "x", "y")
-    if least is None:
-        n = series.select("date").distinct().count()
-        least = max(1, min(2 * int(halflife), n - 1))
-    half = half.withColumn("cov", F.when(F.col("n") >= least, F.col("cov"))).drop("n")
-    return half.unionByName(half.where("row <> col").select(F.col("col").alias("row"), F.col("row").alias("col"), "cov"))
+    good = _aged(series, halflife).where(F.col(value).isNotNull())
+    # the factors of a date are a short list (the design columns), so its pairs are made in place, without a self-join
+    daily = good.groupBy("date", "w", "n_dates").agg(F.collect_list(F.struct("factor", F.col(value).alias("x"))).alias("all"))
+    pairs = daily.select("w", "n_dates", "all", F.explode("all").alias("a")).select("w", "n_dates", F.col("a.factor").alias("row"), F.col("a.x").alias("x"), F.explode("all").alias("b"))
+    pairs = pairs.select("w", "n_dates", "row", F.col("b.factor").alias("col"), "x", F.col("b.x").alias("y")).where("row <= col")
+    half = _unbiased(pairs, ["row", "col"], "x", "y", F.first("n_dates").alias("n_dates"))
+    enough = F.lit(least) if least is not None else F.greatest(F.lit(1), F.least(F.lit(2 * int(halflife)), F.col("n_dates") - 1))
+    half = half.select("row", "col", F.when(F.col("n") >= enough, F.col("cov")).alias("cov"))
+    # both halves of the matrix from one row, not by a second pass
+    both = F.when(F.col("row") == F.col("col"), F.array(F.struct("row", "col"))).otherwise(F.array(F.struct("row", "col"), F.struct(F.col("col").alias("row"), F.col("row").alias("col"))))
+    return half.select(F.explode(both).alias("at"), "cov").select("at.row", "at.col", "cov")
 
 
 def ewma_specific_risk(residuals: DataFrame, value: str = "residual", halflife: float = C.EWMA_HALFLIFE, days: int = C.TRADING_DAYS_PER_YEAR, least: int | None = None) -> DataFrame:

@@ -8,8 +8,11 @@ a calendar year, and industries are shares of revenue by the supplier's region.
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,29 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
+#: Intermediate tables that several queries use, by application: small panels, computed once and kept.
+_SHARED: OrderedDict[tuple, DataFrame] = OrderedDict()
+SHARED_TABLES = 64
+
+
+def shared(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Persist what ``f(spark, sf, ...)`` returns and give it to later callers; lost parts are computed again."""
+
+    @wraps(f)
+    def get(spark: SparkSession, sf: str, *args) -> DataFrame:
+        key = (spark.sparkContext.applicationId, f.__module__, f.__name__, sf, args)
+        if key not in _SHARED:
+            _SHARED[key] = f(spark, sf, *args).persist(StorageLevel.MEMORY_AND_DISK)
+            while len(_SHARED) > SHARED_TABLES:
+                old, df = _SHARED.popitem(last=False)
+                if old[0] == key[0]:
+                    df.unpersist()
+        _SHARED.move_to_end(key)
+        return _SHARED[key]
+
+    return get
+
+
 def r6(c: str | Column, places: int = 6) -> Column:
     """Rounded, without a negative zero: engines add in different orders."""
     return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
@@ -51,16 +77,19 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return line.join(part, line["l_partkey"] == part["p_partkey"]).drop("l_partkey", "p_partkey")
 
 
+@shared
 def prices(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     date = F.col("day") if unit == "day" else F.trunc("day", unit)
     return lines(spark, sf).groupBy("symbol", date.alias("date")).agg((F.sum("ext") / F.sum("qty")).alias("price"), F.sum("qty").alias("volume"))
 
 
+@shared
 def panel(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     """The full grid with price, volume and ret."""
     return P.with_returns(P.full_grid(prices(spark, sf, unit)))
 
 
+@shared
 def market(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     """(date, price, market_ret) of all brands together."""
     line = table(spark, sf, "lineitem")
@@ -69,6 +98,7 @@ def market(spark: SparkSession, sf: str, unit: str = "month") -> DataFrame:
     return P.with_returns(px, out="market_ret").drop("symbol")
 
 
+@shared
 def annual(spark: SparkSession, sf: str) -> DataFrame:
     li = lines(spark, sf).withColumn("fiscal_year_end", F.make_date(F.year("day"), F.lit(12), F.lit(31)))
     net = F.col("ext") * (1 - F.col("disc"))
@@ -96,6 +126,7 @@ def annual(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@shared
 def industries(spark: SparkSession, sf: str) -> DataFrame:
     """(symbol, one column a region): shares of revenue, which sum to one."""
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("suppkey"), "s_nationkey")
@@ -150,7 +181,8 @@ def with_ctes(body: str) -> str:
     body = body.strip()
     if not head:
         return body
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    start = re.match(r"WITH\s+(RECURSIVE\s+)?", body)
+    return f"WITH {start[1] or ''}{head}, {body[start.end():]}" if start else f"WITH {head} {body}"
 
 
 def zsql(value: str, source: str, by: str = "date", extra: str = "") -> str:

@@ -11,7 +11,7 @@ from quantloom.operators import fundamentals as R
 from quantloom.operators import panel as P
 from quantloom.operators import standardize as S
 from quantloom.plans import base as B
-from quantloom.plans.base import query, r6, rounded, zsql
+from quantloom.plans.base import query, r6, rounded, shared, zsql
 
 N = 12  # months of a lookback here
 
@@ -136,6 +136,7 @@ def quality_composite(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(X.quality_composite(point_in_time(spark, sf, ["roa", "roe"])).select("date", "symbol", "quality"), "quality")
 
 
+@shared
 def capped(spark: SparkSession, sf: str) -> DataFrame:
     return point_in_time(spark, sf, ["shares"]).withColumn("market_cap", F.col("price") * F.col("shares")).withColumn("size", X.log_size())
 
@@ -195,6 +196,7 @@ def seasonal_surprise(spark: SparkSession, sf: str) -> DataFrame:
 STYLES = ["beta", "idio_vol", "momentum", "size", "value", "leverage", "quality", "profitability", "liquidity"]
 
 
+@shared
 def exposures(spark: SparkSession, sf: str) -> DataFrame:
     """The exposure panel: standardized styles, fractional industries, the flag, labels and the market value."""
     rows = point_in_time(spark, sf).join(F.broadcast(B.market(spark, sf).select("date", "market_ret")), "date")
