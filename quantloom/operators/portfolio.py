@@ -191,8 +191,8 @@ def frontiers(problems: DataFrame, points: int = C.FRONTIER_POINTS, limits: Call
 
 def max_sharpe(points: DataFrame) -> DataFrame:
     """The weights of each problem's point with the best Sharpe ratio among those that converged."""
-    best = points.where("converged").groupBy("problem").agg(F.max_by("point", F.struct("sharpe", -F.col("point"))).alias("point"))
-    return points.join(F.broadcast(best), ["problem", "point"])
+    rank = F.max_by("point", F.when(F.col("converged"), F.struct("sharpe", -F.col("point")))).over(Window.partitionBy("problem"))
+    return points.withColumn("_best", rank).where("point = _best AND converged").drop("_best")
 
 
 def global_minimum(points: DataFrame) -> DataFrame:

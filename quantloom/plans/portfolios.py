@@ -349,15 +349,24 @@ def decile_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(out.select("mean_a", "mean_b", "t"), "mean_a", "mean_b"), "t", places=5)
 
 
-@query(f"SELECT 'all' AS segment, n, round(1e6 * mean, 4) + 0.0 AS mean, CASE WHEN abs(nw_t) > 2 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM {nw_sql('(SELECT 1 AS k, date, avg(residual) AS ret FROM resid GROUP BY date)', 'k')}")
+CTE["mresid"] = "SELECT date, symbol, ret - market_ret AS residual FROM rets JOIN mkt USING (date) WHERE ret IS NOT NULL AND market_ret IS NOT NULL"
+
+
+def market_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns beyond the market's: unlike the residuals of a fit they need not cancel out."""
+    market = F.broadcast(B.market(spark, sf).select("date", "market_ret"))
+    return B.panel(spark, sf).join(market, "date").select("date", "symbol", (F.col("ret") - F.col("market_ret")).alias("residual")).where("residual IS NOT NULL")
+
+
+@query(f"SELECT 'all' AS segment, n, round(1e4 * mean, 5) + 0.0 AS mean, round(nw_t, 5) + 0.0 AS nw_t, CASE WHEN abs(nw_t) > 2 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM {nw_sql('(SELECT 1 AS k, date, avg(residual) AS ret FROM mresid GROUP BY date)', 'k')}")
 def residual_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.residual_alpha(MD.region_residuals(spark, sf))
-    return out.select("segment", "n", r6(1e6 * F.col("mean"), 4).alias("mean"), "verdict")
+    out = V.residual_alpha(market_residuals(spark, sf))
+    return out.select("segment", "n", r6(1e4 * F.col("mean"), 5).alias("mean"), r6("nw_t", 5).alias("nw_t"), "verdict")
 
 
-@query(f"SELECT segment, n, round(mean, 7) + 0.0 AS mean, round(nw_t, 5) + 0.0 AS nw_t, CASE WHEN abs(nw_t) > 2 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM {nw_sql('(SELECT segment, date, avg(residual) AS ret FROM resid JOIN seg USING (symbol) GROUP BY ALL)', 'segment')}")
+@query(f"SELECT segment, n, round(mean, 7) + 0.0 AS mean, round(nw_t, 5) + 0.0 AS nw_t, CASE WHEN abs(nw_t) > 2 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM {nw_sql('(SELECT segment, date, avg(residual) AS ret FROM mresid JOIN seg USING (symbol) GROUP BY ALL)', 'segment')}")
 def alpha_by_segment(spark: SparkSession, sf: str) -> DataFrame:
-    rows = MD.region_residuals(spark, sf).join(F.broadcast(MD.segments(spark, sf)), "symbol")
+    rows = market_residuals(spark, sf).join(F.broadcast(MD.segments(spark, sf)), "symbol")
     out = V.residual_alpha(rows, ["segment"]).select("segment", "n", "mean", "nw_t", "verdict")
     return rounded(rounded(out, "mean", places=7), "nw_t", places=5)
 
@@ -451,9 +460,9 @@ def plot_residual_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return V.histogram(MD.region_residuals(spark, sf), "residual").select("bin", "n")
 
 
-@query("SELECT date, round(1e6 * avg(residual), 4) + 0.0 AS alpha FROM resid GROUP BY date")
+@query("SELECT date, round(1e4 * avg(residual), 4) + 0.0 AS alpha FROM mresid GROUP BY date")
 def plot_daily_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    return MD.region_residuals(spark, sf).groupBy("date").agg(r6(1e6 * F.avg("residual"), 4).alias("alpha"))
+    return market_residuals(spark, sf).groupBy("date").agg(r6(1e4 * F.avg("residual"), 4).alias("alpha"))
 
 
 @query()

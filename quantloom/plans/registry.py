@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import base, factors, models, panels, portfolios  # noqa: F401
+from quantloom.plans import base, entities, factors, models, panels, portfolios  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:
