@@ -5,9 +5,10 @@ uses, and one header for every document (the empty term, with the number of word
 by document: a task writes the postings of its own documents, so building it moves no text.
 
 Search works from the rarest terms. Each window of a benchmark item is looked up by the term with the fewest
-postings; a posting at position p of a term at place q of the item proposes the alignment p - q. Alignments are then
-intersected with the postings of all terms of the item, each list shifted by the term's place, and a window occurs
-where a run of matching places is as long as the window. ``proximity`` finds queries whose terms all stand within a
+postings; a posting at position p of a term at place q of the item proposes the alignment p - q, which stays if the
+second rarest term has a posting where it must. Alignments are then intersected with the postings of all terms of the
+item, each list shifted by the term's place, and a window occurs where a run of matching places is as long as the
+window. ``proximity`` finds queries whose terms all stand within a
 number of words of an occurrence of their rarest term, in any order.
 
 Nothing is sampled and no list is capped. Benchmark terms are broadcast while they are few (``BROADCAST_ROWS``),
@@ -54,20 +55,29 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(iid, q, term): for every window of every item its rarest term; at most one row for each window."""
+    """(iid, q, term, q2, term2): for every window of every item its two rarest terms; a window of one word has one.
+
+    A window with a term that the index lacks cannot occur and is left out.
+    """
     ahead = Window.partitionBy("iid").orderBy("q").rowsBetween(0, window - 1)
-    rare = F.min(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "q", "term")).over(ahead)
+    rare = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("postings", F.lit(0)).alias("n"), "q", "term")).over(ahead)), 1, 2)
     picked = terms.join(counts, "term", "left").withColumn("rare", rare)
     begins = (F.col("q") <= F.col("size") - window) | (F.col("q") == 0)
-    return picked.where(begins).select("iid", F.col("rare.q").alias("q"), F.col("rare.term").alias("term"), F.col("rare.n").alias("n")).where("n > 0").drop("n").distinct()
+    first, second = F.get("rare", F.lit(0)), F.get("rare", F.lit(1))
+    return picked.where(begins & (first["n"] > 0)).select("iid", first["q"].alias("q"), first["term"].alias("term"), second["q"].alias("q2"), second["term"].alias("term2")).distinct()
 
 
 def phrase_hits(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, item, pos): every document position inside an occurrence of a window, by item."""
     postings = index.where("term <> ''").select("rid", "term", "pos")
     counts = store(postings.groupBy("term").agg(F.count("*").alias("postings")), "postings")
-    first = bounded(store(anchors(terms, counts, window), "anchors"))
-    aligned = store(postings.join(first, "term").select("rid", "iid", (F.col("pos") - F.col("q")).alias("at")).distinct(), "alignments")
+    seeds = store(anchors(terms, counts, window), "anchors")
+    # the rarest term proposes an alignment, the second rarest must stand where that puts it
+    proposed = postings.join(bounded(seeds), "term").select("rid", "iid", (F.col("pos") - F.col("q")).alias("at"), "q2", "term2").distinct()
+    proposed = store(proposed.select("rid", "iid", "at", (F.col("at") + F.col("q2")).alias("pos"), F.col("term2").alias("term")), "proposed")
+    second = bounded(store(seeds.where("term2 IS NOT NULL").select(F.col("term2").alias("term")).distinct(), "second"))
+    met = postings.join(second, "term", "left_semi").join(bounded(proposed, 200_000), ["rid", "pos", "term"])
+    aligned = store(met.select("rid", "iid", "at").union(proposed.where("term IS NULL").select("rid", "iid", "at")).distinct(), "alignments")
     rows = bounded(store(aligned.select("rid").distinct(), "aligned-rows"))
     expected = aligned.join(bounded(terms, 200_000), "iid").select("rid", "term", (F.col("at") + F.col("q")).alias("pos"), "iid", "item", "at", "q", "size")
     met = postings.join(rows, "rid", "left_semi").join(expected, ["rid", "pos", "term"])
