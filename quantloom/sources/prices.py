@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators.panel import melt, missing_as_null, upsert, with_returns
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PARQUET_TYPE_ILLEGAL":
+            raise
+    # timestamps in nanoseconds have no type in Spark; they are read as numbers
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.parquet(path)
+
+
 def load_wide(spark: SparkSession, path: str, universe: Iterable[str] | None = None, date: str = "Date") -> tuple[DataFrame, list[str]]:
     """A file of one column a symbol as (date, symbol, value), and the symbols of the universe that it lacks.
 
-    Only the wanted columns are read.
+    Only the wanted columns are read. Dates may be dates, timestamps or, as some writers store them, nanoseconds.
     """
-    raw = spark.read.parquet(path)
+    raw = _read(spark, path)
     there = [c for c in raw.columns if c != date]
     wanted = [s for s in (universe if universe is not None else there) if s in set(there)]
     missing = [s for s in (universe or []) if s not in set(there)]
     columns = [F.col(f"`{c}`").cast("double").alias(c) for c in wanted]
-    wide = raw.select(F.to_date(F.col(f"`{date}`")).alias("date"), *columns)
+    day = F.col(f"`{date}`")
+    day = F.timestamp_micros((day / 1000).cast("long")) if raw.schema[date].dataType.simpleString() == "bigint" else day
+    wide = raw.select(F.to_date(day).alias("date"), *columns)
     return missing_as_null(melt(wide), "value"), missing
 
 
