@@ -30,7 +30,7 @@ ORDERS = 3
 SMOOTHING = 0.5
 #: The classifier is fitted on at most about this many labelled rows, chosen by a hash of their ids.
 MAX_TRAINING_ROWS = 20_000
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 UND = "und"
 
 

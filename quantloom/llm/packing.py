@@ -23,7 +23,7 @@ import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +55,8 @@ def byte_symbols() -> dict[str, int]:
 class Encoder:
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.special = [x["content"] for x in told.get("added_tokens", [])]
@@ -66,6 +65,13 @@ class Encoder:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """The ``tokenizers`` object: some 100 MB that most tasks never need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if len(text) >= LONG or any(s in text for s in self.special):
             return self.slow.encode(text, add_special_tokens=False).ids
