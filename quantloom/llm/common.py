@@ -36,18 +36,31 @@ def store(df: DataFrame, tag: str, columns_sorted: tuple[str, ...] = ()) -> Data
     if columns_sorted:
         df = df.sortWithinPartitions(*columns_sorted)
     df.write.parquet(path)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))  # with the application, not before: results are lazy
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table written by :func:`store` once nothing lazy reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _file_system(df.sparkSession, path).delete(_hadoop_path(df.sparkSession, path), True)
+
+
+def part_count(df: DataFrame, rows: int = 5_000) -> int:
+    """Into how many groups to deal what is gathered from ``df``: one for each so many rows, and one a shuffle partition at
+    least, so that a group stays as large as it is however much data there is."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

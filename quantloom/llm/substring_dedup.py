@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, store, text_bytes
+from quantloom.llm.common import documents, part_count, store, text_bytes
 from quantloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -297,9 +297,8 @@ def small_enough(df: DataFrame, column: str) -> DataFrame:
 
 def dedup(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``df`` (doc_id, text)."""
-    spark = df.sparkSession
     docs = numbered(df)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = part_count(df)
     lists = segment_lists(docs.select("key", "text"), parts)
     sifted = store(lists.groupBy("part").applyInArrow(sift, "key long, lo long, hi long, place int, f long"), "segments")
     wanted = sifted.where("place >= 0").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "place")).alias("wanted"))

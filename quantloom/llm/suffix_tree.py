@@ -38,7 +38,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import crc_mod, documents, row_groups, segment_sums, store, text_bytes
+from quantloom.llm.common import crc_mod, documents, part_count, row_groups, segment_sums, store, text_bytes
 
 DEPTH = 5
 LEAST_SHARE = 2e-5
@@ -441,7 +441,7 @@ def score(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     kind = df.schema["doc_id"].dataType.simpleString()
     tree = spark.sparkContext.broadcast(train(df.where("train")))
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = part_count(df)
     told = store(chunked(df, tree, parts), "chunks")
     docs = told.where("part is null").select("chunk", "doc_id", "train", "ids", "spelled")
     sums = told.where("part is not null").select("chunk", "part", "words", "n").groupBy("part").applyInArrow(summed, "of long, part int, c binary, kinds long, words long")
