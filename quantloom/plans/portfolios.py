@@ -477,3 +477,50 @@ def plot_portfolio_correlation(spark: SparkSession, sf: str) -> DataFrame:
     s = series(spark, sf)
     other = s.select("date", F.col("portfolio").alias("col"), F.col("ret").alias("r2"))
     return s.join(other, "date").groupBy(F.col("portfolio").alias("row"), "col").agg(r6(F.corr("ret", "r2")).alias("corr"))
+
+
+# ---- parts of larger steps, each on its own --------------------------------------------------------------------
+
+
+@query("SELECT date, symbol, round(ret - 0.055 / 252, 8) + 0.0 AS excess FROM drets")
+def excess_returns(spark: SparkSession, sf: str) -> DataFrame:
+    from quantloom.operators.regression import excess_return
+
+    return rounded(excess_return(B.panel(spark, sf, "day")).select("date", "symbol", "excess"), "excess", places=8)
+
+
+@query("SELECT name, month, round(momentum, 6) + 0.0 AS momentum FROM mom")
+def macro_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(M.macro_momentum(MD.macro_prices(spark, sf)), "momentum")
+
+
+@query("SELECT date, round(ret, 6) + 0.0 AS ret FROM spreads WHERE name = '1-URGENT'")
+def group_spread(spark: SparkSession, sf: str) -> DataFrame:
+    members = spark.createDataFrame([(s,) for s in GROUPS["1-URGENT"]], "symbol string")
+    return rounded(M.group_spread(B.panel(spark, sf).select("date", "symbol", "ret"), members), "ret")
+
+
+@query("SELECT symbol, round(specific_risk, 6) + 0.0 AS specific_risk FROM spec JOIN seg USING (symbol)")
+def joint_specific_risk(spark: SparkSession, sf: str) -> DataFrame:
+    own = MD.specific(spark, sf)
+    return rounded(PF.joint_specific_risk({"top": own, "rest": own}, MD.segments(spark, sf)), "specific_risk")
+
+
+@query("SELECT symbol, CAST(segment = 'rest' AS DOUBLE) AS member, CASE WHEN segment = 'rest' THEN 0.05 ELSE 0.15 END::DOUBLE AS cap FROM seg")
+def segment_caps(spark: SparkSession, sf: str) -> DataFrame:
+    rest = F.col("segment") == "rest"
+    return MD.segments(spark, sf).select("symbol", rest.cast("double").alias("member"), F.when(rest, 0.05).otherwise(0.15).alias("cap"))
+
+
+@query("SELECT count(*) AS n, round(avg(ret), 8) + 0.0 AS mean, round(median(ret), 8) + 0.0 AS median, round(stddev_samp(ret), 8) + 0.0 AS std FROM fret")
+def series_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    out = V.r2_distribution(MD.region_returns(spark, sf).withColumnRenamed("ret", "r2"))
+    return rounded(out, "mean", "median", "std", places=8)
+
+
+@query("SELECT factor, CASE factor WHEN 'Materials' THEN 'Industry' WHEN 'psu_flag' THEN 'Indicator' ELSE 'Style' END AS type, n FROM (SELECT CASE factor WHEN 'africa' THEN 'Materials' WHEN 'asia' THEN 'psu_flag' ELSE factor END AS factor, count(*) AS n FROM fret GROUP BY ALL)")
+def labelled_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from quantloom.sources.sinks import labelled_summary as labelled
+
+    name = F.when(F.col("factor") == "africa", "Materials").when(F.col("factor") == "asia", "psu_flag").otherwise(F.col("factor"))
+    return labelled(MD.region_returns(spark, sf).groupBy(name.alias("factor")).agg(F.count("*").alias("n"))).select("factor", "type", "n")
