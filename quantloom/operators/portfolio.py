@@ -35,9 +35,11 @@ def factor_exposure(weights: DataFrame, exposures: DataFrame) -> DataFrame:
 
 def risk_decomposition(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame, days: int = C.TRADING_DAYS_PER_YEAR) -> DataFrame:
     """Daily factor and specific variance, their shares, and the annual volatility of each portfolio."""
-    e = factor_exposure(weights, exposures)
-    other = e.select("portfolio", F.col("factor").alias("col"), F.col("exposure").alias("z"))
-    common = e.join(factor_cov, e["factor"] == factor_cov["row"]).join(other, ["portfolio", "col"]).groupBy("portfolio").agg(F.sum(F.col("exposure") * F.col("cov") * F.col("z")).alias("factor_var"))
+    # factors are few, so a portfolio's exposures are one map and the covariance one array: no join of pairs
+    maps = factor_exposure(weights, exposures).groupBy("portfolio").agg(F.map_from_entries(F.collect_list(F.struct("factor", "exposure"))).alias("e"))
+    cells = factor_cov.agg(F.collect_list(F.struct("row", "col", "cov")).alias("cells"))
+    add = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.coalesce(F.col("e")[c["row"]] * c["cov"] * F.col("e")[c["col"]], F.lit(0.0)))
+    common = maps.crossJoin(F.broadcast(cells)).select("portfolio", add.alias("factor_var"))
     own = weights.join(specific, "symbol").groupBy("portfolio").agg((F.sum(F.col("weight") * F.col("weight") * F.col("specific_risk") * F.col("specific_risk")) / days).alias("specific_var"))
     both = common.join(own, "portfolio")
     total = F.col("factor_var") + F.col("specific_var")
