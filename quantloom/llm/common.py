@@ -63,6 +63,18 @@ def part_count(df: DataFrame, rows: int = 5_000) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows)
 
 
+#: Rows of an Arrow batch of whole texts: some megabytes, where Spark's own 10,000 rows can be a hundred.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be mapped over Arrow batches of texts: a larger batch size than BATCH_ROWS is lowered for the session."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents", *columns)
 
@@ -122,6 +134,11 @@ def cpu_bound_memory() -> None:
     os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots, for use in expressions."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: Rows of at most two numbers that may be broadcast: some 64 MB in memory.
 BROADCAST_ROWS = 1_000_000
 
@@ -133,4 +150,4 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``gone``; a null id stays."""
-    return docs.join(bounded(store(gone.distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bounded(store(gone.distinct(), "gone")), "doc_id", "left_anti").select(*map(quoted, docs.columns))

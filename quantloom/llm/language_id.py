@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import crc_mod, documents, row_groups, text_bytes
+from quantloom.llm.common import crc_mod, documents, quoted, row_groups, small_batches, text_bytes
 
 BUCKET_BITS = 15
 ORDERS = 3
@@ -133,7 +133,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | Non
         g, h = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(sums[g, h])], ["g", "h", "n"])
 
-    counted = rows.select("text", "lang").mapInArrow(count, "g int, h int, n long").groupBy("g", "h").agg(F.sum("n").alias("n")).toPandas()
+    counted = small_batches(rows.select("text", "lang")).mapInArrow(count, "g int, h int, n long").groupBy("g", "h").agg(F.sum("n").alias("n")).toPandas()
     sums = np.full((len(langs), ORDERS << BUCKET_BITS), SMOOTHING)
     sums[counted["g"].to_numpy(), counted["h"].to_numpy()] += counted["n"].to_numpy()
     by_order = sums.reshape(len(langs), ORDERS, -1)
@@ -151,7 +151,7 @@ def posteriors(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def predict(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row of ``df`` (which has a column text), with lang_pred and score."""
     taken = {c: f"_{k}" for k, c in enumerate(keep)}
-    seen = df.select(*[F.col(c).alias(t) for c, t in taken.items()], F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    seen = df.select(*[F.col(quoted(c)).alias(t) for c, t in taken.items()], F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     named = [F.col(t).alias(c) for c, t in taken.items()]
     if model is None:
         return seen.select(*named, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -170,7 +170,7 @@ def predict(df: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
             top = np.where(letters, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([*[b.column(t) for t in taken.values()], pa.array(names[best], pa.string()), pa.array(np.clip(top, 0, 1))], [*taken.values(), "lang_pred", "score"])
 
-    return seen.mapInArrow(score, schema).select(*named, "lang_pred", "score")
+    return small_batches(seen).mapInArrow(score, schema).select(*named, "lang_pred", "score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

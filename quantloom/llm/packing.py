@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, store
+from quantloom.llm.common import documents, small_batches, store
 
 SEQUENCE = 2_048
 END_ID = 0
@@ -106,7 +106,7 @@ def pieces(df: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = END_
             yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return small_batches(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sweep(runs: dict[int, int], size: int = SEQUENCE) -> np.ndarray:

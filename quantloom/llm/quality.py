@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import crc_mod, segment_sums, table
+from quantloom.llm.common import crc_mod, segment_sums, small_batches, table
 
 CONTENT = 1 << 14
 META = 1 << 10
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = MAX_LABELLED,
             rows = list(featured(b))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("y"), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["doc_id", "y", "a", "b"])
 
-    met = docs.join(F.broadcast(asked), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars").mapInArrow(run, "doc_id long, y int, a binary, b binary")
+    met = small_batches(docs.join(F.broadcast(asked), "doc_id").select("doc_id", "y", "text", "source", "lang", "n_chars")).mapInArrow(run, "doc_id long, y int, a binary, b binary")
     got = sorted(map(tuple, met.collect()))
     content, meta = (Rows.of([np.frombuffer(r[k], np.int32) for r in got]) for k in (2, 3))
     label = np.array([r[1] for r in got], np.int64)
@@ -187,7 +187,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(views[:, 0]), pa.array(views[:, 1]), pa.array(score)], ["doc_id", "p_content", "p_meta", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(run, f"doc_id {kind}, p_content double, p_meta double, score double")
+    return small_batches(docs.select("doc_id", "text", "source", "lang", "n_chars")).mapInArrow(run, f"doc_id {kind}, p_content double, p_meta double, score double")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, store, without_ids
+from quantloom.llm.common import documents, small_batches, store, without_ids
 from quantloom.llm.graph import connected_components, spanning_edges
 
 SHINGLE = 3
@@ -77,7 +77,7 @@ def fingerprints(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return small_batches(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def verified(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:

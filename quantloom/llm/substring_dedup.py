@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, part_count, store, text_bytes
+from quantloom.llm.common import documents, part_count, small_batches, store, text_bytes
 from quantloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -190,7 +190,7 @@ def segment_lists(df: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, _LIST)
+    return small_batches(df).mapInArrow(run, _LIST)
 
 
 def sift(lists: pa.Table) -> pa.Table:
@@ -243,7 +243,7 @@ def fetched(texts: DataFrame) -> DataFrame:
                         held.append(text[lo : hi + WIDTH])
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(key, pa.int64()), pa.array(first, pa.int64()), pa.array(held, pa.binary())], ["shard", "key", "lo", "bytes"])
 
-    return texts.select("key", "text", "wanted").mapInArrow(run, "shard long, key long, lo long, bytes binary")
+    return small_batches(texts.select("key", "text", "wanted")).mapInArrow(run, "shard long, key long, lo long, bytes binary")
 
 
 def repeats(parts: pa.Table) -> pa.Table:
@@ -327,7 +327,7 @@ def dedup(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     met = docs.join(small_enough(spans, "spans"), "key", "left").select("doc_id", "text", "spans")
-    return met.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return small_batches(met).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import crc_mod, documents, part_count, row_groups, segment_sums, store, text_bytes
+from quantloom.llm.common import crc_mod, documents, part_count, row_groups, segment_sums, small_batches, store, text_bytes
 
 DEPTH = 5
 LEAST_SHARE = 2e-5
@@ -100,7 +100,7 @@ def byte_counts(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
 
     out = np.zeros(256, np.int64)
-    for r in texts.select("blank").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(texts.select("blank")).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         out[r["byte"]] = r["n"]
     return out
 
@@ -220,7 +220,7 @@ def next_counts(texts: DataFrame, symbol: np.ndarray, contexts: list[np.ndarray]
                 key = kept[d - 1][(key >> 12) - 1] << 6 | (key & 63) | (key >> 6 & 63) << 6 * d
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["d", "key", "n"])
 
-    pairs = texts.select("blank").mapInArrow(run, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
+    pairs = small_batches(texts.select("blank")).mapInArrow(run, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
     if d > 3:
         pairs = pairs.groupBy(F.shiftright("key", 6).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next")).where(F.col("total") >= least).select(F.explode("next").alias("x")).select(F.lit(d).alias("d"), "x.key", "x.n")
     # up to three symbols: at most SYMBOLS ** 4 rows; beyond: at most SYMBOLS / LEAST_SHARE rows
@@ -417,7 +417,7 @@ def chunked(df: DataFrame, tree: Broadcast, parts: int) -> DataFrame:
         if docs:
             yield from flush()
 
-    return df.select("doc_id", "train", blanked("text").alias("blank")).mapInArrow(run, f"chunk long, doc_id {kind.simpleString()}, train boolean, ids binary, spelled binary, part int, words binary, n binary")
+    return small_batches(df.select("doc_id", "train", blanked("text").alias("blank"))).mapInArrow(run, f"chunk long, doc_id {kind.simpleString()}, train boolean, ids binary, spelled binary, part int, words binary, n binary")
 
 
 def summed(words: pa.Table) -> pa.Table:
