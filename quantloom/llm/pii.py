@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded, documents, store
+from quantloom.llm.common import bounded, documents, quoted, store
 
 CONTEXT = 40
 CONTEXT_BONUS = 0.1
@@ -143,11 +143,14 @@ def redacted(text: Column, found: Column) -> Column:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows."""
-    keyed = docs.withColumn("_key", F.xxhash64("text")).withColumn("_n", F.length("text"))
-    hit = spans(keyed, keep=("doc_id", "_key", "_n")).where(F.size("spans") > 0).select("doc_id", "_key", "_n", "spans").dropDuplicates(["doc_id", "_key", "_n"])
-    hit = store(hit, "pii").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k"), F.col("_n").alias("_m"), F.col("spans").alias("_spans"))
-    met = keyed.join(bounded(hit, 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_n") == F.col("_m")), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
-    out = met.withColumn("_text", text)
-    changed = {"text": F.col("_text"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+    keyed = docs.withColumn("__pii_key", F.xxhash64("text")).withColumn("__pii_n", F.length("text"))
+    by = ("doc_id", "__pii_key", "__pii_n")
+    hit = spans(keyed, keep=by).where(F.size("spans") > 0).select(*by, "spans").dropDuplicates(list(by))
+    hit = store(hit, "pii").select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_k"), F.col("__pii_n").alias("__pii_m"), F.col("spans").alias("__pii_spans"))
+    met = keyed.join(bounded(hit, 100_000), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_key") == F.col("__pii_k")) & (F.col("__pii_n") == F.col("__pii_m")), "left")
+    whole = F.col("__pii_spans").isNull()
+    out = met.withColumn("__pii_text", F.when(whole, F.col("text")).otherwise(redacted(F.col("text"), F.col("__pii_spans"))))
+    changed = {"text": F.col("__pii_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length("__pii_text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(quoted(c)) for c in docs.columns])

@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_decontamination import brute as contaminated
 from test_packing import check
 from test_pii import brute as spans
@@ -48,3 +49,16 @@ def test_edges(spark, make):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_columns_with_clashing_names_pass_through(spark, make):
+    names = ["score", "lang_pred", "fingerprint", "rid", "key", "spans", "kind", "_id", "_text", "a.b", "n", "term", "pos"]
+    docs = make([(1, "some text with 1.2.3.4 in it"), (2, "!!"), (3, "other words")])
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(f"x{k}"))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    got = {r["doc_id"]: r for r in docs.collect()}
+    assert set(got) == {1, 3} and got[1]["a.b"] == "x9" and got[1]["text"] == "some text with [IP] in it"
