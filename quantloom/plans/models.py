@@ -284,6 +284,7 @@ def stock_covariance(spark: SparkSession, sf: str) -> DataFrame:
 CTE |= {
     "seg": "SELECT symbol, CASE WHEN row_number() OVER (ORDER BY market_cap DESC, symbol) <= 10 THEN 'top' ELSE 'rest' END AS segment FROM caps WHERE date = (SELECT max(date) FROM caps) AND market_cap > 0",
     "sfret": "SELECT date, factor || '__' || segment AS factor, sum(x * ret) / sum(x) AS ret FROM rets JOIN xlong USING (symbol) JOIN seg USING (symbol) WHERE ret IS NOT NULL GROUP BY ALL",
+    "sfc": "SELECT * FROM sfret WHERE date IN (SELECT date FROM sfret GROUP BY date HAVING count(DISTINCT split_part(factor, '__', 2)) = 2)",
 }
 
 
@@ -306,14 +307,14 @@ def segment_slice(spark: SparkSession, sf: str) -> DataFrame:
     return segments(spark, sf)
 
 
-@query("SELECT date, factor, round(ret, 6) + 0.0 AS ret FROM sfret WHERE date IN (SELECT date FROM sfret GROUP BY date HAVING count(DISTINCT split_part(factor, '__', 2)) = 2)")
+@query("SELECT date, factor, round(ret, 6) + 0.0 AS ret FROM sfc")
 def joint_factor_returns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(PF.joint_factor_returns(segment_returns(spark, sf)), "ret")
 
 
 @query(f"""SELECT row, col, round(s / sw * sw * sw / (sw * sw - sww), 9) + 0.0 AS cov FROM (SELECT row, col, sum(w) AS sw, sum(w * w) AS sww, sum(w * (x - mx) * (y - my)) AS s FROM (
     SELECT a.factor AS row, b.factor AS col, a.w, a.ret AS x, b.ret AS y, sum(a.w * a.ret) OVER g / sum(a.w) OVER g AS mx, sum(a.w * b.ret) OVER g / sum(a.w) OVER g AS my
-    FROM (SELECT s.*, pow(0.5, age / {HALF}) AS w FROM sfret s JOIN ages USING (date)) a JOIN sfret b ON a.date = b.date WINDOW g AS (PARTITION BY a.factor, b.factor)) GROUP BY row, col)""")
+    FROM (SELECT s.*, pow(0.5, age / {HALF}) AS w FROM sfc s JOIN (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM sfc)) USING (date)) a JOIN sfc b ON a.date = b.date WINDOW g AS (PARTITION BY a.factor, b.factor)) GROUP BY row, col)""")
 def joint_cov(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.ewma_covariance(PF.joint_factor_returns(segment_returns(spark, sf)), halflife=HALF), "cov", places=9)
 
