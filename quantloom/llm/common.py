@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zlib
@@ -29,12 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
-def store(df: DataFrame, tag: str, columns_sorted: tuple[str, ...] = ()) -> DataFrame:
+def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantloom-{tag}-{uuid.uuid4().hex}"
-    if columns_sorted:
-        df = df.sortWithinPartitions(*columns_sorted)
     df.write.parquet(path)
     _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))  # with the application, not before: results are lazy
     out = spark.read.schema(df.schema).parquet(path)
@@ -129,11 +126,6 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def cpu_bound_memory() -> None:
-    """Keep numpy's helper threads from multiplying with Spark's own task slots."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-
-
 def quoted(name: str) -> str:
     """A column name that may hold dots, for use in expressions."""
     return "`" + name.replace("`", "``") + "`"

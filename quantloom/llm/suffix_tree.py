@@ -38,7 +38,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import crc_mod, documents, part_count, row_groups, segment_sums, small_batches, store, text_bytes
+from quantloom.llm.common import crc_mod, documents, part_count, row_groups, small_batches, store, text_bytes
 
 DEPTH = 5
 LEAST_SHARE = 2e-5
