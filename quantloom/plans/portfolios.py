@@ -13,7 +13,6 @@ from quantloom.operators import factors as X
 from quantloom.operators import inference as I
 from quantloom.operators import panel as P
 from quantloom.operators import portfolio as PF
-from quantloom.operators import risk as K
 from quantloom.operators import timing as M
 from quantloom.operators import validation as V
 from quantloom.plans import base as B
