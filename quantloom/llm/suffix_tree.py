@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import crc_mod, documents, part_count, row_groups, small_batches, store, text_bytes
 
-DEPTH = 5
-LEAST_SHARE = 2e-5
+DEPTH = 6
+LEAST_SHARE = 1e-5
 DIVERGENCE = 20.0
 CHUNK_BYTES = 16 << 20
 #: Weight of whole words beside the tree, and what is taken off each word's count for the tree.
@@ -117,7 +117,7 @@ class Tree:
     contexts: list[np.ndarray]  # by length: candidates, packed by six bits a symbol, the newest lowest; sorted
     retained: list[np.ndarray]  # by length: whether a candidate is retained
     logp: np.ndarray  # states x SYMBOLS, log10, in the state's longest retained suffix
-    jump: np.ndarray | None = None  # states x (SYMBOLS + 1): the next state; the last column: a text begins
+    jump: np.ndarray | None = None  # states x (SYMBOLS + 1): where the next state's row begins; the last column: a text begins
 
     @property
     def depth(self) -> int:
@@ -269,7 +269,8 @@ def grow(tree: Tree, contexts: np.ndarray, table: np.ndarray) -> None:
 
 
 def jumps(tree: Tree) -> np.ndarray:
-    """Next state by state and symbol: the longest candidate that the state with the symbol ends in."""
+    """Where the row of the next state begins (its number times SYMBOLS + 1) by state and symbol: the longest candidate
+    that the state with the symbol ends in."""
     out = np.zeros((len(tree.logp), SYMBOLS + 1), np.int32)
     symbols = np.arange(SYMBOLS)
     for d in range(tree.depth + 1):
@@ -284,6 +285,7 @@ def jumps(tree: Tree) -> np.ndarray:
             met = tree.contexts[d + 1][place] == longer
             out[at, :SYMBOLS] = np.where(met, place + tree.first(d + 1), out[at, :SYMBOLS])
     out[:, SYMBOLS] = out[0, 0]
+    out *= SYMBOLS + 1
     return out
 
 
@@ -319,8 +321,8 @@ class Scorer:
 
     def __init__(self, tree: Tree) -> None:
         self.tree = tree
-        self.next = (tree.jump * (SYMBOLS + 1)).astype(np.int32).ravel()
-        self.gain = np.concatenate((tree.logp, np.zeros((len(tree.logp), 1))), axis=1).astype(np.float32).ravel()
+        self.next = tree.jump.ravel()
+        self.gain = np.concatenate((tree.logp, np.zeros((len(tree.logp), 1), np.float32)), axis=1).ravel()
 
     def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of each word (and its boundary) of all texts, given what precedes it; cuts of texts."""

@@ -127,3 +127,12 @@ def test_held_out_texts_teach_nothing(spark):
     pick = lambda d: {r["doc_id"]: (r["base_score"], r["score"], r["train_tokens"]) for r in st.score(d).collect()}
     a, b = pick(df), pick(more)
     assert all(np.allclose(a[k], b[k]) for k in a)
+
+
+def test_contexts_of_six_symbols_and_of_one_in_100000(spark):
+    texts = ["a b " * 1_000] * 75 + ["qz"] * 4 + ["1mmmmm3 2mmmmm4"] * 100
+    tree = st.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert tree.depth == 6 and tree.retained[6].any()
+    assert tree.retained[1][tree.contexts[1] == tree.symbol[ord("q")]].all() and (tree.contexts[1] == tree.symbol[ord("q")]).any()
+    right, wrong = (st.Scorer(tree).words(pa.array([f" {t} "]))[0].sum() for t in ("1mmmmm3", "1mmmmm4"))
+    assert right > wrong + 0.5
