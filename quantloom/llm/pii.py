@@ -7,7 +7,7 @@ over long runs (possessive repeats; an email may only start where its run of cha
 ended), which leaves the matches as they are.
 
 Kinds: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits) and, added by the method,
-iban (mod-97). A match that fails its check is dropped. A span's score is that of its kind, plus ``CONTEXT_BONUS``
+iban (as long as its country's are, mod-97). A match that fails its check is dropped. A span's score is that of its kind, plus ``CONTEXT_BONUS``
 if a word of the kind stands within ``CONTEXT`` characters; spans of added kinds below ``LEAST_SCORE`` are dropped,
 those of the four base kinds always stay.
 
@@ -30,12 +30,22 @@ CONTEXT_BONUS = 0.1
 LEAST_SCORE = 0.8
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN_IBAN = "(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+#: Of other countries the length is not known; such a match ends before an IBAN of a known one.
+_OTHER_IBAN = rf"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!{_KNOWN_IBAN}))?[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|{_OTHER_IBAN})",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A cheap test that every text with a match passes.

@@ -79,3 +79,11 @@ def test_stage_redacts(spark, make):
     out = pii.stage(spark, make(rows), "")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((str(r["doc_id"]), str(r["text"]), r["n_chars"]) for r in out.collect()) == sorted([("1", "call [PHONE] or [EMAIL] now", 27)] * 2 + [("2", "clean", 5), ("3", "None", 0), ("None", "[IP]", 4)])
+
+
+def test_an_iban_ends_where_its_country_says(spark, make):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000 EUR 500", "ID12 DE89 3704 0044 0532 0130 00 ok", "NO93 8601 1117 947 OSLO 12", "GB82 WEST 1234 5698 7654 32 AND MORE"]
+    bad = ["DE89 3704 0044 0532 0130 01 BIC", "DE89370400440532013000X", "DE89 3704 0044 0532 0130"]
+    out = {r["doc_id"]: r["n_iban"] for r in pii.find(make(list(enumerate(texts + bad)))).collect()}
+    assert [out[k] for k in range(len(out))] == [1] * len(texts) + [0] * len(bad)
+    assert pii.stage(spark, make([(1, texts[0])]), "").first()["text"] == "IBAN [IBAN] BIC COBADEFF"
