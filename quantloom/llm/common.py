@@ -140,6 +140,15 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``gone``; a null id stays."""
-    return docs.join(bounded(store(gone.distinct(), "gone")), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+#: Number of a row, unique in a table written by :func:`numbered`.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, stored, so that the rows have the same numbers each time they are read."""
+    return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (numbered) whose number is not in ``gone``, without the numbers."""
+    return docs.join(bounded(store(gone.distinct(), "gone")), ROW, "left_anti").select(*[quoted(c) for c in docs.columns if c != ROW])

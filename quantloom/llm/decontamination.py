@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded, documents, store, table, without_ids
+from quantloom.llm.common import ROW, bounded, documents, numbered, store, table, without_rows
 
 WINDOW = 13
 WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
@@ -131,9 +131,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.where("contaminated").select("doc_id"))
+    """Pipeline stage: contaminated rows go, whatever their doc_id."""
+    docs = numbered(docs)
+    found = decontaminate(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without_rows(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, small_batches, store, without_ids
+from quantloom.llm.common import ROW, documents, numbered, small_batches, store, without_rows
 from quantloom.llm.graph import connected_components, spanning_edges
 
 SHINGLE = 3
@@ -189,6 +189,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the smallest id stays."""
-    gone = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return without_ids(docs, gone)
+    """Pipeline stage: of each group of near copies the row with the smallest (doc_id, row number) stays.
+
+    Rows without a doc_id stay too.
+    """
+    docs = numbered(docs)
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", ROW))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    return without_rows(docs, found.where(F.col("doc_id") != F.col("component_id")).select(F.col(f"doc_id.{ROW}").alias(ROW)))

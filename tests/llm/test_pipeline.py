@@ -62,3 +62,14 @@ def test_columns_with_clashing_names_pass_through(spark, make):
         assert docs.columns == columns
     got = {r["doc_id"]: r for r in docs.collect()}
     assert set(got) == {1, 3} and got[1]["a.b"] == "x9" and got[1]["text"] == "some text with [IP] in it"
+
+
+def test_stages_drop_the_judged_rows_only(spark, make):
+    stages = dict(corpus_pipeline.STAGES)
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    docs = make([(1, passage), (1, "a clean text of the same id"), (None, passage), (None, "a clean text without an id"), (2, "another clean text")])
+    left = stages["decontamination"](spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left) == [("1", "a clean text of the same id"), ("2", "another clean text"), ("None", "a clean text without an id")]
+    docs = make([(1, "a b c d")] * 3 + [(4, "a b c d"), (4, "q r s t u"), (7, "v w x y z")] + [(7, "v w x y z")])
+    left = stages["simhash"](spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, "a b c d"), (4, "q r s t u"), (7, "v w x y z")]
