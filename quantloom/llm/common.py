@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -18,11 +19,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a single machine) a folder of this process is used.
+    Only a session on one machine (master ``local``) may leave it unset: a folder of this process is used then.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is unset, and the executors of {master!r} share no folder with the driver")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="quantloom-")
     return "file://" + _OWN["dir"]
@@ -131,13 +135,29 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-#: Rows of at most two numbers that may be broadcast: some 64 MB in memory.
-BROADCAST_ROWS = 1_000_000
+#: Bytes in memory up to which a table may be broadcast.
+BROADCAST_BYTES = 48 << 20
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table), marked for broadcast if it has no more than ``most`` rows, else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def memory_bytes(df: DataFrame) -> int:
+    """About how many bytes the rows of ``df`` take in memory."""
+    each = F.lit(16 + 8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            each = each + F.coalesce(F.octet_length(quoted(f.name)), F.lit(0))
+        elif kind == "array":
+            each = each + 64 * F.greatest(F.size(quoted(f.name)), F.lit(0))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    return memory_bytes(df) <= most
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a stored table), marked for broadcast if its rows take no more than ``most`` bytes, else left to a shuffle."""
+    return F.broadcast(df) if small(df, most) else df
 
 
 #: Number of a row, unique in a table written by :func:`numbered`.
