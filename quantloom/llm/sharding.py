@@ -6,8 +6,8 @@ order that is still free (a shard of weight w has w turns in each round). The fi
 does not depend on the data, so it is broadcast, and placing a key is one hash and one lookup.
 
 Cases: a null key is placed as the empty key, so all null keys share a slot; rows that repeat a key land together;
-an empty table gives no rows; further columns of the input pass through unless they are named ``slot`` or ``shard``,
-which are replaced. No shards, a non-prime size or more weight than slots is a ``ValueError``.
+an empty table gives no rows; further columns of the input pass through, whatever their names, unless they are named
+``slot`` or ``shard``, which are replaced. No shards, a non-prime size or more weight than slots is a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents
+from quantloom.llm.common import documents, quoted
 
 TABLE_SIZE = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -62,11 +62,12 @@ def place(df: DataFrame, key: str, shards: Sequence[str] | Mapping[str, int] = S
     names = sorted(dict(shards) if isinstance(shards, Mapping) else shards)
     names = [s for s in names if not isinstance(shards, Mapping) or shards[s] > 0]
     owner = lookup_table(shards, size)
-    table = spark.createDataFrame([(i, names[o]) for i, o in enumerate(owner.tolist())], "_slot long, _shard string")
-    keyed = df.drop("slot", "shard").withColumn("_slot", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(size)))
+    table = spark.createDataFrame([(i, names[o]) for i, o in enumerate(owner.tolist())], "slot long, shard string")
+    slot = F.pmod(F.xxhash64(F.coalesce(F.col(quoted(key)).cast("string"), F.lit(""))), F.lit(size))
+    others = [c for c in df.columns if c.lower() not in ("slot", "shard")]  # the key may be one of the two
+    keyed = df.select(*[F.col(quoted(c)) for c in others], slot.alias("slot"))
     # left join: the table has exactly `size` rows whatever the data, so it is always small enough to broadcast
-    out = keyed.join(F.broadcast(table), "_slot", "left")
-    return out.withColumnsRenamed({"_slot": "slot", "_shard": "shard"})
+    return keyed.join(F.broadcast(table), "slot", "left").select(*[F.col(quoted(c)) for c in others], "slot", "shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

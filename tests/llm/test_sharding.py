@@ -42,6 +42,18 @@ def test_place(spark):
     assert sharding.place(df.limit(0), "doc_id").collect() == []
 
 
+def test_a_key_gets_the_shard_of_its_slot_whatever_columns_are_named(spark):
+    df = spark.createDataFrame([(i, "p", i, -i) for i in range(50)], "`a.b` long, _shard string, _slot int, x int")
+    out = sharding.place(df, "a.b", ["s1", "s2"], 101)
+    assert out.columns == ["a.b", "_shard", "_slot", "x", "slot", "shard"]
+    owner = sharding.lookup_table(["s1", "s2"], 101)
+    from pyspark.sql import functions as F
+
+    want = {r["x"]: r["s"] for r in df.select("x", F.pmod(F.xxhash64(F.col("`a.b`").cast("string")), F.lit(101)).alias("s")).collect()}
+    for r in out.collect():
+        assert (r["_shard"], r["_slot"], r["slot"]) == ("p", -r["x"], want[r["x"]]) and r["shard"] == ["s1", "s2"][owner[r["slot"]]]
+
+
 def test_bad_tables():
     for bad in ([], ["a"] * 0):
         with pytest.raises(ValueError):
