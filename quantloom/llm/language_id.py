@@ -28,7 +28,8 @@ from quantloom.llm.common import crc_mod, documents, quoted, row_groups, small_b
 BUCKET_BITS = 15
 ORDERS = 3
 SMOOTHING = 0.5
-#: The classifier is fitted on at most about this many labelled rows, chosen by a hash of their ids.
+#: The classifier is fitted on at most about this many labelled rows, as many of each language, chosen by a hash of
+#: their ids; a language with fewer rows than its share gives all of them, and a chosen row's whole text counts.
 MAX_TRAINING_ROWS = 20_000
 BLOCK = 1 << 18
 UND = "und"
@@ -121,7 +122,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model | Non
         return None
     langs = sorted(known)
     if total > max_rows:
-        share = int(max_rows / total * (1 << 30))
+        cuts = {x: int(min(1.0, max_rows / len(known) / n) * (1 << 30)) for x, n in known.items()}
+        share = F.element_at(F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv]), F.col("lang"))
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     index = {x: k for k, x in enumerate(langs)}
 

@@ -20,6 +20,14 @@ def test_edges(spark, make):
     assert {r["lang_pred"] for r in language_id.predict(make(rows), None).collect()} == {"und"}
 
 
+def test_a_rare_language_keeps_its_training_rows(spark):
+    rows = [(i, "the and of it", "en") for i in range(400)] + [(1000 + i, "der die das und", "de") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=40)
+    assert model.langs == ["de", "en"]
+    out = language_id.predict(spark.createDataFrame([(1, "der das")], "doc_id long, text string"), model).first()
+    assert out["lang_pred"] == "de"
+
+
 def test_sparse_scores_against_brute_force(sample, monkeypatch):
     import pyarrow as pa
 
