@@ -83,8 +83,6 @@ def fingerprints(df: DataFrame) -> DataFrame:
 def verified(fps: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = MAX_DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (a, b) within ``most`` bits: first by the pivot table, a few coordinates at a time, then exactly."""
     for at in range(0, table.shape[1], 8):
-        if len(a) < 64:
-            break
         part = table[:, at : at + 8]
         keep = (np.abs(part[a] - part[b]) <= most).all(axis=1)
         a, b = a[keep], b[keep]

@@ -47,6 +47,22 @@ def test_edges(make):
     assert got(simhash.near_duplicates(make([]))) == []
 
 
+def test_pivots_discard_and_lose_nothing():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    fps[200:] = fps[:200] ^ (np.uint64(1) << rng.integers(0, 63, 200).astype(np.uint64))
+    table = np.bitwise_count(fps[:, None] ^ simhash.pivots()[None, :]).astype(np.int8)
+    for n in (400, 9):
+        a, b = np.triu_indices(n, 1)
+        x, y = simhash.verified(fps, table, a, b)
+        near = np.bitwise_count(fps[a] ^ fps[b]) <= 3
+        assert set(zip(x.tolist(), y.tolist())) == set(zip(a[near].tolist(), b[near].tolist()))
+    far = np.zeros_like(table)
+    far[::2] = 9  # a table that sets all even rows apart from the odd ones: its coordinates decide before any check
+    x, y = simhash.verified(fps, far, np.array([0, 0]), np.array([200, 201]))
+    assert y.tolist() == [200]
+
+
 def test_links_survive_every_split():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
