@@ -1,18 +1,19 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The index holds one posting (row, term, position) for every occurrence in the corpus of a term that the benchmark
-uses, and one header for every document (the empty term, with the number of words). It is stored as a table, dealt
-by document: a task writes the postings of its own documents, so building it moves no text.
+The index holds one posting (row, term, position) for every word of the corpus, and one header for every document (the
+empty term, with the number of words). It is stored as a table, dealt by document: a task writes the postings of its
+own documents, so building it moves no text and needs no benchmark.
 
 Search works from the rarest terms. Each window of a benchmark item is looked up by the term with the fewest
 postings; a posting at position p of a term at place q of the item proposes the alignment p - q, which stays if the
 second rarest term has a posting where it must. Alignments are then intersected with the postings of all terms of the
 item, each list shifted by the term's place, and a window occurs where a run of matching places is as long as the
-window. ``proximity`` finds queries whose terms all stand within a
-number of words of an occurrence of their rarest term, in any order.
+window. Proximity matches are the items whose ``NEAR_TERMS`` rarest terms all stand within ``SLOP`` words of an
+occurrence of the rarest one, in any order; their number is ``n_near`` and decides nothing.
 
-Nothing is sampled and no list is capped. Benchmark terms are broadcast while they are few (``BROADCAST_ROWS``),
-otherwise they are joined by a shuffle; the same holds for the rows with alignments.
+Nothing is sampled and no list is capped. Postings are counted before they meet the benchmark's terms if these are too
+many to broadcast, so a frequent word never gathers in one task; lists of rare terms and of alignments are broadcast
+while they are small in bytes (``bounded``), and shuffled beyond that.
 
 Cases: a null or empty text has no words; an item without words has no windows; items that share an item_id count as
 one item; an item with a null id marks words but has no place in the list of ids; documents that repeat a doc_id are
@@ -26,9 +27,11 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ROW, bounded, documents, numbered, store, table, without_rows
+from quantloom.llm.common import ROW, bounded, documents, numbered, small, store, table, without_rows
 
 WINDOW = 13
+NEAR_TERMS = 3
+SLOP = 13
 WORD = "[0-9a-z\\x{80}-\\x{10FFFF}]+"
 
 
@@ -44,14 +47,21 @@ def benchmark_terms(items: DataFrame, id_column: str = "item_id") -> DataFrame:
     return taken.select("iid", "item", F.size("w").alias("size"), F.posexplode("w").alias("q", "term"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (rid, term, pos) of all terms in ``terms`` (term, distinct) and headers (rid, "", words, doc_id)."""
-    # the headers' term goes in with the others, so that a document without a known term has its header too
-    known = bounded(store(terms.union(terms.sparkSession.createDataFrame([("",)], "term string")), "terms"))
+def build_index(docs: DataFrame) -> DataFrame:
+    """Postings (rid, term, pos) of all words of ``docs`` and headers (rid, "", words, doc_id)."""
     split = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), words("text").alias("w"))
     placed = split.select("doc_id", "rid", F.size("w").alias("n"), F.posexplode(F.concat(F.array(F.lit("")), "w")).alias("p", "term"))
-    found = placed.join(known, "term")
-    return store(found.select("rid", "term", F.when(F.col("term") == "", F.col("n")).otherwise(F.col("p") - 1).alias("pos"), F.when(F.col("term") == "", F.col("doc_id")).alias("doc_id")), "index")
+    head = F.col("term") == ""
+    return store(placed.select("rid", "term", F.when(head, F.col("n")).otherwise(F.col("p") - 1).alias("pos"), F.when(head, F.col("doc_id")).alias("doc_id")), "index")
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, postings) of the ``terms`` (term) that the index holds."""
+    wanted = store(terms.select("term").distinct(), "terms")
+    postings = index.where("term <> ''").select("term")
+    if small(wanted):
+        return store(postings.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("postings")), "postings")
+    return store(postings.groupBy("term").agg(F.count("*").alias("postings")).join(wanted, "term"), "postings")
 
 
 def anchors(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
@@ -67,36 +77,43 @@ def anchors(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     return picked.where(begins & (first["n"] > 0)).select("iid", first["q"].alias("q"), first["term"].alias("term"), second["q"].alias("q2"), second["term"].alias("term2")).distinct()
 
 
-def phrase_hits(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+def phrase_hits(index: DataFrame, terms: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, item, pos): every document position inside an occurrence of a window, by item."""
     postings = index.where("term <> ''").select("rid", "term", "pos")
-    counts = store(postings.groupBy("term").agg(F.count("*").alias("postings")), "postings")
     seeds = store(anchors(terms, counts, window), "anchors")
     # the rarest term proposes an alignment, the second rarest must stand where that puts it
     proposed = postings.join(bounded(seeds), "term").select("rid", "iid", (F.col("pos") - F.col("q")).alias("at"), "q2", "term2").distinct()
     proposed = store(proposed.select("rid", "iid", "at", (F.col("at") + F.col("q2")).alias("pos"), F.col("term2").alias("term")), "proposed")
     second = bounded(store(seeds.where("term2 IS NOT NULL").select(F.col("term2").alias("term")).distinct(), "second"))
-    met = postings.join(second, "term", "left_semi").join(bounded(proposed, 200_000), ["rid", "pos", "term"])
+    met = postings.join(second, "term", "left_semi").join(bounded(proposed), ["rid", "pos", "term"])
     aligned = store(met.select("rid", "iid", "at").union(proposed.where("term IS NULL").select("rid", "iid", "at")).distinct(), "alignments")
     rows = bounded(store(aligned.select("rid").distinct(), "aligned-rows"))
-    expected = aligned.join(bounded(terms, 200_000), "iid").select("rid", "term", (F.col("at") + F.col("q")).alias("pos"), "iid", "item", "at", "q", "size")
+    expected = aligned.join(bounded(terms), "iid").select("rid", "term", (F.col("at") + F.col("q")).alias("pos"), "iid", "item", "at", "q", "size")
     met = postings.join(rows, "rid", "left_semi").join(expected, ["rid", "pos", "term"])
     run = met.withColumn("run", F.col("q") - F.row_number().over(Window.partitionBy("rid", "iid", "at").orderBy("q")))
     long = F.count("*").over(Window.partitionBy("rid", "iid", "at", "run"))
     return run.withColumn("long", long).where(F.col("long") >= F.least(F.lit(window), "size")).select("rid", "item", "pos")
 
 
-def proximity(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
+def rarest(terms: DataFrame, counts: DataFrame, most: int = NEAR_TERMS) -> DataFrame:
+    """(query, term): up to ``most`` of each item's distinct terms, those with the fewest postings."""
+    each = terms.select(F.col("iid").alias("query"), "term").distinct().join(counts, "term", "left")
+    by = Window.partitionBy("query").orderBy(F.coalesce("postings", F.lit(0)), "term")
+    return each.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most).select("query", "term")
+
+
+def proximity(index: DataFrame, queries: DataFrame, slop: int = SLOP) -> DataFrame:
     """(rid, query, pos): postings of a query's rarest term that have every other term within ``slop`` words.
 
     ``queries`` has (query, term); a query with a term that the index lacks has no match.
     """
-    wanted = queries.select("query", "term").distinct()
+    wanted = bounded(store(queries.select("query", "term").distinct(), "near-terms"))
     postings = index.where("term <> ''").select("rid", "term", "pos")
-    counts = postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = term_counts(index, queries).withColumnRenamed("postings", "n")
     ranked = wanted.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per = ranked.groupBy("query").agg(F.min(F.struct("n", "term")).alias("rare"), F.count("*").alias("terms")).where("rare.n > 0")
-    rare = postings.join(per.select("query", "terms", F.col("rare.term").alias("term")), "term").select("rid", "query", "terms", F.col("pos").alias("at"))
+    rarest_ = bounded(store(per.select("query", "terms", F.col("rare.term").alias("term")), "near-rarest"))
+    rare = postings.join(rarest_, "term").select("rid", "query", "terms", F.col("pos").alias("at"))
     # both sides are filed by stretches of slop words, and the rarest side under its own and both neighbours
     width = max(1, slop)
     filed = rare.withColumn("file", F.explode(F.array(*[F.floor(F.col("at") / width) + k for k in (-1, 0, 1)])))
@@ -107,13 +124,15 @@ def proximity(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near of every row of ``docs``."""
     terms = store(benchmark_terms(items), "benchmark")
-    index = build_index(docs, terms.select("term").distinct())
-    hits = store(phrase_hits(index, terms, window), "hits")
+    index = build_index(docs)
+    counts = term_counts(index, terms)
+    hits = store(phrase_hits(index, terms, counts, window), "hits")
+    near = proximity(index, rarest(terms, counts)).select("rid", "query").distinct().groupBy("rid").agg(F.count("*").alias("n_near"))
     hit = hits.select("rid", "pos").distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     met = hits.select("rid", "item").distinct().groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = index.where("term = ''").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words")).join(hit, "rid", "left").join(met, "rid", "left")
+    out = index.where("term = ''").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words")).join(hit, "rid", "left").join(met, "rid", "left").join(near, "rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -123,6 +142,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
@@ -131,7 +151,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated rows go, whatever their doc_id."""
+    """Pipeline stage: contaminated rows go, whatever their doc_id.
+
+    A null text is not contaminated and stays; of repeated rows each is judged; an empty table stays empty.
+    """
     docs = numbered(docs)
     found = decontaminate(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return without_rows(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW)))

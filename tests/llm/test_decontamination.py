@@ -57,12 +57,26 @@ def test_edges(spark, make):
 def test_proximity(spark, make):
     docs = make([(1, "alpha x beta"), (2, "alpha x x x x beta"), (3, "beta alpha"), (4, "alpha")])
     q = spark.createDataFrame([(9, "alpha"), (9, "beta"), (8, "gamma"), (8, "alpha")], "query long, term string")
-    index = dc.build_index(docs, q.select("term").distinct())
+    index = dc.build_index(docs)
     heads = index.where("term = ''").select("rid", "doc_id")
     near = dc.proximity(index, q, 2).join(heads, "rid")
     assert sorted((r["doc_id"], r["query"]) for r in near.collect()) == [(1, 9), (3, 9)]
 
 
+def test_near_counts_items_by_their_rarest_terms(spark, make):
+    docs = make([(1, "alpha w w beta w gamma"), (2, "gamma " + "w " * 30 + "alpha beta"), (3, "alpha beta"), (4, None)])
+    items = spark.createDataFrame([(1, "beta w alpha w gamma w"), (2, "alpha beta"), (3, "nowhere alpha"), (4, None)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_near"] for r in dc.decontaminate(docs, items).collect()} == {1: 2, 2: 1, 3: 1, 4: 0}
+
+
+def test_terms_too_many_to_broadcast(spark, make, sample, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = got(dc.decontaminate(make(sample), items))
+    monkeypatch.setattr(dc, "small", lambda df: False)
+    monkeypatch.setattr(dc, "bounded", lambda df: df)
+    assert got(dc.decontaminate(make(sample), items)) == want
+
+
 def test_stage_drops_contaminated_only(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = {r["doc_id"] for r in dc.op4_decontamination(spark, SF).where("contaminated").collect()}
