@@ -7,9 +7,11 @@ over long runs (possessive repeats; an email may only start where its run of cha
 ended), which leaves the matches as they are.
 
 Kinds: email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits) and, added by the method,
-iban (as long as its country's are, mod-97). A match that fails its check is dropped. A span's score is that of its kind, plus ``CONTEXT_BONUS``
-if a word of the kind stands within ``CONTEXT`` characters; spans of added kinds below ``LEAST_SCORE`` are dropped,
-those of the four base kinds always stay.
+iban (as long as its country's are, mod-97), ssn (three groups of digits, none of them void) and secret (32 or more
+hexadecimal digits with both letters and figures). A match that fails its check is dropped. A span's score is that of
+its kind, plus ``CONTEXT_BONUS`` if a word of the kind stands within ``CONTEXT`` characters; spans of added kinds below
+``LEAST_SCORE`` are dropped, those of the four base kinds always stay. So an iban, which mod-97 confirms, needs no
+context, and the words beside it decide whether a number is an ssn or a string of digits a secret.
 
 Cases: a null or empty text has no spans; spans of different kinds may overlap and all are listed; equal starts are
 listed in the order of kinds; repeated rows are each searched; an empty table gives no rows; further columns are
@@ -23,10 +25,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded, documents, quoted, store
+from quantloom.llm.common import ROW, bounded, documents, numbered, quoted, store
 
 CONTEXT = 40
-CONTEXT_BONUS = 0.1
+CONTEXT_BONUS = 0.25
 LEAST_SCORE = 0.8
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -46,17 +48,21 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:{_KNOWN_IBAN}|{_OTHER_IBAN})",
+    "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
+    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A cheap test that every text with a match passes.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "secret": "[0-9A-Fa-f]{32}"}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.85, "ssn": 0.6, "secret": 0.6}
 CONTEXT_WORDS = {
     "email": "(?i)mail|contact|address",
     "ip": "(?i)\\bip\\b|host|server|address|login",
     "card": "(?i)card|credit|visa|pay|debit",
     "phone": "(?i)phone|call|tel|mobile|fax",
     "iban": "(?i)iban|account|bank|transfer",
+    "ssn": "(?i)\\bssn\\b|social|security|taxpayer",
+    "secret": "(?i)token|secret|\\bkey|api_?key|passw|credential|bearer",
 }
 
 
@@ -74,6 +80,8 @@ def confirmed(kind: Column, match: Column) -> Column:
         .when(kind == "card", n.between(12, 19) & F.call_function("luhn_check", digits))
         .when(kind == "phone", n.between(9, 15))
         .when(kind == "iban", F.length(bare).between(15, 34) & (rest == 1))
+        .when(kind == "ssn", ~match.rlike("^(?:000|666|9)|-00-|0000$"))
+        .when(kind == "secret", match.rlike("[0-9]") & match.rlike("[A-Fa-f]"))
         .otherwise(F.lit(True))
     )
 
@@ -152,15 +160,18 @@ def redacted(text: Column, found: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows."""
-    keyed = docs.withColumn("__pii_key", F.xxhash64("text")).withColumn("__pii_n", F.length("text"))
-    by = ("doc_id", "__pii_key", "__pii_n")
-    hit = spans(keyed, keep=by).where(F.size("spans") > 0).select(*by, "spans").dropDuplicates(list(by))
-    hit = store(hit, "pii").select(F.col("doc_id").alias("__pii_id"), F.col("__pii_key").alias("__pii_k"), F.col("__pii_n").alias("__pii_m"), F.col("spans").alias("__pii_spans"))
-    met = keyed.join(bounded(hit, 100_000), F.col("doc_id").eqNullSafe(F.col("__pii_id")) & (F.col("__pii_key") == F.col("__pii_k")) & (F.col("__pii_n") == F.col("__pii_m")), "left")
+    """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows.
+
+    Rows are told apart by number, so repeated ids and rows are redacted one by one; a null text stays null; an empty
+    table stays empty.
+    """
+    columns, kinds = docs.columns, docs.schema
+    docs = numbered(docs)
+    hit = store(spans(docs, keep=(ROW,)).where(F.size("spans") > 0).select(ROW, F.col("spans").alias("__pii_spans")), "pii")
+    met = docs.join(bounded(hit), ROW, "left")
     whole = F.col("__pii_spans").isNull()
     out = met.withColumn("__pii_text", F.when(whole, F.col("text")).otherwise(redacted(F.col("text"), F.col("__pii_spans"))))
     changed = {"text": F.col("__pii_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length("__pii_text")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(quoted(c)) for c in docs.columns])
+    if "n_chars" in columns:
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length("__pii_text")).cast(kinds["n_chars"].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(quoted(c)) for c in columns])

@@ -74,6 +74,13 @@ def test_added_kind_and_context(make):
     assert (out[3]["scores"], out[4]["scores"]) == ("0.9", "1.0")
 
 
+def test_context_decides_added_kinds(make):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}" x'), (2, f"sum {key} x"), (3, "SSN 078-05-1120"), (4, "part 078-05-1120"), (5, "ssn 000-12-3456"), (6, "secret " + "1" * 40), (7, f"secret {key}zz")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(make(rows)).collect()}
+    assert out == {1: "secret:9:49", 2: "", 3: "ssn:4:15", 4: "", 5: "", 6: "", 7: ""}
+
+
 def test_stage_redacts(spark, make):
     rows = [(1, "call +1 (555) 123-4567 or a@b.cd now"), (2, "clean"), (3, None), (1, "call +1 (555) 123-4567 or a@b.cd now"), (None, "9.9.9.9")]
     out = pii.stage(spark, make(rows), "")

@@ -20,8 +20,17 @@ def test_stages_are_named_and_return_documents(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![A-Za-z0-9])"
+
+
+def secrets(text):
+    for m in re.finditer(SECRET, text):
+        if re.search(r"(?i)token|secret|\bkey|api_?key|passw|credential|bearer", text[max(0, m.start() - 40) : m.start()] + " " + text[m.end() : m.end() + 40]):
+            yield m.start(), 6, "secret", m.end()
+
+
 def redact(text):
-    found, out, at = [(a, o, k, b) for a, o, k, b in spans(text)], [], 0
+    found, out, at = [(a, o, k, b) for a, o, k, b in [*spans(text), *secrets(text)]], [], 0
     for a, _, k, b in sorted(found):
         if a >= at:
             out += [text[at:a], f"[{k.upper()}]"]
