@@ -43,6 +43,20 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def store_bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
+    """Like :func:`store`, as a table in buckets of ``column``: grouping it by that column moves nothing.
+
+    Rows go to the files of their buckets from where they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    name = f"quantloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
+    return spark.table(name)
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 

@@ -1,481 +1,453 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-A text is taken as its words (between ASCII white space, A-Z folded), each followed by a boundary, and one end. The
-symbols are the boundary and the commonest bytes of the training texts, ``SYMBOLS`` in all; the rarer bytes share the
-last symbol and are told apart by their frequencies. Contexts are the last symbols of the text, up to ``DEPTH`` of
-them, across words but not across texts. A context is a candidate if at least the share ``LEAST_SHARE`` of all
-symbols follows it (so there are at most 1 / LEAST_SHARE of each length, which bounds what is broadcast and
-collected), and it is retained if the distribution of the next symbol diverges from that after its longest retained
-suffix: count times Kullback-Leibler divergence of at least ``DIVERGENCE`` nats. Distributions are smoothed down the
-chain of suffixes by as many pseudo-counts as there are different next symbols. A symbol is scored in the state of the
-longest retained suffix of what precedes it. Whether a text goes on with a word or ends is drawn after each boundary.
-A
-word's probability is mixed of the tree's and of the word's own discounted share of all training words (``WORD_SHARE`` of the
-weight; the discount goes to the tree). So the probabilities of all texts sum to one.
-
-Candidates are counted length by length over all training texts. Every prefix and suffix of a candidate is one, so
-the candidates are the states of an automaton, and scoring steps through many stretches of text at once.
-
-For the base score words are counted over all training texts too. A task splits its documents in chunks and writes
-each document as numbers of words of its chunk, and each chunk's words, packed by part (a hash of the word), with
-their training counts. A part sums the counts of its words over all chunks, in one shuffle of chunk words (not of
-occurrences), and sends each chunk the sums of its words.
-
-Cases: a null text is empty: just the end; with nothing to train on the base score is 0 for every text and the tree
-is uniform; words only in held-out texts have count 0; repeated rows count as often as they occur; an empty table
-gives no rows; further columns are ignored.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+The symbols are the distinct words of the training texts (between ASCII white space, A-Z folded), one symbol for all
+unknown words, and the end of a text. A context is the last symbols before a token, up to ``DEPTH`` of them within its
+text, the start of the text included. A context is a candidate if at least ``LEAST_COUNT`` training tokens follow it:
+an absolute count, so the tree grows with the corpus. It is retained if the distribution of the next symbol diverges
+from that after the suffix one symbol shorter: count times Kullback-Leibler divergence of at least ``DIVERGENCE`` nats
+for each different next symbol. Distributions are smoothed down the chain of suffixes by as many pseudo-counts as there
+are different next symbols; the empty context's is add-one over all symbols, which is the base model. A token is scored
+in the state of the longest retained suffix of what precedes it, so the score is the log10 probability that the tree
+gives to the sequence of symbols.
+
+Nothing of the tree is broadcast or collected. A task writes its texts as chunks: words once, texts as numbers of words.
+For each length of context in turn a chunk lists its distinct (context, next symbol) with their training counts, dealt
+to parts by a hash of the context; a part sums over all chunks and tells each chunk the sums of what it listed; with them
+the chunk knows its candidates of the next length. So counts are aggregated before they are shuffled, and what is
+shuffled are distinct pairs of chunks, not occurrences. A context that more than a share ``HOT`` of all tokens follows is
+dealt to as many parts as its share of them, by its next symbols. The words of the shortest contexts travel as they are;
+longer contexts are named by 64-bit hashes, and next symbols within a context by 40 bits of a hash.
+
+Cases: a null text is empty: just the end; with nothing to train on every symbol is the unknown one and both scores are
+0; words only in held-out texts have count 0; repeated rows count as often as they occur; an unbroken run of any length
+is one word; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import crc_mod, documents, part_count, row_groups, small_batches, store, text_bytes
+from quantloom.llm.common import crc_mod, documents, part_count, small_batches, store, store_bucketed
 
-DEPTH = 6
-LEAST_SHARE = 1e-5
-DIVERGENCE = 20.0
-CHUNK_BYTES = 16 << 20
-#: Weight of whole words beside the tree, and what is taken off each word's count for the tree.
-WORD_SHARE = 0.25
-DISCOUNT = 0.75
-SYMBOLS = 64
-BOUNDARY = 32
-#: Bytes of text turned into symbols at a time, and length of the stretches that are scored side by side.
-BLOCK = 1 << 20
-STRETCH = 256
-#: Counters kept at once while counting contexts.
-COUNTERS = 1 << 25
+DEPTH = 2
+LEAST_COUNT = 4
+DIVERGENCE = 2.0
+CHUNK_BYTES = 32 << 20
+#: Share of all tokens from which a context is dealt to several parts.
+HOT = 1 / 2_000
+#: The start of a text, among the words of a part: no word holds white space.
+START = b"\t"
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_LOW40 = np.uint64((1 << 40) - 1)
 
-# ---- symbols ---------------------------------------------------------------------------------------------------
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def blanked(text: str) -> Column:
-    """The text between two blanks, so that :func:`canonical` needs to insert nothing."""
-    return F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")), F.lit(" "))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of one type, byte by byte of their places, compressed."""
+    least = np.min_scalar_type(values.max(initial=0)) if values.dtype.kind == "u" else values.dtype
+    values = np.ascontiguousarray(values.astype(least))
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return least.char.encode() + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all blanked texts as boundary, word, boundary, word .. boundary, and where each begins (n+1)."""
-    raw = _FOLD[data]
-    space = _SPACE[raw]
-    raw[space] = BOUNDARY
-    gone = np.zeros(len(raw), bool)  # a blank after a blank of the same text
-    np.logical_and(space[1:], space[:-1], out=gone[1:])
-    gone[offsets[:-1]] = False
-    keep = ~gone
-    return raw[keep], np.concatenate(([0], np.cumsum(np.add.reduceat(keep, offsets[:-1], dtype=np.int64))))
+def unpack(raw: bytes) -> np.ndarray:
+    kind = np.dtype(raw[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def streams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, canonical bytes, starts) of runs of blanked texts of about BLOCK bytes; a longer text stands alone."""
-    data, offsets = text_bytes(column)
-    for i, j in row_groups(offsets, BLOCK):
-        yield (i, *canonical(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+def blanked(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit(""))
 
 
-def byte_counts(texts: DataFrame) -> np.ndarray:
-    """How often each byte follows something in the canonical texts of ``texts`` (blank)."""
+# ---- chunks ----------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(256, np.int64)
-        for b in batches:
-            for _, s, starts in streams(b.column("blank")):
-                n += np.bincount(s, minlength=256)
-                n[BOUNDARY] -= len(starts) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(n)], ["byte", "n"])
-
-    out = np.zeros(256, np.int64)
-    for r in small_batches(texts.select("blank")).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
-        out[r["byte"]] = r["n"]
-    return out
 
+def chunked(df: DataFrame) -> DataFrame:
+    """Rows (chunk, words, ids, doc_id, train, length, hot, hot_n) of documents (doc_id, text, train), dealt as they stand.
 
-# ---- the tree --------------------------------------------------------------------------------------------------
+    ``words`` are the chunk's distinct words, most frequent first; ``ids`` its texts, one after another; ``hot`` the
+    contexts that a share HOT of its training tokens follows.
+    """
+    kind = df.schema["doc_id"].dataType.simpleString()
+    names = ["chunk", "words", "ids", "doc_id", "train", "length", "tokens", "hot", "hot_n"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made, size = TaskContext.get().partitionId() << 33, 0, 0
+        number: dict[bytes, int] = {}
+        texts: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+        train: list[bool] = []
+
+        def flush() -> pa.RecordBatch:
+            length = np.array([len(x) for x in texts], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int32), *texts])
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            place = np.empty(len(number), np.uint32)
+            place[order] = np.arange(len(number), dtype=np.uint32)
+            words = np.array([*number, None], object)[:-1][order]
+            used = np.repeat(np.array(train, bool), length)
+            follows = np.bincount(place[flat[used]], minlength=len(words))
+            tokens = int(used.sum()) + sum(train)
+            hot = np.flatnonzero(follows >= max(1, HOT * tokens)).tolist()
+            listed = [words[k] for k in hot] + [START]
+            counts = [int(follows[k]) for k in hot] + [sum(train)]
+            columns = [[base + made], [zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))], [pack(place[flat])]]
+            docs = [pa.concat_arrays(ids).to_pylist(), train.copy(), length.tolist()]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(ids[0].type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            values = [*columns, *([x] for x in docs), [tokens], [listed], [counts]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
-@dataclass
-class Tree:
-    """States 0.. are the candidates, the empty context first, shorter before longer."""
-
-    symbol: np.ndarray  # of each byte
-    rare: np.ndarray  # log10 of each byte's share of its symbol
-    contexts: list[np.ndarray]  # by length: candidates, packed by six bits a symbol, the newest lowest; sorted
-    retained: list[np.ndarray]  # by length: whether a candidate is retained
-    logp: np.ndarray  # states x SYMBOLS, log10, in the state's longest retained suffix
-    jump: np.ndarray | None = None  # states x (SYMBOLS + 1): where the next state's row begins; the last column: a text begins
-
-    @property
-    def depth(self) -> int:
-        return len(self.contexts) - 1
-
-    def first(self, d: int) -> int:
-        return sum(len(c) for c in self.contexts[:d])
-
-
-def alphabet(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each byte (0: the boundary), and log10 of the byte's share of its symbol."""
-    order = [BOUNDARY, *(int(b) for b in np.lexsort((np.arange(256), -counts)) if b != BOUNDARY)]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[order[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-    rest = order[SYMBOLS - 1 :]
-    rare = np.zeros(256)
-    rare[rest] = np.log10((counts[rest] + 0.5) / (counts[rest] + 0.5).sum())
-    return symbol, rare
-
-
-def known(starts: np.ndarray, d: int) -> np.ndarray:
-    """Which positions have at least ``d`` symbols of their own text before them."""
-    out = np.ones(int(starts[-1]), bool)
-    for k in range(d):
-        at = starts[:-1] + k
-        out[at[at < len(out)]] = False
-    return out
+        for b in batches:
+            raw = b.column("blank").cast(pa.binary())
+            told = b.column("train").to_pylist()
+            for k in range(b.num_rows):
+                text = raw[k].as_py()
+                texts.append(np.array([number.setdefault(w, len(number)) for w in text.lower().split()], np.int32))
+                ids.append(b.column("doc_id").slice(k, 1))
+                train.append(told[k])
+                size += len(text)
+                if size >= CHUNK_BYTES:
+                    yield flush()
+                    made, size = made + 1, 0
+                    for x in (number, texts, ids, train):
+                        x.clear()
+        if texts:
+            yield flush()
 
+    schema = f"chunk long, words binary, ids binary, doc_id array<{kind}>, train array<boolean>, length array<long>, tokens long, hot array<binary>, hot_n array<long>"
+    return small_batches(df.select("doc_id", "train", blanked("text").alias("blank"))).mapInArrow(run, schema)
 
-def places(y: np.ndarray, contexts: list[np.ndarray], depth: int) -> np.ndarray:
-    """For each position which candidate of length ``depth`` precedes it, from 1; 0 if none (or if it cannot be known)."""
-    n, first = len(y), min(depth, 3)
-    key = np.zeros(n, np.int32)
-    for d in range(first, 0, -1):
-        key[d:] |= y[: n - d].astype(np.int32) << (6 * (d - 1))
-    table = np.zeros(SYMBOLS**first, np.int32)
-    table[contexts[first]] = np.arange(1, len(contexts[first]) + 1)
-    place = table[key]
-    for d in range(4, depth + 1):
-        # the oldest symbol stands highest, so a candidate is found by its suffix and that symbol
-        suffix = np.searchsorted(contexts[d - 1], contexts[d] & ((1 << 6 * (d - 1)) - 1)) + 1
-        table = np.zeros((len(contexts[d - 1]) + 1) * SYMBOLS, np.int32)
-        table[suffix * SYMBOLS + (contexts[d] >> 6 * (d - 1))] = np.arange(1, len(contexts[d]) + 1)
-        step = place * np.int32(SYMBOLS)
-        step[d:] += y[: n - d]
-        place = table[step]
-    return place
-
-
-def next_counts(texts: DataFrame, symbol: np.ndarray, contexts: list[np.ndarray], d: int, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(context << 6 | next, count) of contexts of ``d`` symbols that at least ``least`` symbols follow.
-
-    For d = 3 the shorter ones come with it (a list by length); longer ones extend candidates of length d - 1 at either
-    end.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast((symbol, contexts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_symbol, kept = sent.value
-        size = SYMBOLS**4 if d == 3 else (len(kept[d - 1]) + 1) * SYMBOLS**2
-        dense = np.zeros(size, np.int64 if d == 3 else np.int32) if size <= COUNTERS else None
-        short = [np.zeros(SYMBOLS ** (k + 1), np.int64) for k in range(3)]
-        sparse: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            for _, s, starts in streams(b.column("blank")):
-                y = to_symbol[s]
-                n = len(y)
-                if d == 3:
-                    for k in (1, 2):
-                        at = starts[:-1] + k
-                        at = at[at < starts[1:]]
-                        key = np.zeros(len(at), np.int64)
-                        for x in range(k, -1, -1):
-                            key = key << 6 | y[at - x]
-                        np.add.at(short[k], key, 1)
-                    key = np.zeros(n, np.int32)
-                    for x in (3, 2, 1, 0):
-                        key[x:] |= y[: n - x].astype(np.int32) << (6 * x)
-                    key = key[known(starts, 3)]
-                else:
-                    place = places(y, kept, d - 1)
-                    ok = known(starts, d)
-                    ok[1:] &= (place[1:] > 0) & (place[:-1] > 0)
-                    at = np.flatnonzero(ok)
-                    key = place[at].astype(np.int64) << 12 | y[at - d].astype(np.int64) << 6 | y[at]
-                if dense is not None:
-                    np.add.at(dense, key, 1)
-                else:
-                    sparse.append(np.unique(key, return_counts=True))
-                    if len(sparse) > 32:
-                        sparse = [merged(sparse)]
-        found = [(k, np.flatnonzero(x), x[x > 0]) for k, x in enumerate(short)]
-        if dense is not None:
-            key = np.flatnonzero(dense)
-            found.append((d, key, dense[key]))
-        elif sparse:
-            found.append((d, *merged(sparse)))
-        for k, key, n in found:
-            if k == d and d > 3:
-                key = kept[d - 1][(key >> 12) - 1] << 6 | (key & 63) | (key >> 6 & 63) << 6 * d
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], ["d", "key", "n"])
-
-    pairs = small_batches(texts.select("blank")).mapInArrow(run, "d int, key long, n long").groupBy("d", "key").agg(F.sum("n").alias("n"))
-    if d > 3:
-        pairs = pairs.groupBy(F.shiftright("key", 6).alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("next")).where(F.col("total") >= least).select(F.explode("next").alias("x")).select(F.lit(d).alias("d"), "x.key", "x.n")
-    # up to three symbols: at most SYMBOLS ** 4 rows; beyond: at most SYMBOLS / LEAST_SHARE rows
-    got = pairs.toPandas()
-    out = []
-    for k in range(4) if d == 3 else [d]:
-        mine = got[got["d"] == k]
-        out.append((mine["key"].to_numpy(np.int64), mine["n"].to_numpy(np.int64)))
-    return out
+@dataclass
+class Told:
+    """What all tasks know: bounded numbers, whatever the corpus."""
 
+    parts: int
+    hot: dict[bytes, int]  # frequent contexts of one symbol (at most 1 / HOT and the start) and to how many parts each is dealt
+    tokens: int = 0
+    kinds: int = 0
+    least: int = LEAST_COUNT
+    divergence: float = DIVERGENCE
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
-    return keys[cut], np.add.reduceat(n, cut) if len(keys) else n
-
-
-def table_of(keys: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (sorted) and their counts of next symbols."""
-    contexts, at = np.unique(keys >> 6, return_inverse=True)
-    total = np.bincount(at, weights=n, minlength=len(contexts))
-    keep = total >= least
-    row = np.cumsum(keep) - 1
-    ok = keep[at]
-    table = np.zeros((int(keep.sum()), SYMBOLS))
-    np.add.at(table, (row[at[ok]], keys[ok] & 63), n[ok])
-    return contexts[keep], table
-
-
-def grow(tree: Tree, contexts: np.ndarray, table: np.ndarray) -> None:
-    """Add the candidates of one more symbol and retain those that diverge."""
-    d = len(tree.contexts)
-    suffix = np.searchsorted(tree.contexts[d - 1], contexts & ((1 << 6 * (d - 1)) - 1)) + tree.first(d - 1)
-    parent = 10.0 ** tree.logp[suffix]
-    total = table.sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        divergence = np.where(table > 0, table * np.log(table / total / parent), 0.0).sum(axis=1)
-    kinds = (table > 0).sum(axis=1, keepdims=True)
-    smoothed = np.log10((table + kinds * parent) / (total + kinds))
-    keep = divergence >= DIVERGENCE
-    tree.contexts.append(contexts)
-    tree.retained.append(keep)
-    tree.logp = np.concatenate((tree.logp, np.where(keep[:, None], smoothed, tree.logp[suffix])))
-
-
-def jumps(tree: Tree) -> np.ndarray:
-    """Where the row of the next state begins (its number times SYMBOLS + 1) by state and symbol: the longest candidate
-    that the state with the symbol ends in."""
-    out = np.zeros((len(tree.logp), SYMBOLS + 1), np.int32)
-    symbols = np.arange(SYMBOLS)
-    for d in range(tree.depth + 1):
-        at = tree.first(d) + np.arange(len(tree.contexts[d]))
-        # without the oldest symbol: what the suffix would do, unless the longer context is a candidate
-        if d:
-            suffix = np.searchsorted(tree.contexts[d - 1], tree.contexts[d] & ((1 << 6 * (d - 1)) - 1)) + tree.first(d - 1)
-            out[at, :SYMBOLS] = out[suffix, :SYMBOLS]
-        if d < tree.depth and len(tree.contexts[d + 1]):
-            longer = (tree.contexts[d][:, None] << 6) | symbols
-            place = np.minimum(np.searchsorted(tree.contexts[d + 1], longer), len(tree.contexts[d + 1]) - 1)
-            met = tree.contexts[d + 1][place] == longer
-            out[at, :SYMBOLS] = np.where(met, place + tree.first(d + 1), out[at, :SYMBOLS])
-    out[:, SYMBOLS] = out[0, 0]
-    out *= SYMBOLS + 1
-    return out
 
+@dataclass
+class Level:
+    """The distinct (context, next) of a chunk and how they are dealt to parts."""
+
+    inv: np.ndarray  # of each occurrence its pair
+    first: np.ndarray  # of each pair an occurrence
+    context: np.ndarray  # of each pair
+    n: np.ndarray  # of each pair: training occurrences
+    owner: np.ndarray  # of each entry, part by part: its context
+    salt: np.ndarray
+    part: np.ndarray
+    order: np.ndarray  # pairs, entry by entry
+    entry: np.ndarray  # of each pair in that order: its entry
+    key40: np.ndarray  # of each pair in that order: the next symbol
+    names: np.ndarray  # of each entry
+
+    @classmethod
+    def of(cls, context: np.ndarray, symbol: np.ndarray, symbols: int, train: np.ndarray, names: np.ndarray, salts: np.ndarray, hashes: np.ndarray, parts: int) -> Level:
+        key, first, inv = np.unique(context.astype(np.int64) * symbols + symbol, return_index=True, return_inverse=True)
+        of, nxt = key // symbols, key % symbols
+        begin = np.cumsum(salts) - salts
+        owner = np.repeat(np.arange(len(salts)), salts)
+        salt = np.arange(len(owner)) - begin[owner]
+        named = mixed(names[owner] + salt.astype(np.uint64) * _ODD)
+        part = (named % np.uint64(parts)).astype(np.int64)
+        dealt = np.argsort(part, kind="stable")
+        rank = np.empty(len(dealt), np.int64)
+        rank[dealt] = np.arange(len(dealt))
+        short = hashes[nxt] & _LOW40
+        entry = rank[begin[of] + (short % salts[of].astype(np.uint64)).astype(np.int64)]
+        order = np.lexsort((short, entry))
+        n = np.bincount(inv, weights=train, minlength=len(key))
+        return cls(inv, first, of, n, owner[dealt], salt[dealt], part[dealt], order, entry[order], short[order], named[dealt])
+
+    def rows(self, chunk: int, keys, sums: np.ndarray | None = None) -> pa.Table:
+        """One row for each part; ``keys(i, j)`` packs the names of entries i to j."""
+        cuts = np.flatnonzero(np.concatenate(([True], self.part[1:] != self.part[:-1], [True]))) if len(self.part) else np.zeros(1, np.int64)
+        runs = np.bincount(self.entry, minlength=len(self.part)).astype(np.uint64)
+        at = np.concatenate(([0], np.cumsum(runs))).astype(np.int64)
+        n = self.n[self.order].astype(np.uint64)
+        five = self.key40.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums")}
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = at[i], at[j]
+            out["part"].append(int(self.part[i]))
+            out["keys"].append(keys(i, j))
+            out["runs"].append(pack(runs[i:j]))
+            out["next"].append(five[a:b].tobytes())
+            out["n"].append(pack(n[a:b]))
+            out["sums"].append(None if sums is None else sums[i:j].tobytes())
+        kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary()}
+        return pa.table({"chunk": pa.array([chunk] * len(out["part"]), pa.int64()), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
+
+    def heard(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From a part's answers: of each context how many tokens follow it, how many kinds, and its sum; n of each pair."""
+        answers = sorted(answers, key=lambda r: r["part"])
+        joined = [np.concatenate([np.zeros(0), *(unpack(r[c]).astype(float) for r in answers)]) for c in ("total", "kinds", "gain", "n")]
+        size = int(self.owner.max(initial=-1)) + 1
+        total, kinds, gain = (np.bincount(self.owner, weights=x, minlength=size) for x in joined[:3])
+        n = np.empty(len(self.order))
+        n[self.order] = joined[3]
+        return total, kinds, gain, n
+
+
+_SENT = "chunk long, part long, keys binary, runs binary, next binary, n binary, sums binary"
+_HEARD = "of long, level int, part long, total binary, kinds binary, gain binary, n binary, words long, tokens long"
+
+
+def summed(level: int, rows: pa.Table) -> pa.Table:
+    """Of one part: for every row the sums over all rows of what it lists."""
+    told = rows.to_pylist()
+    runs = [unpack(r["runs"]).astype(np.int64) for r in told]
+    cut_e = np.concatenate(([0], np.cumsum([len(x) for x in runs]))).astype(np.int64)
+    words: dict[bytes, int] = {}
+    if level == 1:
+        gid = np.concatenate([np.fromiter((words.setdefault(w, len(words)) for w in r["keys"].split(b"\n")), np.int64) for r in told])
+    else:
+        gid = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in told]), return_inverse=True)[1]
+    size = int(gid.max(initial=-1)) + 1
+    runs_ = np.concatenate(runs)
+    cut_p = np.concatenate(([0], np.cumsum(runs_)))[cut_e]
+    of = np.repeat(gid, runs_)
+    raw = np.frombuffer(b"".join(r["next"] for r in told), np.uint8).reshape(-1, 5)
+    nxt = np.zeros((len(raw), 8), np.uint8)
+    nxt[:, :5] = raw
+    nxt = nxt.view("<u8").ravel()
+    n = np.concatenate([np.zeros(0, np.int64), *(unpack(r["n"]).astype(np.int64) for r in told)])
+    order = np.lexsort((nxt, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (nxt[order][1:] != nxt[order][:-1])
+    group = np.cumsum(new) - 1
+    each = np.bincount(group, weights=n[order], minlength=int(new.sum()))
+    back = np.empty(len(order), np.int64)
+    back[order] = group
+    context = of[order][new]
+    total = np.bincount(context, weights=each, minlength=size)
+    kinds = np.bincount(context, weights=each > 0, minlength=size)
+    gain = np.bincount(context, weights=each * np.log(np.maximum(each, 1)), minlength=size)
+    if level > 1:
+        gain = gain - np.bincount(gid, weights=np.concatenate([np.frombuffer(r["sums"], np.float64) for r in told]), minlength=size)
+    plain = sum(total[k] > 0 for w, k in words.items() if not w.startswith(START) and b" " not in w)
+    out = []
+    for k, r in enumerate(told):
+        e, p = slice(cut_e[k], cut_e[k + 1]), slice(cut_p[k], cut_p[k + 1])
+        some = gid[e]
+        found = [pack(x.astype(np.uint64)) for x in (total[some], kinds[some])]
+        out.append((r["chunk"], level, r["part"], *found, pack(gain[some]), pack(each[back[p]].astype(np.uint64)), int(plain) if not k else 0, int(total.sum()) if not k else 0))
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+    names = ["of", "level", "part", "total", "kinds", "gain", "n", "words", "tokens"]
+    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(names, types, strict=True))})
 
-def train(texts: DataFrame) -> Tree:
-    """The tree of all rows of ``texts`` (text)."""
-    texts = texts.select(blanked("text").alias("blank"))
-    counts = byte_counts(texts)
-    symbol, rare = alphabet(counts)
-    total = int(counts.sum())
-    least = max(2.0, LEAST_SHARE * total)
-    root = np.bincount(symbol, weights=counts, minlength=SYMBOLS)
-    tree = Tree(symbol, rare, [np.zeros(1, np.int64)], [np.ones(1, bool)], np.log10((root + 0.5) / (root.sum() + 0.5 * SYMBOLS))[None, :])
-    if total:
-        by_length = next_counts(texts, symbol, [], 3, least)
-        keys, n = by_length[3]
-        tables = {3: (keys, n)}
-        for k in (2, 1):  # a shorter context: the longer ones without their oldest symbol, and the starts of texts
-            keys = np.concatenate((keys & ((1 << 6 * (k + 1)) - 1), by_length[k][0]))
-            keys, n = merged([(keys, np.concatenate((n, by_length[k][1])))])
-            tables[k] = keys, n
-        for k in (1, 2, 3):
-            grow(tree, *table_of(*tables[k], least))
-        for d in range(4, DEPTH + 1):
-            if not len(tree.contexts[-1]):
-                break
-            grow(tree, *table_of(*next_counts(texts, symbol, tree.contexts, d, least)[0], least))
-    tree.jump, tree.logp = jumps(tree), tree.logp.astype(np.float32)
-    return tree
-
-
-class Scorer:
-    """Steps of the automaton as flat tables."""
-
-    def __init__(self, tree: Tree) -> None:
-        self.tree = tree
-        self.next = tree.jump.ravel()
-        self.gain = np.concatenate((tree.logp, np.zeros((len(tree.logp), 1), np.float32)), axis=1).ravel()
-
-    def words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of the probability of each word (and its boundary) of all texts, given what precedes it; cuts of texts."""
-        out, cuts = [], [np.zeros(1, np.int64)]
-        for _, s, starts in streams(column):
-            begins = np.zeros(len(s), bool)
-            begins[1:] = s[:-1] == BOUNDARY
-            begins[starts[:-1]] = False
-            at = np.flatnonzero(begins)
-            out.append(np.add.reduceat(self.gains(s, starts), at) if len(at) else np.zeros(0))
-            cuts.append(cuts[-1][-1] + np.searchsorted(at, starts[1:]))
-        return np.concatenate([np.zeros(0), *out]), np.concatenate(cuts)
-
-    def gains(self, s: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        y = self.tree.symbol[s]
-        y[starts[:-1]] = SYMBOLS
-        lanes = -(-len(y) // STRETCH)
-        warm = self.tree.depth  # a state depends on so many symbols at most, so a stretch may begin that far ahead
-        padded = np.full(warm + lanes * STRETCH, SYMBOLS, np.uint8)
-        padded[warm : warm + len(y)] = y
-        steps = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (warm + STRETCH, lanes), (1, STRETCH)))
-        gain = np.empty((STRETCH, lanes), np.float32)
-        state = np.zeros(lanes, np.int32)
-        for t in range(warm + STRETCH):
-            at = state + steps[t]
-            if t >= warm:
-                gain[t - warm] = self.gain[at]
-            state = self.next[at]
-        return np.ascontiguousarray(gain.T).ravel()[: len(y)].astype(np.float64) + self.tree.rare[s]
-
-
-# ---- words of chunks -------------------------------------------------------------------------------------------
-
-_NAMES = ["chunk", "doc_id", "train", "ids", "spelled", "part", "words", "n"]
-
-
-def chunked(df: DataFrame, tree: Broadcast, parts: int) -> DataFrame:
-    """Rows of documents (chunk, doc_id, train, ids, spelled: the tree's score of each word) and of a chunk's words.
-
-    The words of a chunk are numbered part by part; a row (chunk, part, words, n) has those of a part, joined by
-    blanks, in the order of their numbers, and their training counts.
-    """
-    kind = df.schema["doc_id"].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 33
-        made, size = 0, 0
-        count: dict[bytes, int] = {}
-        docs: list[tuple] = []
-        doc_type = pa.int64()
-        scorer = Scorer(tree.value)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, size
-            chunk = base + made
-            words = np.array(list(count), object)
-            part = np.fromiter((crc32(w) % parts for w in words), np.int32, len(words))
-            order = np.argsort(part, kind="stable")
-            number = np.empty(len(words), np.int32)
-            number[order] = np.arange(len(words), dtype=np.int32)
-            n = np.zeros(len(words), np.int64)
-            for a in range(0, len(docs), 2_000):
-                some = docs[a : a + 2_000]
-                ids = [number[x[2]] for x in some]
-                for x, i in zip(some, ids, strict=True):
-                    if x[1]:
-                        np.add.at(n, i, 1)
-                none = pa.nulls(len(some))
-                columns = [pa.array([chunk] * len(some)), pa.array([x[0] for x in some], doc_type), pa.array([x[1] for x in some]), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([x[3].tobytes() for x in some], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, _NAMES)
-            words, part = words[order], part[order]
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            none = pa.nulls(len(pairs))
-            columns = [pa.array([chunk] * len(pairs), pa.int64()), none.cast(doc_type), none.cast(pa.bool_()), none.cast(pa.binary()), none.cast(pa.binary()), pa.array(part[cuts[:-1]]), pa.array([b" ".join(words[i:j]) for i, j in pairs], pa.binary()), pa.array([n[i:j].tobytes() for i, j in pairs], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, _NAMES)
-            made, size = made + 1, 0
-            count.clear()
-            docs.clear()
+@dataclass
+class Chunk:
+    """A chunk's tokens, and what is known of them so far."""
+
+    told: Told
+    row: dict
+
+    def __post_init__(self) -> None:
+        raw = zstandard.ZstdDecompressor().decompress(self.row["words"])
+        self.words = raw.split(b"\n") if raw else []
+        ids = unpack(self.row["ids"]).astype(np.int64)
+        length = np.array(self.row["length"], np.int64) + 1
+        self.cuts = np.concatenate(([0], np.cumsum(length)))
+        self.end, self.start = len(self.words), len(self.words) + 1
+        self.symbol = np.full(int(self.cuts[-1]), self.end, np.int64)
+        self.symbol[np.setdiff1d(np.arange(len(self.symbol)), self.cuts[1:] - 1, assume_unique=True)] = ids
+        before = np.concatenate(([self.start], self.symbol[:-1]))
+        before[self.cuts[:-1]] = self.start
+        self.train = np.repeat(np.array(self.row["train"], bool), length).astype(float)
+        self.hashes = np.array([*map(xxhash.xxh64_intdigest, self.words), 0, 1], np.uint64)
+        self.salts = np.ones(self.start + 1, np.int64)
+        self.salts[self.end] = 0
+        for w, k in self.told.hot.items():
+            if w == START:
+                self.salts[self.start] = k
+        if self.told.hot:
+            for at, w in enumerate(self.words):
+                if w in self.told.hot:
+                    self.salts[at] = self.told.hot[w]
+        self.names = self.hashes
+        self.level = Level.of(before, self.symbol, self.start + 1, self.train, self.names, self.salts, self.hashes, self.told.parts)
+        self.at = np.arange(len(self.symbol))  # tokens with a context of the level's length
+
+    def first_rows(self) -> pa.Table:
+        names = [*self.words, b"", START]
+        x = self.level
+
+        def keys(i: int, j: int) -> bytes:
+            # a context in several parts carries the number of its share; a blank is in no word
+            return b"\n".join(names[c] if self.salts[c] == 1 else names[c] + b" %d" % s for c, s in zip(x.owner[i:j].tolist(), x.salt[i:j].tolist(), strict=True))
+
+        return x.rows(self.row["chunk"], keys)
+
+    def walk(self, answers: dict[int, list[dict]], upto: int) -> np.ndarray:
+        """Take in the answers on contexts of 1 .. ``upto`` symbols and file those that are one longer.
+
+        Returns the natural log of each token's probability in the longest retained state so far.
+        """
+        kept = None
+        for d in range(1, upto + 1):
+            total, kinds, gain, n = self.level.heard(answers.get(d, []))
+            if d == 1:
+                total, kinds = (np.concatenate((x, np.zeros(self.start + 1)))[: self.start + 1] for x in (total, kinds))
+                seen = total.copy()
+                seen[self.end] = total[self.start]  # as many texts end as start
+                self.seen = seen[self.symbol]
+                self.chain = np.log((seen + 1) / (self.told.tokens + self.told.kinds + 1))[self.symbol]
+                self.base, scores = self.chain, self.chain.copy()
+                extra = np.flatnonzero(total >= self.told.least)
+                sums = -self.divergence(total, n)[extra]
+            else:
+                size = len(self.names)
+                gain, kinds = (np.concatenate((x, np.zeros(size + len(extra)))) for x in (gain, kinds))
+                if d == 2:  # the sums asked for beside the longer contexts tell which of the shortest are retained
+                    keep = np.zeros(self.start + 1, bool)
+                    keep[extra] = gain[size : size + len(extra)] >= self.told.divergence * kept[0][extra]
+                    settle(scores, keep, *kept[1:])
+                total = self.totals
+                keep = (kinds[:size] > 0) & (gain[:size] - total * np.log(np.maximum(total, 1)) >= self.told.divergence * kinds[:size])
+                extra, sums = extra[:0], np.zeros(0)
+            self.lengthen(total, kinds, n)
+            if d > 1:
+                settle(scores, keep, self.before, self.of, self.chain)
+            kept = kinds, self.before, self.of, self.chain
+            self.file(mixed(self.hashes[extra] ^ _ODD), sums)
+        return scores
+
+    def divergence(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """This chunk's share of count times divergence from the shorter context, of each context."""
+        x = self.level
+        with np.errstate(divide="ignore", invalid="ignore"):
+            part = np.where(x.n > 0, x.n * (np.log(n / total[x.context]) - self.chain[self.at[x.first]]), 0.0)
+        return np.bincount(x.context, weights=part, minlength=len(total))
+
+    def lengthen(self, total: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> None:
+        """Smooth the level's distributions down to the shorter contexts', and turn to contexts of one symbol more."""
+        x, c = self.level, self.level.context
+        here = self.at[x.first]
+        shorter = self.chain[here]
+        candidate = total[c] >= self.told.least
+        with np.errstate(divide="ignore"):
+            smooth = np.where(candidate, np.log((n + kinds[c] * np.exp(shorter)) / np.maximum(total[c] + kinds[c], 1)), shorter)
+        self.chain = self.chain.copy()
+        self.chain[self.at] = smooth[x.inv]
+        self.before, self.of = self.at, c[x.inv]
+        use = np.flatnonzero((n >= self.told.least) & (self.symbol[here] != self.end))
+        place = np.full(len(n), -1)
+        place[use] = np.arange(len(use))
+        follow = place[x.inv]
+        self.names = mixed(self.names[c[use]] * np.uint64(3) + mixed(self.hashes[self.symbol[here[use]]]))
+        self.totals = n[use]
+        self.next = follow[follow >= 0]
+        self.at = self.at[follow >= 0] + 1  # a token that is not the end has a next one in its text
+
+    def file(self, extra: np.ndarray, sums: np.ndarray) -> None:
+        """Deal the contexts to parts; ``extra`` are names of contexts whose ``sums`` alone are asked for."""
+        share = self.totals / max(1, self.told.tokens)
+        salts = np.where(share >= HOT, np.ceil(share * self.told.parts), 1).astype(np.int64)
+        names, salts = np.concatenate((self.names, extra)), np.concatenate((salts, np.ones(len(extra), np.int64)))
+        self.level = x = Level.of(self.next, self.symbol[self.at], self.start + 1, self.train[self.at], names, salts, self.hashes, self.told.parts)
+        self.sums = np.bincount(x.entry, weights=(x.n * self.chain[self.at[x.first]])[x.order], minlength=len(x.owner)).astype(float)
+        asked = x.owner >= len(self.names)
+        self.sums[asked] = sums[x.owner[asked] - len(self.names)]
+
+    def rows(self) -> pa.Table:
+        x = self.level
+        return x.rows(self.row["chunk"], lambda i, j: x.names[i:j].tobytes(), self.sums)
+
+
+def settle(scores: np.ndarray, keep: np.ndarray, tokens: np.ndarray, context: np.ndarray, chain: np.ndarray) -> None:
+    """Tokens after a retained context take its probability."""
+    at = tokens[keep[context]]
+    scores[at] = chain[at]
 
-        for b in batches:
-            doc_type = b.column("doc_id").type
-            raw = b.column("blank").cast(pa.binary()).to_pylist()
-            # half precision is enough beside a word's other half and keeps the table small
-            spelled, cuts = scorer.words(b.column("blank"))
-            spelled = np.maximum(spelled, -65_000).astype(np.float16)
-            for k, (d, t, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("train").to_pylist(), raw, strict=True)):
-                words = text.lower().split()
-                ids = np.array([count.setdefault(w, len(count)) for w in words], np.int32)
-                docs.append((d, t, ids, spelled[cuts[k] : cuts[k + 1]]))
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    yield from flush()
-        if docs:
-            yield from flush()
 
-    return small_batches(df.select("doc_id", "train", blanked("text").alias("blank"))).mapInArrow(run, f"chunk long, doc_id {kind.simpleString()}, train boolean, ids binary, spelled binary, part int, words binary, n binary")
+# ---- scoring ---------------------------------------------------------------------------------------------------
 
 
-def summed(words: pa.Table) -> pa.Table:
-    """Of one part: for each chunk the training counts of its words over all chunks, and how many words and counts there are."""
-    rows = words.to_pylist()
-    total: dict[bytes, int] = {}
-    for r in rows:
-        for w, n in zip(r["words"].split(b" "), np.frombuffer(r["n"], np.int64).tolist(), strict=True):
-            total[w] = total.get(w, 0) + n
-    sums = [np.fromiter(map(total.__getitem__, r["words"].split(b" ")), np.int64).tobytes() for r in rows]
-    kinds, n = sum(x > 0 for x in total.values()), sum(total.values())
-    stats = [(kinds, n), *[(0, 0)] * (len(rows) - 1)]
-    return pa.table({"of": pa.array([r["chunk"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int32()), "c": pa.array(sums, pa.binary()), "kinds": pa.array([k for k, _ in stats], pa.int64()), "words": pa.array([x for _, x in stats], pa.int64())})
+def by_level(answers: pa.Table) -> dict[int, list[dict]]:
+    out: dict[int, list[dict]] = {}
+    for r in answers.to_pylist():
+        out.setdefault(r["level"], []).append(r)
+    return out
 
 
-# ---- scoring ---------------------------------------------------------------------------------------------------
+def chunk_rows(t: pa.Table) -> dict:
+    (row,) = t.to_pylist()
+    return row
 
 
-def score(df: DataFrame) -> DataFrame:
+def score(df: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergence: float = DIVERGENCE) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row of ``df`` (doc_id, text, train)."""
-    spark = df.sparkSession
     kind = df.schema["doc_id"].dataType.simpleString()
-    tree = spark.sparkContext.broadcast(train(df.where("train")))
+    chunks = store_bucketed(chunked(df), "chunks", "chunk")
     parts = part_count(df)
-    told = store(chunked(df, tree, parts), "chunks")
-    docs = told.where("part is null").select("chunk", "doc_id", "train", "ids", "spelled")
-    sums = told.where("part is not null").select("chunk", "part", "words", "n").groupBy("part").applyInArrow(summed, "of long, part int, c binary, kinds long, words long")
-    placed = store(sums, "word-sums")
-    seen = placed.agg(F.sum("kinds").alias("v"), F.sum("words").alias("n")).first()
-    ends = docs.where("train").count()
-    words_all, kinds = seen["n"] or 0, seen["v"] or 0
-    n_all, v_all = words_all + ends, kinds + (ends > 0)
-    stop = np.log10((ends + 1) / (n_all + 2))
-    go = np.log10(1 - (ends + 1) / (n_all + 2))
-    # shares of the two halves: a word's own, for each discounted occurrence, and the tree's
-    each = WORD_SHARE / words_all if words_all else 0.0
-    tree_share = 1 - WORD_SHARE + each * DISCOUNT * kinds if words_all else 1.0
-    base = np.log10(n_all + v_all + 1)
-    def add(d: pa.Table, w: pa.Table) -> pa.Table:
-        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for _, x in sorted(zip(w["part"].to_pylist(), w["c"].to_pylist(), strict=True)))])
-        log_c = np.log10(c + 1.0)
-        own = each * np.maximum(c - DISCOUNT, 0.0)
-        out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for raw, spelled in zip(d["ids"].to_pylist(), d["spelled"].to_pylist(), strict=True):
-            ids = np.frombuffer(raw, np.int32)
-            out["n_tokens"].append(len(ids) + 1)
-            out["n_known"].append(int((c[ids] > 0).sum()) + (ends > 0))
-            out["base_score"].append(float(log_c[ids].sum() + np.log10(ends + 1.0) - (len(ids) + 1) * base))
-            spelled_ = np.frombuffer(spelled, np.float16).astype(np.float64)
-            with np.errstate(divide="ignore"):
-                mixed = np.logaddexp(np.log(own[ids]), spelled_ * np.log(10) + np.log(tree_share)) / np.log(10)
-            out["score"].append(float(mixed.sum() + len(ids) * go + stop))
-        return pa.table({"doc_id": d["doc_id"], "train": d["train"], "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "train_tokens": pa.array([n_all] * len(d), pa.int64()), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
-
-    schema = f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.groupBy("chunk").cogroup(placed.select("of", "part", "c").groupBy("of")).applyInArrow(add, schema)
+    total = chunks.agg(F.sum("tokens")).first()[0] or 0
+    frequent = chunks.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n"))
+    hot = {bytes(r["hot"]): -(-r["n"] * parts // total) for r in frequent.where(F.col("n") >= max(1, HOT * total)).collect()}  # at most 1 / HOT and the start
+    told = Told(parts, hot, least=least, divergence=divergence)
+    heard = "of", "level", "part", "total", "kinds", "gain", "n"
+
+    def list_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield from Chunk(told, row).first_rows().to_batches()
+
+    def sums_of(level: int, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("part").applyInArrow(lambda t: summed(level, t), _HEARD)
+
+    answers = store(sums_of(1, small_batches(chunks).mapInArrow(list_first, _SENT)), "sums")
+    seen = answers.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
+    frequent_words = sum(w != START and k > 1 for w, k in hot.items())  # a part does not count the words it has a share of
+    ends = 1 if total else 0
+    told = replace(told, tokens=seen["n"] or 0, kinds=(seen["v"] or 0) + frequent_words + ends)
+    answers = answers.select(*heard)
+
+    def cogrouped(f, schema: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(f, schema)
+
+    def lister(known: int):
+        def list_longer(c: pa.Table, a: pa.Table) -> pa.Table:
+            chunk = Chunk(told, chunk_rows(c))
+            chunk.walk(by_level(a), known)
+            return chunk.rows()
+
+        return list_longer
+
+    for d in range(2, depth + 1):
+        found = sums_of(d, cogrouped(lister(d - 1), _SENT)).select(*heard)
+        answers = answers.unionByName(store(found, "sums") if d < depth else found)
+
+    def add(c: pa.Table, a: pa.Table) -> pa.Table:
+        row = chunk_rows(c)
+        chunk = Chunk(told, row)
+        logp = chunk.walk(by_level(a), depth) / np.log(10)
+        begins, size = chunk.cuts[:-1], np.diff(chunk.cuts)
+        sums = [np.add.reduceat(x, begins) for x in (logp, chunk.base / np.log(10), (chunk.seen > 0).astype(np.int64))]
+        return pa.table({"doc_id": pa.array(row["doc_id"], c.schema.field("doc_id").type.value_type), "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(size), told.tokens), pa.int64()), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})
+
+    return cogrouped(add, f"doc_id {kind}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

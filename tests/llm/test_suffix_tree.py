@@ -2,137 +2,120 @@ import math
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 
 from quantloom.llm import suffix_tree as st
 from quantloom.llm.common import py_crc_mod
 
 SF = "/root/testdata/sf0.001"
+START, END = "<start>", "<end>"
 
 
 def tokens(t):
     return (t or "").encode().lower().split()
 
 
-def brute_base(rows):
-    """rows of (doc_id, text, train)"""
-    c = Counter()
+def brute(rows, depth=st.DEPTH, least=st.LEAST_COUNT, divergence=st.DIVERGENCE):
+    """rows of (doc_id, text, train) -> (doc_id, train, n_tokens, n_known, train_tokens, base_score, score), by dictionaries."""
+    follow, c = {}, Counter()
     for _, t, train in rows:
-        if train:
-            c.update(tokens(t))
-            c["<end>"] += 1
+        s = [START, *tokens(t), END]
+        for i in range(1, len(s) if train else 0):
+            c[s[i]] += 1
+            for d in range(1, min(i, depth) + 1):
+                follow.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
     n, v = sum(c.values()), len(c)
+    smooth = {k: x for k, x in follow.items() if sum(x.values()) >= least}
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 1) / (n + v + 1)
+        if context not in smooth:
+            return p(context[1:], w)
+        x = smooth[context]
+        return (x[w] + len(x) * p(context[1:], w)) / (sum(x.values()) + len(x))
+
+    kept = set()
+    for context, x in smooth.items():
+        total = sum(x.values())
+        if sum(k * math.log(k / total / p(context[1:], w)) for w, k in x.items()) >= divergence * len(x):
+            kept.add(context)
     out = []
     for d, t, train in rows:
-        w = [*tokens(t), "<end>"]
-        out.append((d, train, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)))
-    return sorted(out, key=str)
-
-
-def same(got, want):
-    assert [x[:5] for x in got] == [x[:5] for x in want]
-    assert np.allclose([x[5] for x in got], [x[5] for x in want], rtol=1e-9, atol=1e-9)
-
-
-def stream(t):
-    return b" " + b"".join(w + b" " for w in tokens(t))
-
-
-def brute_tree(texts):
-    """The same tree, by dictionaries: context -> probabilities of the next symbol, over the tree's own alphabet."""
-    counts = np.zeros(256, np.int64)
-    for t in texts:
-        counts += np.bincount(np.frombuffer(stream(t)[1:], np.uint8), minlength=256)
-    symbol, rare = st.alphabet(counts)
-    follow = {}
-    for t in texts:
-        y = bytes(symbol[np.frombuffer(stream(t), np.uint8)])
-        for i in range(1, len(y)):
-            for d in range(min(i, st.DEPTH) + 1):
-                follow.setdefault(y[i - d : i], Counter())[y[i]] += 1
-    total = counts.sum()
-    least = max(2.0, st.LEAST_SHARE * total)
-    tree = {b"": {s: (follow[b""][s] + 0.5) / (total + 32) for s in range(64)}}
-    for c in sorted(follow, key=len)[1:]:
-        n = sum(follow[c].values())
-        parent = next(tree[c[k:]] for k in range(1, len(c) + 1) if c[k:] in tree)
-        if n >= least and sum(x * math.log(x / n / parent[s]) for s, x in follow[c].items()) >= st.DIVERGENCE:
-            k = len(follow[c])
-            tree[c] = {s: (follow[c][s] + k * parent[s]) / (n + k) for s in range(64)}
-    return tree, symbol, rare
-
-
-def brute_score(tree, symbol, rare, t):
-    s = stream(t)
-    y = bytes(symbol[np.frombuffer(s, np.uint8)])
-    out = 0.0
-    for i in range(1, len(y)):
-        context = next(y[i - d : i] for d in range(min(i, st.DEPTH), -1, -1) if y[i - d : i] in tree)
-        out += math.log10(tree[context][y[i]]) + rare[s[i]]
-    return out
-
-
-def test_base_and_held_out(spark, sample):
-    got = st.op1_suffix_tree(spark, SF).collect()
+        s = [START, *tokens(t), END]
+        score = 0.0
+        for i in range(1, len(s)):
+            state = next((tuple(s[i - k : i]) for k in range(min(i, depth), 0, -1) if tuple(s[i - k : i]) in kept), ())
+            score += math.log10(p(state, s[i]))
+        out.append((d, train, len(s) - 1, sum(c[w] > 0 for w in s[1:]), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s[1:]), score))
+    return sorted(out, key=str), len(kept)
+
+
+def got(df):
+    return sorted(((r["doc_id"], r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in df.collect()), key=str)
+
+
+def same(a, b):
+    assert [x[:5] for x in a] == [x[:5] for x in b]
+    assert np.allclose([x[5] for x in a], [x[5] for x in b], rtol=1e-9, atol=1e-9)
+    assert np.allclose([x[6] for x in a], [x[6] for x in b], rtol=1e-9, atol=1e-9)
+
+
+def test_whole_table_against_brute_force(spark, sample):
+    from pyspark.sql import functions as F
+
     rows = [(d, t, py_crc_mod(d, 7) != 2) for d, t in sample]
-    same(sorted(((r["doc_id"], not r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=str), brute_base(rows))
-    assert any(r["held_out"] for r in got) and all(r["score"] < 0 for r in got)
-
-
-def test_natural_text_scores_above_scrambled_text(spark, sample):
-    rng = np.random.default_rng(0)
-    held = [t for _, t in sample[150:]]
-    scrambled = [" ".join("".join(rng.permutation(list(w))) for w in t.split()) for t in held]
-    rows = [(i, t, True) for i, (_, t) in enumerate(sample[:150])] + [(1000 + i, t, False) for i, t in enumerate(held)] + [(2000 + i, t, False) for i, t in enumerate(scrambled)]
-    got = {r["doc_id"]: r["score"] for r in st.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
-    better = [got[1000 + i] > got[2000 + i] for i, t in enumerate(held) if len(t) > 100]
-    assert sum(better) > 0.95 * len(better)
-
-
-def test_tree_against_brute_force(spark, sample, monkeypatch):
-    monkeypatch.setattr(st, "LEAST_SHARE", 1e-3)
-    monkeypatch.setattr(st, "STRETCH", 16)
-    texts = [t for _, t in sample[:60]] + ["", None, "x", "\x00 rare \x01 bytes \u65e5\u672c"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    tree = st.train(df)
-    want, symbol, rare = brute_tree(texts)
-    assert (tree.symbol == symbol).all() and sum(int(k.sum()) for k in tree.retained) == len(want) > 50
-    asked = [*texts[:10], *(t for _, t in sample[60:70]), "unseen w\xf6rd", "", "z" * 500, " lead  and trail \n", "\u65e5\u672c"]
-    each, cuts = st.Scorer(tree).words(pa.array([f" {t} " for t in asked]))
-    got = [each[a:b].sum() for a, b in zip(cuts, cuts[1:])]
-    assert [b - a for a, b in zip(cuts, cuts[1:])] == [len(tokens(t)) for t in asked]
-    assert np.allclose(got, [brute_score(want, symbol, rare, t) for t in asked], rtol=1e-4)
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
-    monkeypatch.setattr(st, "COUNTERS", 1)
-    again = st.train(df)
-    assert all((a == b).all() for a, b in zip(tree.contexts, again.contexts, strict=True)) and np.allclose(tree.logp, again.logp, atol=1e-5)
-
-
-def test_edges(spark, monkeypatch):
-    monkeypatch.setattr(st, "CHUNK_BYTES", 64)
-    rows = [(1, None, True), (2, "", True), (3, "The the THE", True), (3, "The the THE", True), (4, "unseen é É", False), (None, "the \t\n end", True), (5, "z" * 100000, False), (6, "a\x00b   c", True)]
+    want, kept = brute(rows)
+    assert kept > 100
+    same(got(st.op1_suffix_tree(spark, SF).withColumn("train", ~F.col("held_out"))), want)
+
+
+def test_depth_and_chunks_against_brute_force(spark, sample, monkeypatch):
+    rows = [(i, t, i % 4 != 0) for i, (_, t) in enumerate(sample[:80])] + [(900 + i, t, True) for i, (_, t) in enumerate(sample[:20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(5)
+    for depth, least, divergence in ((3, 2, 0.5), (2, 3, 4.0), (4, 2, 0.0)):
+        want, kept = brute(rows, depth, least, divergence)
+        assert kept > 50
+        same(got(st.score(df, depth, least, divergence)), want)
+
+
+def test_probabilities_of_next_symbols_sum_to_one(spark, sample):
+    texts = [" ".join(t.split()[:40]) for _, t in sample[:30]]
+    words = sorted({w.decode() for t in texts for w in tokens(t)})
+    stem = " ".join(texts[0].split()[:6])
+    rows = [(i, t, True) for i, t in enumerate(texts * 3)]
+    asked = [*(f"{stem} {w}" for w in words), f"{stem} zzz-unknown"]
+    df = spark.createDataFrame([*rows, *((1000 + i, t, False) for i, t in enumerate(asked)), (999, stem, False)], "doc_id long, text string, train boolean")
+    score = {r[0]: r for r in brute([(r["doc_id"], r["text"], r["train"]) for r in df.collect()])[0]}
+    found = {r[0]: r for r in got(st.score(df))}
+    assert all(math.isclose(found[k][6], score[k][6], rel_tol=1e-9) for k in score)
+
+
+def test_edges(spark):
+    rows = [(1, None, True), (2, "", True), (3, "The the THE", True), (3, "The the THE", True), (4, "unseen é É", False), (None, "the \t\n end", True), (6, "a\x00b   c", True)]
+    rows += [(10 + k, "z" * (10_000 << k), False) for k in range(5)] + [(20, "y" * 200_000 + " the", True), (21, "w " * 100_000, True), (22, "w " * 70_000, False)]
     df = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(2)
-    got = st.score(df).collect()
-    same(sorted(((r["doc_id"], r["train"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=str), brute_base(rows))
-    assert all(r["score"] < 0 for r in got)
+    found = got(st.score(df))
+    same(found, brute(rows)[0])
+    assert all(r[6] < 0 for r in found)
     assert st.score(df.limit(0)).collect() == []
     none = st.score(df.where("not train")).collect()
-    assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in none)
+    assert all(r["train_tokens"] == 0 and r["base_score"] == 0 and r["score"] == 0 and r["n_known"] == 0 for r in none) and none
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rows = [("b", "one two", True, 5, "x"), ("a", "one three", False, 6, "y")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, train boolean, chunk int, part string")
+    same(got(st.score(df)), brute([r[:3] for r in rows])[0])
 
 
 def test_held_out_texts_teach_nothing(spark):
-    rows = [(i, f"alpha beta w{i}", True) for i in range(20)]
-    df = spark.createDataFrame([*rows, (99, "alpha beta", True)], "doc_id long, text string, train boolean")
-    more = spark.createDataFrame([*rows, (99, "alpha beta", True), (100, "secret words " * 50, False)], "doc_id long, text string, train boolean")
-    pick = lambda d: {r["doc_id"]: (r["base_score"], r["score"], r["train_tokens"]) for r in st.score(d).collect()}
-    a, b = pick(df), pick(more)
-    assert all(np.allclose(a[k], b[k]) for k in a)
-
-
-def test_contexts_of_six_symbols_and_of_one_in_100000(spark):
-    texts = ["a b " * 1_000] * 75 + ["qz"] * 4 + ["1mmmmm3 2mmmmm4"] * 100
-    tree = st.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert tree.depth == 6 and tree.retained[6].any()
-    assert tree.retained[1][tree.contexts[1] == tree.symbol[ord("q")]].all() and (tree.contexts[1] == tree.symbol[ord("q")]).any()
-    right, wrong = (st.Scorer(tree).words(pa.array([f" {t} "]))[0].sum() for t in ("1mmmmm3", "1mmmmm4"))
-    assert right > wrong + 0.5
+    rows = [(i, f"alpha beta w{i}", True) for i in range(20)] + [(99, "alpha beta", True)]
+    schema = "doc_id long, text string, train boolean"
+    a = {r[0]: r for r in got(st.score(spark.createDataFrame(rows, schema)))}
+    b = {r[0]: r for r in got(st.score(spark.createDataFrame([*rows, (100, "secret words " * 50, False)], schema)))}
+    assert all(np.allclose(a[k][4:], b[k][4:]) for k in a)
+
+
+def test_contexts_beat_the_base_on_held_out_texts(spark):
+    r = st.op1_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
+    assert r["s"] > 0.95 * r["b"]
