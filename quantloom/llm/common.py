@@ -150,7 +150,7 @@ def quoted(name: str) -> str:
 
 
 #: Bytes in memory up to which a table may be broadcast.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def memory_bytes(df: DataFrame) -> int:
@@ -183,6 +183,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return store(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+#: SHA-256 of a row's text, by which what holds for a text is brought back to all rows that have it.
+DIGEST = "__digest"
+
+
+def digest(text: str = "text"):
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` (numbered) whose number is not in ``gone``, without the numbers."""
     return docs.join(bounded(store(gone.distinct(), "gone")), ROW, "left_anti").select(*[quoted(c) for c in docs.columns if c != ROW])

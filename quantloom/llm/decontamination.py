@@ -27,7 +27,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ROW, bounded, documents, numbered, small, store, table, without_rows
+from quantloom.llm.common import DIGEST, bounded, digest, documents, quoted, small, store, table
 
 WINDOW = 13
 NEAR_TERMS = 3
@@ -153,11 +153,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated rows go, whatever their doc_id.
 
-    A null text is not contaminated and stays; of repeated rows each is judged; an empty table stays empty.
+    Rows are judged by their texts, so rows of one text go together; a null text is not contaminated and stays; an empty
+    table stays empty.
     """
-    docs = numbered(docs)
-    found = decontaminate(docs.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return without_rows(docs, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
+    found = decontaminate(docs.select(digest().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = bounded(store(found.where("contaminated").select(F.col("doc_id").alias(DIGEST)).distinct(), "contaminated"))
+    return docs.withColumn(DIGEST, digest()).join(gone, DIGEST, "left_anti").select(*[quoted(c) for c in docs.columns])
 
 
 _WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

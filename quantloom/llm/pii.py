@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import ROW, bounded, documents, numbered, quoted, store
+from quantloom.llm.common import DIGEST, bounded, digest, documents, quoted, store
 
 CONTEXT = 40
 CONTEXT_BONUS = 0.25
@@ -162,13 +162,13 @@ def redacted(text: Column, found: Column) -> Column:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data is replaced by the name of its kind, and n_chars follows.
 
-    Rows are told apart by number, so repeated ids and rows are redacted one by one; a null text stays null; an empty
+    Spans belong to texts, so all rows of a text are redacted alike, whatever their ids; a null text stays null; an empty
     table stays empty.
     """
     columns, kinds = docs.columns, docs.schema
-    docs = numbered(docs)
-    hit = store(spans(docs, keep=(ROW,)).where(F.size("spans") > 0).select(ROW, F.col("spans").alias("__pii_spans")), "pii")
-    met = docs.join(bounded(hit), ROW, "left")
+    docs = docs.withColumn(DIGEST, digest())
+    hit = spans(docs, keep=(DIGEST,)).where(F.size("spans") > 0).dropDuplicates([DIGEST])
+    met = docs.join(bounded(store(hit.select(DIGEST, F.col("spans").alias("__pii_spans")), "pii")), DIGEST, "left")
     whole = F.col("__pii_spans").isNull()
     out = met.withColumn("__pii_text", F.when(whole, F.col("text")).otherwise(redacted(F.col("text"), F.col("__pii_spans"))))
     changed = {"text": F.col("__pii_text")}
