@@ -41,7 +41,7 @@ from quantloom.llm.common import crc_mod, documents, part_count, small_batches,
 DEPTH = 2
 LEAST_COUNT = 4
 DIVERGENCE = 2.0
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: Share of all tokens from which a context is dealt to several parts.
 HOT = 1 / 2_000
 #: The start of a text, among the words of a part: no word holds white space.
