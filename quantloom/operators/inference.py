@@ -35,11 +35,12 @@ def newey_west_mean(series: DataFrame, by: list[str], value: str = "ret", order:
     return out.select(*by, "n", "mean", se.alias("nw_se")).withColumn("nw_t", F.col("mean") / F.when(F.col("nw_se") > 0, F.col("nw_se")))
 
 
-def summary(series: DataFrame, by: str = "factor", value: str = "ret", least: int = 3) -> DataFrame:
+def summary(series: DataFrame, by: str | list[str] = "factor", value: str = "ret", least: int = 3) -> DataFrame:
     """For each factor: n, mean, t, robust error and t, share of positive days; short series are left out."""
+    by = [by] if isinstance(by, str) else by
     good = series.where(F.col(value).isNotNull())
-    plain = good.groupBy(by).agg((F.avg(value) / F.when(F.stddev_samp(value) > 0, F.stddev_samp(value) / F.sqrt(F.count(value)))).alias("t"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("pct_positive"))
-    return newey_west_mean(good, [by], value).join(plain, by).where(F.col("n") >= least)
+    plain = good.groupBy(*by).agg((F.avg(value) / F.when(F.stddev_samp(value) > 0, F.stddev_samp(value) / F.sqrt(F.count(value)))).alias("t"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("pct_positive"))
+    return newey_west_mean(good, by, value).join(plain, by).where(F.col("n") >= least)
 
 
 def newey_west_slope(rows: DataFrame, by: list[str], x: str, y: str, order: str = "date", least: int = C.MACRO_MIN_MONTHS) -> DataFrame:

@@ -77,24 +77,50 @@ def macro_momentum(prices: DataFrame, months: int = C.MACRO_MOMENTUM_MONTHS, by:
     return change.withColumn("momentum", F.when(F.count("change").over(w) >= months, F.product(1 + F.col("change")).over(w) - 1)).select(by, "month", "momentum")
 
 
-def macro_tilt(returns: DataFrame, groups: DataFrame, prices: DataFrame, months: int = C.MACRO_MOMENTUM_MONTHS, least: int = C.MACRO_MIN_MONTHS, days: int = C.TRADING_DAYS_PER_MONTH, as_of: str | None = None) -> DataFrame:
-    """(symbol, tilt): daily tilt of expected returns, from groups (name, symbol) and the prices (name, date, price) they
-    follow. The group's monthly spread is regressed on last month's momentum of its price; the slope times the latest
-    momentum, by day, is added for its members. Groups of fewer than two symbols or with short histories add nothing."""
-    if as_of:
-        returns, prices = (df.where(F.col("date") <= F.lit(as_of).cast("date")) for df in (returns, prices))
-    universe = returns.select("symbol").distinct()
-    there = groups.join(universe, "symbol", "left_semi")
+def group_spreads(returns: DataFrame, members: DataFrame) -> DataFrame:
+    """(factor, date, ret) for each group of ``members`` (name, symbol): its mean return less that of all others.
+
+    The others' sum is the date's total less the group's, so returns meet their own groups only.
+    """
+    good = returns.where("ret IS NOT NULL").select("date", "symbol", "ret")
+    total = good.groupBy("date").agg(F.sum("ret").alias("s"), F.count("*").alias("n"))
+    inside = good.join(F.broadcast(members.select("name", "symbol").distinct()), "symbol").groupBy(F.col("name").alias("factor"), "date").agg(F.sum("ret").alias("gs"), F.count("*").alias("gn"))
+    rest = F.col("n") - F.col("gn")
+    return inside.join(total, "date").select("factor", "date", (F.col("gs") / F.col("gn") - (F.col("s") - F.col("gs")) / F.when(rest > 0, rest)).alias("ret"))
+
+
+def macro_tilts(returns: DataFrame, groups: DataFrame, prices: DataFrame, rebalances: DataFrame, months: int = C.MACRO_MOMENTUM_MONTHS, least: int = C.MACRO_MIN_MONTHS, days: int = C.TRADING_DAYS_PER_MONTH) -> DataFrame:
+    """(as_of, symbol, tilt) of the members of groups: the daily tilt of expected returns as of each of ``rebalances``.
+
+    Groups are (name, symbol), prices (name, date, price). A group's monthly spread is regressed on last month's momentum
+    of its price; the slope times the latest momentum, by day, is added for its members. Groups of fewer than two symbols
+    or with short histories add nothing. Only groups' spreads and prices, a few series, are dealt to the rebalances.
+    """
+    there = groups.join(returns.select("symbol").distinct(), "symbol", "left_semi")
     big = there.groupBy("name").agg(F.countDistinct("symbol").alias("n")).where("n >= 2").select("name")
     there = there.join(F.broadcast(big), "name", "left_semi")
-    momentum = macro_momentum(prices, months)
-    marked = returns.join(F.broadcast(there.select("name").distinct().withColumnRenamed("name", "group")), F.lit(True)).join(F.broadcast(there.select(F.col("name").alias("group"), "symbol", F.lit(True).alias("_in"))), ["group", "symbol"], "left")
-    inside = F.col("_in").isNotNull()
-    spread = marked.groupBy(F.col("group").alias("factor"), "date").agg((F.avg(F.when(inside, F.col("ret"))) - F.avg(F.when(~inside, F.col("ret")))).alias("ret"))
-    monthly = monthly_compounded(spread)
-    lagged = momentum.select(F.col("name").alias("factor"), F.add_months("month", 1).alias("month"), "momentum")
-    fit = newey_west_slope(monthly.join(lagged, ["factor", "month"]), ["factor"], "momentum", "ret", "month", least)
-    last = momentum.where("momentum IS NOT NULL").groupBy(F.col("name").alias("factor")).agg(F.max_by("momentum", "month").alias("now"))
-    tilt = fit.join(last, "factor").select(F.col("factor").alias("name"), (F.col("slope") * F.col("now") / days).alias("tilt"))
-    added = there.join(tilt, "name").groupBy("symbol").agg(F.sum("tilt").alias("tilt"))
-    return universe.join(added, "symbol", "left").fillna({"tilt": 0.0})
+    dates = F.broadcast(rebalances.select("as_of"))
+
+    def seen(df: DataFrame, name: str) -> DataFrame:
+        """Series by (as_of, name), named ``key``, up to the date."""
+        dealt = df.join(dates, F.col("date") <= F.col("as_of"))
+        return dealt.withColumn("key", F.concat_ws("@", F.col("as_of").cast("string"), name))
+
+    monthly = monthly_compounded(seen(group_spreads(returns, there), "factor"), "key")
+    priced = seen(prices.join(F.broadcast(big), "name", "left_semi"), "name")
+    momentum = macro_momentum(priced.drop("name"), months, "key")
+    lagged = momentum.select("key", F.add_months("month", 1).alias("month"), "momentum")
+    fit = newey_west_slope(monthly.join(lagged, ["key", "month"]), ["key"], "momentum", "ret", "month", least)
+    last = momentum.where("momentum IS NOT NULL").groupBy("key").agg(F.max_by("momentum", "month").alias("now"))
+    named = fit.join(last, "key").select(F.expr("substring(key, 1, instr(key, '@') - 1)").cast("date").alias("as_of"), F.expr("substring(key, instr(key, '@') + 1)").alias("name"), (F.col("slope") * F.col("now") / days).alias("tilt"))
+    return there.join(F.broadcast(named), "name").groupBy("as_of", "symbol").agg(F.sum("tilt").alias("tilt"))
+
+
+def macro_tilt(returns: DataFrame, groups: DataFrame, prices: DataFrame, months: int = C.MACRO_MOMENTUM_MONTHS, least: int = C.MACRO_MIN_MONTHS, days: int = C.TRADING_DAYS_PER_MONTH, as_of: str | None = None) -> DataFrame:
+    """(symbol, tilt) of all symbols as of one date (by default the last of either table): see :func:`macro_tilts`."""
+    if as_of:
+        when = returns.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("as_of"))
+    else:
+        when = returns.select("date").union(prices.select("date")).agg(F.max("date").alias("as_of"))
+    universe = returns.join(F.broadcast(when), F.col("date") <= F.col("as_of")).select("symbol").distinct()
+    return universe.join(macro_tilts(returns, groups, prices, when, months, least, days).select("symbol", "tilt"), "symbol", "left").fillna({"tilt": 0.0})

@@ -70,6 +70,7 @@ class Settings:
     group_penalty: float = C.GROUP_SOFT_PENALTY
     macro_timing: bool = False
     leverage: float | None = None
+    force: bool = False
 
     def at(self, name: str) -> str:
         return f"{self.data.rstrip('/')}/{name}"
@@ -90,6 +91,26 @@ class Commands:
 
     # ---- artifacts ---------------------------------------------------------------------------------------------
 
+    def has(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.at(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def price_rows(self, symbols: list[str] | None = None) -> DataFrame:
+        """(date, symbol, price): as refreshed last, or else as delivered."""
+        if not self.has("prices_refreshed"):
+            return PR.load_prices(self.spark, self.s.at(self.s.prices), symbols)
+        rows = self.load("prices_refreshed")
+        return rows.where(F.col("symbol").isin(symbols)) if symbols is not None else rows
+
+    def benchmark_rows(self) -> DataFrame:
+        """(date, market_ret)."""
+        s = self.s
+        if self.has("prices_refreshed"):
+            px = self.load("prices_refreshed").where(F.col("symbol") == s.benchmark)
+        else:
+            px = PR.load_wide(self.spark, s.at(s.prices), [s.benchmark])[0].withColumnRenamed("value", "price")
+        return PR.benchmark_returns_view(px, s.benchmark).select("date", "market_ret")
+
     def save(self, df: DataFrame, name: str, *scope: str) -> DataFrame:
         paths = self.paths.scoped(*scope)
         sinks.save(df, paths, name)
@@ -128,8 +149,8 @@ class Commands:
     def build_factors(self) -> DataFrame:
         s, universe = self.s, self.universe()
         symbols = [r["symbol"] for r in universe.orderBy("symbol").collect()]
-        px = PR.load_prices(self.spark, s.at(s.prices), symbols)
-        market = F.broadcast(PR.benchmark_returns_view(PR.load_wide(self.spark, s.at(s.prices), [s.benchmark])[0].withColumnRenamed("value", "price"), s.benchmark).select("date", "market_ret"))
+        px = self.price_rows(symbols)
+        market = F.broadcast(self.benchmark_rows())
         rows = P.with_returns(P.full_grid(px)).join(market, "date", "left").join(PR.load_volume(self.spark, s.at(s.volume), symbols), ["date", "symbol"], "left")
         events = A.visible_from(self.load("fundamentals_annual"))
         rows = A.as_of_join(rows, events, ["shares", "leverage", "roa", "roe", "net_margin", "eps", "bvps", "dps", "capex", "revenue_growth"])
@@ -194,9 +215,15 @@ class Commands:
         return out
 
     def refresh_prices(self) -> DataFrame:
-        """Fetched rows (date, symbol, price) replace stored ones of the same date and symbol."""
+        """Fetched rows (date, symbol, price) replace stored ones of the same date and symbol; later commands read the result.
+
+        Prices that already run to yesterday are left as they are, unless ``force`` is set.
+        """
         s = self.s
         old = PR.load_prices(self.spark, s.at(s.prices))
+        current = old.agg((F.max("date") >= F.date_sub(F.current_date(), 1)).alias("now")).first()["now"]
+        if current and not s.force:
+            return self.price_rows()
         return self.save(PR.refreshed(old, self.spark.read.parquet(s.at(s.fetched))), "prices_refreshed")
 
     def run_all(self) -> DataFrame:
@@ -332,14 +359,42 @@ class Commands:
     def validate_portfolio_segments(self) -> DataFrame:
         return self.validate_portfolio("portfolio_segments")
 
-    def _backtest(self, lim, base: str) -> DataFrame:
+    def day_limits(self, design: list[str]):
+        """A function of a rebalance's rows: caps, industries as of that date and, where there are segments, who is in the rest."""
+        s = self.s
+        at = [[design.index(n) for n in (c, *(f"{c}__{k}" for k in C.SEGMENTS)) if n in design] for c in s.industries]
+
+        def of(pdf) -> Limits:
+            x = np.array(pdf["x"].tolist(), float)
+            cap = max(s.stock_cap, 1.5 / len(pdf))
+            rest = (pdf["segment"] == "rest").to_numpy(float) if "segment" in pdf else np.zeros(len(pdf))
+            caps = np.where(rest > 0, s.rest_cap if s.rest_cap is not None else cap, cap) if rest.any() else cap
+            groups = np.stack([x[:, k].sum(axis=1) for k in at], axis=1) if s.industry_cap is not None else None
+            lim = Limits(cap=caps, soft=True, penalty=C.STOCK_SOFT_PENALTY, groups=groups, group_cap=s.industry_cap or 1.0, leverage=s.leverage)
+            if rest.any():
+                lim.soft_group, lim.soft_group_cap, lim.soft_group_penalty = rest, s.group_cap, s.group_penalty
+            return lim
+
+        return of
+
+    def rebalances(self) -> DataFrame:
+        """(as_of, until): those with a date to hold to."""
+        return T.rebalance_dates(P.calendar(self.load("exposures")), self.s.start).where("until IS NOT NULL")
+
+    def tilts(self, dates: DataFrame) -> DataFrame | None:
+        s = self.s
+        if not s.macro_timing:
+            return None
+        groups = self.spark.read.csv(s.at(s.macro_groups), header=True)
+        return M.macro_tilts(self.load("exposures").select("date", "symbol", "ret"), groups, self.spark.read.parquet(s.at(s.macro)), dates)
+
+    def _backtest(self, rows: DataFrame, design: list[str], dates: DataFrame, base: str) -> DataFrame:
         s, scope = self.s, (*self.scope(base), "backtest")
         panel = self.load("exposures").select("date", "symbol", "ret")
-        dates = T.rebalance_dates(P.calendar(panel), s.start)
-        weights = self.save(T.walk_forward(panel.where("ret IS NOT NULL"), dates, s.halflife, s.backtest_points, limits=lim), "weights", *scope)
+        weights = self.save(T.walk_forward(rows, s.backtest_points, self.day_limits(design)), "weights", *scope)
         series = self.save(T.held_returns(weights, dates, panel), "returns", *scope)
         turns = self.save(T.turnover(weights), "turnover", *scope)
-        bench = PR.benchmark_returns_view(PR.load_wide(self.spark, s.at(s.prices), [s.benchmark])[0].withColumnRenamed("value", "price"), s.benchmark).select("date", F.col("market_ret").alias("bench"))
+        bench = self.benchmark_rows().withColumnRenamed("market_ret", "bench")
         metrics = self.save(PF.performance(series, turnover=turns), "metrics", *scope)
         relative = self.save(PF.benchmark_relative(series, bench), "relative", *scope)
         self.save(PF.drawdowns(series), "plot_drawdowns", *scope)
@@ -348,11 +403,20 @@ class Commands:
         return metrics
 
     def backtest_portfolio(self) -> DataFrame:
-        return self._backtest(self.limits(P.latest(self.load("exposures"))), "portfolio")
+        s, dates = self.s, self.rebalances()
+        cov, expected = T.factor_models(self.load("factor_returns"), dates, s.halflife)
+        risk = T.specific_as_of(self.load("residuals_long"), dates, s.halflife)
+        x = T.latest_as_of(self.load("exposures"), dates, s.design)
+        return self._backtest(T.problems(x, s.design, cov, expected, risk, tilts=self.tilts(dates)), s.design, dates, "portfolio")
 
     def backtest_portfolio_segments(self) -> DataFrame:
-        now = P.latest(self.load("exposures")).withColumn("segment", F.when(F.col("top100_flag") == 1, "top100").otherwise("rest"))
-        return self._backtest(self.limits(now, now.select("symbol", "segment")), "portfolio_segments")
+        s, dates = self.s, self.rebalances()
+        rows = self.load("exposures").withColumn("segment", F.when(F.col("top100_flag") == 1, "top100").when(F.col("top100_flag") == 0, "rest"))
+        series = {k: self.load("factor_returns", "segments", k) for k in C.SEGMENTS}
+        residuals = {k: self.load("residuals_long", "segments", k) for k in C.SEGMENTS}
+        design = s.segment_design
+        problems = T.joint_problems(rows, design, series, residuals, dates, s.halflife, tilts=self.tilts(dates))
+        return self._backtest(problems, PF.joint_columns(design, list(C.SEGMENTS)), dates, "portfolio_segments")
 
 
 NAMES = ["build-universe", "build-fundamentals", "build-factors", "run-regression", "run-risk", "validate", "refresh-prices", "run-all", "run-periods", "run-segments", "optimize-portfolio", "validate-portfolio", "backtest-portfolio", "optimize-portfolio-segments", "validate-portfolio-segments", "backtest-portfolio-segments"]
@@ -365,6 +429,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True)
     p.add_argument("--mirror")
     p.add_argument("--start", default="2021-01-01")
+    p.add_argument("--force", action="store_true", help="refresh prices that already run to yesterday")
     p.add_argument("--macro-timing", action="store_true")
     p.add_argument("--long-short", action="store_true")
     p.add_argument("--max-leverage", type=float, default=C.MAX_LEVERAGE)
@@ -376,7 +441,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def settings_of(a: argparse.Namespace) -> Settings:
-    return Settings(data=a.data, output=a.output, mirror=a.mirror, start=a.start, macro_timing=a.macro_timing, leverage=a.max_leverage if a.long_short else None, rest_cap=a.rest_max_stock_weight, industry_cap=None if a.no_industry_cap else C.MAX_INDUSTRY_WEIGHT, group_cap=a.rest_segment_max_weight, group_penalty=a.rest_segment_weight_penalty)
+    return Settings(data=a.data, output=a.output, mirror=a.mirror, start=a.start, force=a.force, macro_timing=a.macro_timing, leverage=a.max_leverage if a.long_short else None, rest_cap=a.rest_max_stock_weight, industry_cap=None if a.no_industry_cap else C.MAX_INDUSTRY_WEIGHT, group_cap=a.rest_segment_max_weight, group_penalty=a.rest_segment_weight_penalty)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -229,34 +229,111 @@ def backtest_turnover(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.turnover(backtest_weights(spark, sf)), "turnover")
 
 
+MODEL_START = "2000-07-01"
+_RUN = "(SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM {0}))"
+_KEYED = "(SELECT as_of || '|' || factor AS k, date, ret FROM baged)"
+CTE |= {
+    "mrebal": f"SELECT date AS as_of, lead(date) OVER (ORDER BY date) AS until FROM (SELECT max(date) AS date FROM (SELECT DISTINCT date FROM px) GROUP BY date_trunc('month', date)) WHERE date >= DATE '{MODEL_START}' - INTERVAL 1 MONTH",
+    "bspec": f"""SELECT as_of, symbol, sqrt(s / sw * sw * sw / (sw * sw - sww) * 12) AS specific_risk FROM (SELECT as_of, symbol, sum(w) AS sw, sum(w * w) AS sww, sum(w * (residual - m) * (residual - m)) AS s FROM (
+        SELECT *, sum(w * residual) OVER g / sum(w) OVER g AS m FROM (SELECT as_of, symbol, residual, pow(2.0, i / {MD.HALF}) AS w FROM resid JOIN {_RUN.format("resid")} USING (date) JOIN mrebal ON date <= as_of) WINDOW g AS (PARTITION BY as_of, symbol)) GROUP BY ALL)""",
+    "baged": f"SELECT as_of, date, factor, ret, pow(2.0, i / {MD.HALF}) AS w FROM fret JOIN {_RUN.format('fret')} USING (date) JOIN mrebal ON date <= as_of",
+    "bcov": """SELECT as_of, row, col, s / sw * sw * sw / (sw * sw - sww) AS cov FROM (SELECT as_of, row, col, sum(w) AS sw, sum(w * w) AS sww, sum(w * (x - mx) * (y - my)) AS s FROM (
+        SELECT a.as_of, a.factor AS row, b.factor AS col, a.w, a.ret AS x, b.ret AS y, sum(a.w * a.ret) OVER g / sum(a.w) OVER g AS mx, sum(a.w * b.ret) OVER g / sum(a.w) OVER g AS my FROM baged a JOIN baged b ON a.as_of = b.as_of AND a.date = b.date WINDOW g AS (PARTITION BY a.as_of, a.factor, b.factor)) GROUP BY ALL)""",
+    "bexp": f"SELECT m.as_of, m.factor, m.mean * least(greatest((abs(nw_t) - 0.2) / (3.0 - 0.2), 0.0), 1.0) AS expected FROM (SELECT as_of, factor, as_of || '|' || factor AS k, sum(w * ret) / sum(w) AS mean FROM baged GROUP BY ALL) m JOIN {nw_sql(_KEYED, 'k')} t USING (k)",
+    "eqheld": "SELECT b.as_of, b.until, s.symbol, 1.0 / count(*) OVER (PARTITION BY b.as_of) AS weight FROM mrebal b JOIN bspec s USING (as_of) JOIN rets r ON r.date = b.as_of AND r.symbol = s.symbol WHERE r.ret IS NOT NULL",
+}
+
+
+def model_dates(spark: SparkSession, sf: str) -> DataFrame:
+    return T.rebalance_dates(P.calendar(B.prices(spark, sf)), MODEL_START)
+
+
+def held_exposures(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, symbol, regions..., segment): a brand's regions on dates with a return, and its segment of that date."""
+    rows = X.top_flag(capped(spark, sf), n=10, out="flag").where("ret IS NOT NULL").join(F.broadcast(B.industries(spark, sf)), "symbol")
+    return rows.select("date", "symbol", *B.REGION_COLUMNS, F.when(F.col("flag") == 1, "top").when(F.col("flag") == 0, "rest").alias("segment"))
+
+
+@shared
+def model_problems(spark: SparkSession, sf: str) -> DataFrame:
+    dates = model_dates(spark, sf)
+    cov, expected = T.factor_models(MD.region_returns(spark, sf), dates, MD.HALF, t_min=0.2)
+    risk = T.specific_as_of(MD.region_residuals(spark, sf), dates, MD.HALF, days=12)
+    x = T.latest_as_of(held_exposures(spark, sf), dates, B.REGION_COLUMNS)
+    return T.problems(x, B.REGION_COLUMNS, cov, expected, risk, days=12)
+
+
+@query("SELECT as_of, symbol, round(specific_risk, 6) + 0.0 AS specific_risk FROM bspec")
+def walk_forward_specific(spark: SparkSession, sf: str) -> DataFrame:
+    """Specific risks as of each rebalance, from running sums along each brand."""
+    return rounded(T.specific_as_of(MD.region_residuals(spark, sf), model_dates(spark, sf), MD.HALF, days=12), "specific_risk")
+
+
+@query("SELECT as_of, row, col, round(cov, 9) + 0.0 AS cov FROM bcov")
+def walk_forward_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(T.factor_models(MD.region_returns(spark, sf), model_dates(spark, sf), MD.HALF, t_min=0.2)[0], "cov", places=9)
+
+
+@query("SELECT as_of, factor, round(expected, 8) + 0.0 AS expected FROM bexp")
+def walk_forward_expected(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(T.factor_models(MD.region_returns(spark, sf), model_dates(spark, sf), MD.HALF, t_min=0.2)[1], "expected", places=8)
+
+
+@query("SELECT as_of, r.symbol, round((1 / pow(specific_risk, 2)) / sum(1 / pow(specific_risk, 2)) OVER (PARTITION BY as_of), 5) + 0.0 AS weight FROM bspec s JOIN rets r ON r.date = s.as_of AND r.symbol = s.symbol WHERE r.ret IS NOT NULL")
+def walk_forward_diagonal(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole walk-forward with factors that never move: each rebalance's least variance has a closed form."""
+    dates = model_dates(spark, sf)
+    still = MD.region_returns(spark, sf).withColumn("ret", F.lit(0.0))
+    cov, expected = T.factor_models(still, dates, MD.HALF)
+    risk = T.specific_as_of(MD.region_residuals(spark, sf), dates, MD.HALF, days=12)
+    rows = T.problems(T.latest_as_of(held_exposures(spark, sf), dates, B.REGION_COLUMNS), B.REGION_COLUMNS, cov, expected, risk, days=12)
+    out = T.walk_forward(rows, 1, lambda pdf: Limits()).where("portfolio = 'GMV'")
+    return rounded(out.select("as_of", "symbol", "weight"), "weight", places=5)
+
+
+@shared
+def model_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return T.walk_forward(model_problems(spark, sf))
+
+
 @query()
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    dates = T.rebalance_dates(P.calendar(B.prices(spark, sf)), "2000-07-01")
-    out = T.walk_forward(B.panel(spark, sf).select("date", "symbol", "ret").where("ret IS NOT NULL"), dates, halflife=12)
-    return rounded(out, "weight", places=5)
+    return rounded(model_weights(spark, sf), "weight", places=5)
+
+
+@query("SELECT r.date, round(sum(weight * coalesce(ret, 0)), 6) + 0.0 AS ret FROM eqheld e JOIN rets r ON r.symbol = e.symbol AND r.date > e.as_of AND (e.until IS NULL OR r.date <= e.until) GROUP BY r.date")
+def walk_forward_equal_returns(spark: SparkSession, sf: str) -> DataFrame:
+    """The returns of the equal portfolio of the walk-forward's own brands."""
+    equal = model_weights(spark, sf).where("portfolio = 'Equal-Weight'")
+    return rounded(T.held_returns(equal, model_dates(spark, sf), B.panel(spark, sf).select("date", "symbol", "ret")).select("date", "ret"), "ret")
 
 
 @query()
 def walk_forward_performance(spark: SparkSession, sf: str) -> DataFrame:
     """The walk-forward weights held to the next rebalance, with their turnover."""
-    dates = T.rebalance_dates(P.calendar(B.prices(spark, sf)), "2000-07-01")
+    w = model_weights(spark, sf)
     panel = B.panel(spark, sf).select("date", "symbol", "ret")
-    w = T.walk_forward(panel.where("ret IS NOT NULL"), dates, halflife=12).persist()
-    return rounded(PF.performance(T.held_returns(w, dates, panel), days=12, turnover=T.turnover(w)), "total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown", "calmar", "avg_turnover", places=4)
+    return rounded(PF.performance(T.held_returns(w, model_dates(spark, sf), panel), days=12, turnover=T.turnover(w)), "total_return", "ann_return", "ann_vol", "sharpe", "max_drawdown", "calmar", "avg_turnover", places=4)
 
 
-@query()
-def segmented_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """The joint model: caps differ by segment, and the rest as a group has a soft cap."""
-    dates = T.rebalance_dates(P.calendar(B.prices(spark, sf)), "2000-10-01")
-    top = {r["symbol"] for r in MD.segments(spark, sf).where("segment = 'top'").collect()}  # ten names
+def _segment_limits(pdf: pd.DataFrame) -> Limits:
+    rest = (pdf["segment"] == "rest").to_numpy(float)
+    return Limits(cap=np.where(rest > 0, 0.05, 0.15), soft=True, soft_group=rest, soft_group_cap=0.2, soft_group_penalty=0.01)
 
-    def limits(symbols: list[str]) -> Limits:
-        rest = np.array([s not in top for s in symbols], float)
-        return Limits(cap=np.where(rest > 0, 0.05, 0.15), soft=True, soft_group=rest, soft_group_cap=0.2, soft_group_penalty=0.01)
 
-    out = T.walk_forward(B.panel(spark, sf).select("date", "symbol", "ret").where("ret IS NOT NULL"), dates, halflife=12, limits=limits)
-    return rounded(out, "weight", places=5)
+@query()
+def segmented_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """The joint model of two segments: who is in which is asked anew at each rebalance; caps differ by segment, and the
+    rest as a group has a soft cap."""
+    names, rows = ["top", "rest"], held_exposures(spark, sf).where("segment IS NOT NULL")
+    long = rows.select("date", "symbol", "segment", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in B.REGION_COLUMNS])).alias("f")).select("date", "symbol", "segment", "f.factor", "f.x")
+    moved = long.join(B.panel(spark, sf).select("date", "symbol", "ret"), ["date", "symbol"])
+    returns = moved.groupBy("date", "segment", "factor").agg((F.sum(F.col("x") * F.col("ret")) / F.sum("x")).alias("f_ret"))
+    left = moved.join(F.broadcast(returns), ["date", "segment", "factor"]).groupBy("date", "symbol", "segment").agg((F.first("ret") - F.sum(F.col("x") * F.col("f_ret"))).alias("residual"))
+    series = {s: returns.where(F.col("segment") == s).select("date", "factor", F.col("f_ret").alias("ret")) for s in names}
+    residuals = {s: left.where(F.col("segment") == s) for s in names}
+    problems = T.joint_problems(rows, B.REGION_COLUMNS, series, residuals, model_dates(spark, sf), MD.HALF, days=12, t_min=0.2)
+    return rounded(T.walk_forward(problems, limits=_segment_limits), "weight", places=5)
 
 
 # ---- timing ----------------------------------------------------------------------------------------------------

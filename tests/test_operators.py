@@ -366,22 +366,92 @@ class TestPortfolios:
         with pytest.raises(Exception, match="two segments"):
             portfolio.joint_exposures(x.withColumn("symbol", F.lit("A")), ["a", "b"], ["top", "rest"]).collect()
 
-    def test_backtest_sees_no_future(self, spark):
+    def market(self, spark, months=36):
+        """A made-up market: exposures that move, factor returns, residuals and returns of eight symbols."""
         rng = np.random.default_rng(7)
-        data = [(dt.date(2020 + (k // 12), k % 12 + 1, 1), s, float(rng.normal(0.01, 0.03))) for k in range(36) for s in "abcd"]
-        df = spark.createDataFrame(data, "date date, symbol string, ret double")
-        dates = backtest.rebalance_dates(panel.calendar(df), "2021-06-01")
+        when = [dt.date(2020 + (k // 12), k % 12 + 1, 1) for k in range(months)]
+        names = "abcdefgh"
+        x = {(d, s): (float(rng.random()), float(rng.random())) for d in when for s in names}
+        f = {d: (float(rng.normal(0.01, 0.03)), float(rng.normal(0.0, 0.02))) for d in when}
+        e = {(d, s): float(rng.normal(0, 0.01 + 0.004 * names.index(s))) for d in when for s in names}
+        panel_ = spark.createDataFrame([(d, s, *x[d, s], "top" if x[d, s][0] > 0.5 else "rest", x[d, s][0] * f[d][0] + x[d, s][1] * f[d][1] + e[d, s]) for d in when for s in names], "date date, symbol string, f1 double, f2 double, segment string, ret double")
+        factors_ = spark.createDataFrame([(d, n, f[d][k]) for d in when for k, n in enumerate(("f1", "f2"))], "date date, factor string, ret double")
+        return panel_, factors_, spark.createDataFrame([(d, s, v) for (d, s), v in e.items()], "date date, symbol string, residual double"), (when, names, x, f, e)
+
+    def walk(self, panel_, factors_, residuals_, dates, limits=lambda pdf: solver.Limits(cap=0.5)):
+        cov, expected = backtest.factor_models(factors_, dates, 12)
+        risk = backtest.specific_as_of(residuals_, dates, 12)
+        rows = backtest.problems(backtest.latest_as_of(panel_, dates, ["f1", "f2"]), ["f1", "f2"], cov, expected, risk)
+        return rows, backtest.walk_forward(rows, 4, limits)
+
+    def test_backtest_sees_no_future(self, spark):
+        panel_, factors_, residuals_, _ = self.market(spark)
+        dates = backtest.rebalance_dates(panel.calendar(panel_), "2021-06-01")
         assert dates.count() == 20 and dates.where("until is null").count() == 1
-        half = lambda symbols: solver.Limits(cap=0.5)
-        w = backtest.walk_forward(df, dates, halflife=12, limits=half)
-        cut = backtest.walk_forward(panel.as_of(df, "2021-12-01"), dates.where("as_of <= '2021-12-01'"), halflife=12, limits=half)
-        key = lambda d: {(r["portfolio"], r["as_of"], r["symbol"]): round(r["weight"], 9) for r in d.where("as_of <= '2021-12-01'").collect()}
-        assert key(w) == key(cut)
+        few = dates.where("as_of <= '2021-12-01'")
+        _, w = self.walk(panel_, factors_, residuals_, few)
+        wild = lambda df, c: df.withColumn(c, F.when(F.col("date") > "2021-12-01", F.lit(9.0) * F.col(c)).otherwise(F.col(c)))
+        later = wild(wild(panel_, "f1"), "ret").withColumn("segment", F.lit("top"))
+        _, other = self.walk(later, wild(factors_, "ret"), wild(residuals_, "residual"), few)
+        key = lambda d: {(r["portfolio"], r["as_of"], r["symbol"]): round(r["weight"], 9) for r in d.collect()}
+        assert key(w) == key(other) and len(key(w)) == 3 * few.count() * 8
         equal = backtest.turnover(w.where("portfolio = 'Equal-Weight'"))
-        assert equal.count() == 19 and equal.agg(F.max("turnover")).first()[0] == pytest.approx(0)
-        held = backtest.held_returns(w.where("portfolio = 'Equal-Weight'"), dates, df)
+        assert equal.count() == few.count() - 1 and equal.agg(F.max("turnover")).first()[0] == pytest.approx(0)
+        held = backtest.held_returns(w.where("portfolio = 'Equal-Weight'"), dates, panel_)
         assert held.agg(F.min("date")).first()[0] == dt.date(2021, 6, 1)
 
+    def test_backtest_problems_against_plain_numbers(self, spark):
+        panel_, factors_, residuals_, (when, names, x, f, e) = self.market(spark)
+        dates = spark.createDataFrame([(when[20], when[21]), (when[30], None)], "as_of date, until date")
+        rows, w = self.walk(panel_, factors_, residuals_, dates, lambda pdf: solver.Limits())
+        for as_of, part in rows.toPandas().groupby("as_of"):
+            seen = [d for d in when if d <= as_of]
+            age = np.array([0.5 ** ((len(seen) - 1 - k) / 12) for k in range(len(seen))])
+
+            def cov(a, b, age=age):
+                ma, mb = (age @ a) / age.sum(), (age @ b) / age.sum()
+                return (age * (a - ma)) @ (b - mb) / age.sum() * age.sum() ** 2 / (age.sum() ** 2 - (age**2).sum())
+
+            series = np.array([f[d] for d in seen])
+            want = np.array([[cov(series[:, i], series[:, j]) for j in (0, 1)] for i in (0, 1)])
+            part = part.sort_values("symbol")
+            told = part[part["cov"].notna()].iloc[0]
+            assert np.allclose(np.array([list(r) for r in told["cov"]]), want)
+            own = [cov(*[np.array([e[d, s] for d in seen])] * 2) for s in names]
+            assert np.allclose(part["own"], own)
+            assert np.allclose(np.array(part["x"].tolist()), [x[as_of, s] for s in names])
+            xs = np.array([x[as_of, s] for s in names])
+            best = solver.minimum_variance(xs @ want @ xs.T + np.diag(own), solver.Limits())[0]
+            got = w.where((F.col("portfolio") == "GMV") & (F.col("as_of") == F.lit(as_of))).orderBy("symbol").collect()
+            assert np.allclose([r["weight"] for r in got], best, atol=1e-5)
+
+    def test_joint_backtest_follows_members(self, spark):
+        panel_, factors_, residuals_, (when, names, x, *_) = self.market(spark)
+        dates = spark.createDataFrame([(when[20], when[21]), (when[30], None)], "as_of date, until date")
+        both = {"top": factors_, "rest": factors_.withColumn("ret", F.col("ret") * 0.5)}
+        seen = residuals_.join(panel_.select("date", "symbol", "segment"), ["date", "symbol"])
+        rows = backtest.joint_problems(panel_, ["f1", "f2"], both, {s: seen.where(F.col("segment") == s) for s in both}, dates, 12)
+        for r in rows.collect():
+            top = x[r["as_of"], r["symbol"]][0] > 0.5
+            assert r["segment"] == ("top" if top else "rest")
+            assert r["x"] == ([*x[r["as_of"], r["symbol"]], 0.0, 0.0] if top else [0.0, 0.0, *x[r["as_of"], r["symbol"]]])
+        w = backtest.walk_forward(rows, 3, lambda pdf: solver.Limits(cap=np.where(pdf["segment"] == "rest", 0.3, 0.6)))
+        assert {r["s"] for r in w.groupBy("portfolio", "as_of").agg(F.round(F.sum("weight"), 6).alias("s")).collect()} == {1.0}
+
+    def test_macro_tilts_see_no_future(self, spark):
+        panel_, _, _, (when, names, *_) = self.market(spark, 60)
+        rng = np.random.default_rng(3)
+        prices = spark.createDataFrame([("oil", d, float(50 + rng.random())) for d in when], "name string, date date, price double")
+        groups = spark.createDataFrame([("oil", "a"), ("oil", "b"), ("none", "c")], "name string, symbol string")
+        dates = spark.createDataFrame([(when[40],), (when[50],)], "as_of date")
+        got = {(r["as_of"], r["symbol"]): r["tilt"] for r in timing.macro_tilts(panel_, groups, prices, dates).collect()}
+        assert set(got) == {(d, s) for d in (when[40], when[50]) for s in "ab"}
+        one = {r["symbol"]: r["tilt"] for r in timing.macro_tilt(panel_, groups, prices, as_of=str(when[40])).collect()}
+        assert one["a"] == pytest.approx(got[when[40], "a"]) and one["c"] == 0 and len(one) == 8
+        cut = timing.macro_tilt(panel_.where(F.col("date") <= F.lit(when[40])), groups, prices.where(F.col("date") <= F.lit(when[40])))
+        assert {r["symbol"]: r["tilt"] for r in cut.collect()}["b"] == pytest.approx(one["b"])
+
+
 
 class TestTiming:
     def test_signals(self, spark):
