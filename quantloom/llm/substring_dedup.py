@@ -6,18 +6,19 @@ equals, which depends on nothing but the string, so that equal strings have equa
 segments, the runs of strings that share an anchor (at most WIDTH + WIDTH - ANCHOR bytes), and a repeat can only be
 found among segments of equal anchor. This is the sharding of the suffix sort:
 
-1. A task hashes its texts and lists the segments: hash of the anchor, hash of the whole segment, place. Equal
-   segments of a task are reduced to the first, and the strings of the later ones are marked at once, so a group of
-   copies costs one row for each task, whatever its size.
-2. The lists are shuffled by anchor. Again the first of equal segments stands for all. An anchor with one kind of
-   segment has nothing left to compare; the others' segments are fetched from the texts.
+1. A task hashes its texts and lists the segments: hash of the anchor, digest of the whole segment, place. Segments of
+   a task that are equal byte by byte are reduced to the first, and the strings of the later ones are marked at once, so
+   a group of copies costs one row for each task, whatever its size.
+2. The lists are shuffled by anchor. Again the first of equal segments, by their 128-bit BLAKE2b digests, stands for
+   all. An anchor with one kind of segment has nothing left to compare; the others' segments are fetched from the texts.
 3. Each goes to up to two shards, by the hash of the anchor with the bytes up to 34 before or after it: one of the two
    is part of every string around the anchor. So a common phrase does not gather in one shard unless its
    surroundings are as common. A shard builds the suffix array of its segments by induced sorting, computes permuted
    common prefixes, and in each group of suffixes that share WIDTH bytes marks all but the earliest.
 4. Marks of a document are merged, and its remaining bytes are hashed.
 
-Equality of segments within an anchor is decided by 64-bit hashes on top of the anchor's 64 bits.
+So suffix arrays decide wherever segments overlap in part; whole copies of a segment are decided by comparison within a
+task and by a cryptographic digest between tasks, since to fetch all copies too would move most of a repeated text.
 
 Cases: a null text is empty; texts shorter than WIDTH bytes stay whole; strings never cross documents; rows that
 repeat an id, and rows without one (last), are documents of their own, in the order of their texts; an empty table
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, part_count, small_batches, store, text_bytes
+from quantloom.llm.common import bounded, documents, part_count, small_batches, store, text_bytes
 from quantloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -45,8 +46,10 @@ PLACES = WIDTH - ANCHOR + 1
 SIDE = (WIDTH - ANCHOR) // 2
 BLOCK = 1 << 18
 CHUNK_BYTES = 32 << 20
-#: Lists of documents up to this many bytes are broadcast; longer ones are joined by a shuffle.
-BROADCAST_BYTES = 48 << 20
+#: Most bytes of a segment.
+LONGEST = PLACES + WIDTH - 1
+#: Bytes of fetched segments that one suffix array takes, about.
+SHARD_BYTES = 4 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(100))
 _BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +90,10 @@ def least_places(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, segment hash, row, first string, strings, anchor's place in the first) of all rows, block by block."""
+    """(anchor hash, segment hash, row, first string, strings, anchor's place in the first) of all rows, block by block.
+
+    The segment hash only proposes equal segments.
+    """
     ends = offsets[1:]
     for a in range(0, len(data) - WIDTH + 1, BLOCK):
         b = min(a + BLOCK, len(data) - WIDTH + 1)
@@ -110,20 +116,41 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield anchor[p], whole, row, lo + a - offsets[row], hi - lo + 1, p - lo
 
 
-def firsts(f: np.ndarray, h: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (f, h, key, lo), and which of that order begin a new (f, h)."""
+def firsts(f: np.ndarray, h: np.ndarray, key: np.ndarray, lo: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (f, h, g, key, lo), and which of that order begin a new (f, h, g)."""
+    g = np.zeros(len(f), np.uint8) if g is None else g
     order = np.argsort(f, kind="stable")
     same = f[order][1:] == f[order][:-1]
     # only runs of equal anchors need the finer order
     run = np.concatenate((same, [False])) | np.concatenate(([False], same))
     at = np.flatnonzero(run)
     part = order[at]
-    order[at] = part[np.lexsort((lo[part], key[part], h[part], f[part]))]
+    order[at] = part[np.lexsort((lo[part], key[part], g[part], h[part], f[part]))]
     new = np.ones(len(order), bool)
-    new[1:] = (f[order][1:] != f[order][:-1]) | (h[order][1:] != h[order][:-1])
+    new[1:] = (f[order][1:] != f[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     return order, new
 
 
+def equal_segments(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the segments of ``size`` and ``sizes`` strings that begin at a and at b are the same bytes."""
+    out = size == sizes
+    for i in range(0, len(a), 1 << 14):
+        s = slice(i, i + (1 << 14))
+        at = np.arange(LONGEST)
+        beyond = at >= (size[s] + WIDTH - 1)[:, None]
+        x, y = (data[np.minimum(p[s][:, None] + at, len(data) - 1)] for p in (a, b))
+        out[s] &= ((x == y) | beyond).all(axis=1)
+    return out
+
+
+def digests(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the segments of ``size`` strings that begin at ``at``, in two halves."""
+    raw = data.tobytes()
+    found = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at.tolist(), (at + size + WIDTH - 1).tolist(), strict=True))
+    both = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def joined_runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks [lo, hi] of keys, sorted, with neighbours and overlaps made one."""
     order = np.lexsort((lo, key))
@@ -140,35 +167,42 @@ def joined_runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return key[at], lo[at], reach[np.concatenate((at[1:], [len(key)])) - 1]
 
 
-_LIST = "part int, n int, f binary, h binary, key binary, lo binary, size binary, place binary"
-_FIELDS = {"f": np.uint64, "h": np.uint64, "key": np.int64, "lo": np.int64, "size": np.uint8, "place": np.uint8}
+_LIST = "part int, n int, f binary, h binary, g binary, key binary, lo binary, size binary, place binary"
+_FIELDS = {"f": np.uint64, "h": np.uint64, "g": np.uint64, "key": np.int64, "lo": np.int64, "size": np.uint8, "place": np.uint8}
 
 
 def segment_lists(df: DataFrame, parts: int) -> DataFrame:
-    """Packed lists of first segments by part, and of marks (f and h empty), from texts (key, text)."""
+    """Packed lists of first segments by part, and of marks (h empty), from texts (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        texts: list[np.ndarray] = []
         size = 0
 
         def rows(part: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
             order = np.lexsort((columns["lo"], columns["key"], part))
             part = part[order]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-            packed: list[list] = [[] for _ in range(8)]
+            packed: list[list] = [[] for _ in range(9)]
             columns = {k: v[order] for k, v in columns.items()}
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 packed[0].append(int(part[i]))
                 packed[1].append(j - i)
                 for k, (name, kind) in enumerate(_FIELDS.items()):
                     packed[k + 2].append(columns[name][i:j].astype(kind).tobytes() if name in columns else b"")
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(packed, kinds, strict=True)], ["part", "n", *_FIELDS])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            f, h, key, lo, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            f, h, key, lo, n, place, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            data = np.concatenate(texts)
             held.clear()
+            texts.clear()
             order, new = firsts(f, h, key, lo)
+            later = np.flatnonzero(~new)
+            like = order[new][np.cumsum(new)[later] - 1]
+            # what the hashes propose the bytes decide; a segment that only has the same hash stands for itself
+            new[later] = ~equal_segments(data, at[like], at[order[later]], n[like], n[order[later]])
             later = order[~new]
             k, a, b = joined_runs(key[later], lo[later], lo[later] + n[later] - 1)
             # a mark is a run of strings of any length here, so its end takes the place of the anchor hash
@@ -176,13 +210,15 @@ def segment_lists(df: DataFrame, parts: int) -> DataFrame:
                 s = slice(i, i + (1 << 16))
                 yield rows((k[s] % parts).astype(np.int32), {"key": k[s], "lo": a[s], "f": b[s]})
             kept = order[new]
-            yield rows((f[kept] % np.uint64(parts)).astype(np.int32), {"f": f[kept], "h": h[kept], "key": key[kept], "lo": lo[kept], "size": n[kept], "place": place[kept]})
+            h, g = digests(data, at[kept], n[kept])
+            yield rows((f[kept] % np.uint64(parts)).astype(np.int32), {"f": f[kept], "h": h, "g": g, "key": key[kept], "lo": lo[kept], "size": n[kept], "place": place[kept]})
 
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             keys = b.column("key").to_numpy()
             for f, h, row, lo, n, place in segments(data, offsets):
-                held.append((f, h, keys[row], lo, n, place))
+                held.append((f, h, keys[row], lo, n, place, offsets[row] + lo + size))
+            texts.append(data)
             size += len(data)
             if size >= CHUNK_BYTES and held:
                 yield from flush()
@@ -203,9 +239,9 @@ def sift(lists: pa.Table) -> pa.Table:
                 got[k].append(np.frombuffer(r[k], kind))
         else:
             marks.append((np.frombuffer(r["key"], np.int64), np.frombuffer(r["lo"], np.int64), np.frombuffer(r["f"], np.uint64).astype(np.int64)))
-    f, h, key, lo, size, place = (np.concatenate([np.zeros(0, kind), *got[k]]) for k, kind in _FIELDS.items())
+    f, h, g, key, lo, size, place = (np.concatenate([np.zeros(0, kind), *got[k]]) for k, kind in _FIELDS.items())
     size, place = size.astype(np.int64), place.astype(np.int64)
-    order, new = firsts(f, h, key, lo)
+    order, new = firsts(f, h, key, lo, g)
     later = order[~new]
     marks.append((key[later], lo[later], lo[later] + size[later] - 1))
     kept = order[new]
@@ -290,11 +326,6 @@ def numbered(df: DataFrame) -> DataFrame:
     return store(ranged.select("doc_id", F.monotonically_increasing_id().alias("key"), "text"), "numbered")
 
 
-def small_enough(df: DataFrame, column: str) -> DataFrame:
-    total = df.agg(F.sum(F.length(column) + 32)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def dedup(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``df`` (doc_id, text)."""
     docs = numbered(df)
@@ -302,9 +333,10 @@ def dedup(df: DataFrame) -> DataFrame:
     lists = segment_lists(docs.select("key", "text"), parts)
     sifted = store(lists.groupBy("part").applyInArrow(sift, "key long, lo long, hi long, place int, f long"), "segments")
     wanted = sifted.where("place >= 0").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "place")).alias("wanted"))
-    wanted = store(wanted.withColumn("room", F.repeat(F.lit(" "), F.size("wanted") * 24)), "wanted")
-    fetch = docs.select("key", "text").join(small_enough(wanted, "room"), "key")
-    found = fetched(fetch).groupBy(F.pmod("shard", F.lit(parts)).alias("group")).applyInArrow(repeats, "key long, lo long, hi long")
+    wanted = store(wanted, "wanted")
+    size = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) * LONGEST
+    fetch = docs.select("key", "text").join(bounded(wanted), "key")
+    found = fetched(fetch).groupBy(F.pmod("shard", F.lit(max(parts, size // SHARD_BYTES))).alias("group")).applyInArrow(repeats, "key long, lo long, hi long")
     marks = sifted.where("place < 0").select("key", "lo", "hi").unionByName(found)
     spans = store(marks.groupBy(F.pmod("key", F.lit(parts)).alias("group")).applyInArrow(by_document, "key long, spans binary"), "spans")
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -326,7 +358,7 @@ def dedup(df: DataFrame) -> DataFrame:
                 digest.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    met = docs.join(small_enough(spans, "spans"), "key", "left").select("doc_id", "text", "spans")
+    met = docs.join(bounded(spans), "key", "left").select("doc_id", "text", "spans")
     return small_batches(met).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

@@ -46,11 +46,26 @@ def test_edges(make, monkeypatch):
     rows += [(200, word(60) * 20), (201, base * 3)]
     assert got(sd.dedup(make(rows, 4))) == brute(rows)
     assert got(sd.dedup(make([]))) == []
-    monkeypatch.setattr(sd, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(sd, "bounded", lambda df: df)  # the lists are joined by a shuffle
     again = [*rows, (4, base), (4, "other " + base), (None, base), (None, None)]
     assert got(sd.dedup(make(again, 4))) == brute(again)
 
 
+def test_bytes_decide_what_hashes_propose():
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 100, 1000, dtype=np.uint8)
+    data[500:700] = data[:200]
+    data[599] ^= 1
+    a, b = np.array([0, 0, 0, 830]), np.array([500, 500, 500, 830])
+    size, sizes = np.array([1, 0 + 69, 20, 69]), np.array([1, 69, 21, 69])
+    # the 100th byte differs, sizes differ, and the last one ends beyond the data
+    assert sd.equal_segments(data, a, b, size, sizes).tolist() == [False, False, False, True]
+    data[599] ^= 1
+    assert sd.equal_segments(data, a, b, size, sizes).tolist() == [True, True, False, True]
+    h, g = sd.digests(data, np.array([0, 500, 1]), np.array([3, 3, 3]))
+    assert (h[0], g[0]) == (h[1], g[1]) != (h[2], g[2])
+
+
 def test_segments_depend_on_content_only():
     rng = np.random.default_rng(1)
     common = bytes(rng.integers(97, 105, 400, dtype=np.uint8))
