@@ -154,6 +154,14 @@ def joint_specific_risk(by_segment: dict[str, DataFrame], members: DataFrame) ->
     return out
 
 
+def segment_caps(members: DataFrame, caps: dict[str, float], group: str, default: float = C.MAX_STOCK_WEIGHT) -> DataFrame:
+    """(symbol, segment, member, cap): membership of the segment ``group`` as 0 or 1, and each symbol's own cap by segment."""
+    cap = F.lit(default)
+    for s, c in caps.items():
+        cap = F.when(F.col("segment") == s, F.lit(c)).otherwise(cap)
+    return members.select("symbol", "segment", (F.col("segment") == group).cast("double").alias("member"), cap.cast("double").alias("cap"))
+
+
 # ---- optimization ----------------------------------------------------------------------------------------------
 
 FRONTIER_SCHEMA = "problem string, point int, target double, expected_return double, volatility double, sharpe double, converged boolean, symbol string, weight double"

@@ -36,6 +36,11 @@ def fuzzy_match(names: DataFrame, reference: DataFrame, least: float = FUZZY_THR
     ``names``: (key, company_name); ``reference``: (symbol, company_name, ord), a short list (a few hundred names),
     which every task holds; names are scored where they are.
     """
+    spelled = names.select("key", F.coalesce(normalized_name("company_name"), F.lit("")).alias("n"))
+    # a name that a reference has just so cannot be bettered; only the others are scored
+    same = reference.select("symbol", normalized_name("company_name").alias("n"), "ord").groupBy("n").agg(F.min_by("symbol", "ord").alias("matched_symbol"))
+    met = spelled.join(F.broadcast(same), "n", "left")
+    exact = met.where("matched_symbol IS NOT NULL").select("key", "matched_symbol", F.lit(1.0).alias("match_score"))
     known = [(r["symbol"], r["n"]) for r in reference.select("symbol", normalized_name("company_name").alias("n"), "ord").orderBy("ord").collect()]
     sent = names.sparkSession.sparkContext.broadcast(known)
 
@@ -54,8 +59,8 @@ def fuzzy_match(names: DataFrame, reference: DataFrame, least: float = FUZZY_THR
                 best.append((symbol, round(top, 4)))
             yield pd.DataFrame({"key": pdf["key"], "matched_symbol": [b[0] for b in best], "match_score": [b[1] for b in best]})
 
-    found = names.select("key", normalized_name("company_name").alias("n")).mapInPandas(score, "key string, matched_symbol string, match_score double")
-    return found.withColumn("needs_review", F.col("match_score") < least)
+    found = met.where("matched_symbol IS NULL").select("key", "n").mapInPandas(score, "key string, matched_symbol string, match_score double")
+    return exact.select(F.col("key").cast("string"), "matched_symbol", "match_score").unionByName(found).withColumn("needs_review", F.col("match_score") < least)
 
 
 def universe_mapping(files: DataFrame, reference: DataFrame, overrides: DataFrame, priced: DataFrame, least: float = FUZZY_THRESHOLD) -> DataFrame:

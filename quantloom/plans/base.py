@@ -8,11 +8,11 @@ a calendar year, and industries are shares of revenue by the supplier's region.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,29 +35,50 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return register
 
 
-#: Intermediate tables that several queries use, by application: small panels, computed once and kept.
-_SHARED: OrderedDict[tuple, DataFrame] = OrderedDict()
-SHARED_TABLES = 64
+#: Intermediate tables that several queries use, by application: written once, then read.
+_SHARED: dict[tuple, DataFrame] = {}
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a session on one machine may leave it unset; a folder of this process is used then.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir is unset, and this cluster's machines share no other folder")
+    if "dir" not in _SCRATCH:
+        _SCRATCH["dir"] = tempfile.mkdtemp(prefix="quantloom-plans-")
+    return "file://" + _SCRATCH["dir"]
 
 
 def shared(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Persist what ``f(spark, sf, ...)`` returns and give it to later callers; lost parts are computed again."""
+    """Write what ``f(spark, sf, ...)`` returns as a table and give that to all callers: plans that use it begin with a
+    scan instead of its whole lineage, and a lost executor costs a re-read."""
 
     @wraps(f)
     def get(spark: SparkSession, sf: str, *args) -> DataFrame:
         key = (spark.sparkContext.applicationId, f.__module__, f.__name__, sf, args)
         if key not in _SHARED:
-            _SHARED[key] = f(spark, sf, *args).persist(StorageLevel.MEMORY_AND_DISK)
-            while len(_SHARED) > SHARED_TABLES:
-                old, df = _SHARED.popitem(last=False)
-                if old[0] == key[0]:
-                    df.unpersist()
-        _SHARED.move_to_end(key)
+            df = f(spark, sf, *args)
+            path = f"{scratch(spark)}/quantloom-{f.__name__}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+            _SHARED[key] = spark.read.schema(df.schema).parquet(path)
         return _SHARED[key]
 
     return get
 
 
+def forget() -> None:
+    """Let the next query compute its intermediate tables again."""
+    _SHARED.clear()
+
+
 def r6(c: str | Column, places: int = 6) -> Column:
     """Rounded, without a negative zero: engines add in different orders."""
     return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)

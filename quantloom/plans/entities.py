@@ -29,18 +29,32 @@ def name_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Every spelled name against the names of nations: a short reference list."""
+    """Misspelled names against the names of nations: a short reference list."""
     reference = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("symbol"), F.col("n_name").alias("company_name"), F.col("n_nationkey").alias("ord"))
-    names = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lower("n_name"), F.lit(" Ltd")).alias("company_name"))
+    names = B.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.concat(F.lower(F.expr("substring(n_name, 1, length(n_name) - 1)")), F.when(F.col("n_nationkey") % 2 == 0, " Ltd").otherwise(" & Co")).alias("company_name"))
     return N.fuzzy_match(names, reference)
 
 
-@query("SELECT s_suppkey AS key, CASE WHEN s_suppkey % 10 = 0 THEN NULL WHEN s_suppkey % 10 = 1 THEN 'FIXED' ELSE 'S' || s_suppkey END AS symbol, CASE WHEN s_suppkey % 10 = 0 THEN 'manual_exclude' WHEN s_suppkey % 10 = 1 THEN 'override' ELSE 'fuzzy' END AS method FROM supplier")
-def overrides(spark: SparkSession, sf: str) -> DataFrame:
-    supplier = B.table(spark, sf, "supplier").select("s_suppkey")
-    fixed = supplier.where("s_suppkey % 10 < 2").select(F.col("s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 10 == 1, "FIXED").alias("fixed"), F.lit(True).alias("over"))
-    out = supplier.withColumnRenamed("s_suppkey", "key").join(fixed, "key", "left")
-    return out.select("key", F.when(F.col("over"), F.col("fixed")).otherwise(F.concat(F.lit("S"), F.col("key").cast("string"))).alias("symbol"), F.when(F.col("over") & F.col("fixed").isNotNull(), "override").when(F.col("over"), "manual_exclude").otherwise("fuzzy").alias("method"))
+_FILES = "SELECT s_suppkey AS k, 'supplier ' || s_suppkey // 2 || CASE WHEN s_suppkey % 2 = 1 THEN ' (1)' ELSE '' END AS dedup_raw, s_suppkey // 2 AS c FROM supplier"
+
+
+@query(f"""WITH f AS (SELECT k, dedup_raw || '.xlsx' AS file, 'supplier ' || c AS dedup_key, c FROM ({_FILES})),
+    m AS (SELECT *, CASE WHEN c % 10 = 0 THEN NULL WHEN c % 10 = 1 THEN 'S1' ELSE 'S' || c END AS symbol, CASE WHEN c % 10 = 0 THEN 'manual_exclude' WHEN c % 10 = 1 THEN 'override' ELSE 'fuzzy' END AS method FROM f),
+    p AS (SELECT *, coalesce(substr(symbol, 2)::INT % 7 <> 0, FALSE) AS in_prices FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY symbol, in_prices ORDER BY k DESC, file) AS rank FROM p)
+    SELECT file, dedup_key, symbol, method, in_prices, in_prices AND rank = 1 AS included, CASE WHEN symbol IS NULL THEN 'no symbol' WHEN NOT in_prices THEN 'no prices' WHEN rank > 1 THEN 'older download' ELSE '' END AS reason FROM r""")
+def universe_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Two files a company, the second a later download; some companies are overridden, some left out, some unpriced."""
+    supplier = B.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.floor(F.col("s_suppkey") / 2).alias("c"))
+    stem = F.concat(F.lit("supplier "), F.col("c").cast("string"))
+    name = F.concat(F.lit("Supplier No. "), F.col("c").cast("string"), F.when(F.col("k") % 2 == 1, " Ltd.").otherwise(" LIMITED"))
+    files = supplier.select(F.concat(stem, F.when(F.col("k") % 2 == 1, " (1)").otherwise(""), F.lit(".xlsx")).alias("file"), F.col("k").cast("double").alias("mtime"), name.alias("company_name"))
+    companies = supplier.select("c").distinct()
+    reference = companies.select(F.concat(F.lit("S"), F.col("c").cast("string")).alias("symbol"), F.concat(F.lit("SUPPLIER NO "), F.col("c").cast("string")).alias("company_name"), F.col("c").alias("ord"))
+    fixed = companies.where("c % 10 < 2").select(F.concat(F.lit("supplier "), F.col("c").cast("string")).alias("dedup_key"), F.when(F.col("c") % 10 == 1, "S1").alias("symbol"))
+    priced = reference.where("ord % 7 <> 0").select("symbol")
+    out = N.universe_mapping(files, reference, fixed, priced)
+    return out.select("file", "dedup_key", "symbol", "method", "in_prices", "included", "reason")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY ALL")

@@ -11,7 +11,7 @@ from quantloom.operators import fundamentals as R
 from quantloom.operators import panel as P
 from quantloom.operators import standardize as S
 from quantloom.plans import base as B
-from quantloom.plans.base import query, r6, rounded, shared, zsql
+from quantloom.plans.base import CTE, query, r6, rounded, shared, zsql
 
 N = 12  # months of a lookback here
 
@@ -217,7 +217,10 @@ _Z = {
 }
 
 
-@query("SELECT date, symbol, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in B.REGION_COLUMNS) + ", " + ", ".join(f"round({k}.z, 6) + 0.0 AS {k}" for k in _Z) + ", round(market_cap / 1e9, 3) + 0.0 AS market_cap, round(ret, 6) + 0.0 AS ret FROM caps JOIN shares_by_region USING (symbol) " + " ".join(f"JOIN {zsql(k, s)} {k} USING (date, symbol)" for k, s in _Z.items()))
+CTE["expo"] = "SELECT date, symbol, " + ", ".join(B.REGION_COLUMNS) + ", " + ", ".join(f"{k}.z AS {k}" for k in _Z) + ", market_cap, ret FROM caps JOIN shares_by_region USING (symbol) " + " ".join(f"JOIN {zsql(k, s)} {k} USING (date, symbol)" for k, s in _Z.items())
+
+
+@query("SELECT date, symbol, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in [*B.REGION_COLUMNS, *_Z]) + ", round(market_cap / 1e9, 3) + 0.0 AS market_cap, round(ret, 6) + 0.0 AS ret FROM expo")
 def exposure_panel(spark: SparkSession, sf: str) -> DataFrame:
     out = exposures(spark, sf).select("date", "symbol", *B.REGION_COLUMNS, *_Z, "market_cap", "ret")
     return rounded(out, *B.REGION_COLUMNS, *_Z, "ret").withColumn("market_cap", r6(F.col("market_cap") / 1e9, 3))

