@@ -167,16 +167,24 @@ def _clean(w: np.ndarray, lim: Limits) -> np.ndarray:
     return w
 
 
-def frontier(sigma: np.ndarray, mu: np.ndarray, points: int, lim: Limits | None = None) -> list[dict]:
-    """From the least-variance portfolio in equal steps of return to the greatest return within the limits."""
+def frontier_targets(sigma: np.ndarray, mu: np.ndarray, points: int, lim: Limits | None = None) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """Equal steps of return from the least-variance portfolio to the greatest return within the limits; that portfolio,
+    and whether either end was found."""
     low, ok = minimum_variance(sigma, lim)
     high, ok_high = maximum_return(mu, lim)
     first, last = float(mu @ low), float(mu @ high)
-    if last <= first:
-        last = first + 1e-8
-    out = []
-    for k, target in enumerate(np.linspace(first, last, points)):
-        w, good = (low, ok) if k == 0 else minimum_variance(sigma, lim, mu, float(target))
-        vol, ret = float(np.sqrt(max(0.0, w @ sigma @ w))), float(mu @ w)
-        out.append({"point": k, "target": float(target), "expected_return": ret, "volatility": vol, "sharpe": ret / vol if vol > 0 else None, "converged": bool(good and ok_high), "weights": w})
-    return out
+    return np.linspace(first, last if last > first else first + 1e-8, points), low, ok, ok_high
+
+
+def frontier_point(sigma: np.ndarray, mu: np.ndarray, k: int, target: float, found: tuple[np.ndarray, bool]) -> dict:
+    """The figures of the weights ``found`` (weights, converged) for a target."""
+    w, good = found
+    vol, ret = float(np.sqrt(max(0.0, w @ sigma @ w))), float(mu @ w)
+    return {"point": k, "target": float(target), "expected_return": ret, "volatility": vol, "sharpe": ret / vol if vol > 0 else None, "converged": bool(good), "weights": w}
+
+
+def frontier(sigma: np.ndarray, mu: np.ndarray, points: int, lim: Limits | None = None) -> list[dict]:
+    """All points of an efficient frontier, one after another."""
+    targets, low, ok, ok_high = frontier_targets(sigma, mu, points, lim)
+    solved = [(low, ok) if k == 0 else minimum_variance(sigma, lim, mu, float(t)) for k, t in enumerate(targets)]
+    return [frontier_point(sigma, mu, k, t, (w, good and ok_high)) for k, (t, (w, good)) in enumerate(zip(targets, solved, strict=True))]

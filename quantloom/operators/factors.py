@@ -79,6 +79,11 @@ def top_flag(panel: DataFrame, value: str = "market_cap", n: int = C.TOP_N, out:
     return panel.withColumn("_rank", rank).withColumn(out, F.when(valid, (F.col("_rank") <= n).cast("double"))).drop("_rank")
 
 
+def decile_means(panel: DataFrame, value: str = "ret", label: str = "size_decile") -> DataFrame:
+    """(label, mean): mean value of each decile over all dates."""
+    return panel.where(F.col(label).isNotNull() & F.col(value).isNotNull()).groupBy(label).agg(F.avg(value).alias("mean"))
+
+
 def static_attributes(grid: DataFrame, attributes: DataFrame, fill: dict[str, float] | None = None) -> DataFrame:
     """Attributes of symbols on every date; symbols without them get ``fill``."""
     out = grid.join(attributes, "symbol", "left")

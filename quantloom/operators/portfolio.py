@@ -14,18 +14,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import constants as C
-from quantloom.functions.solver import Limits, frontier
+from quantloom.functions.solver import Limits, frontier_point, frontier_targets, minimum_variance
 
 
 def equal_weights(symbols: DataFrame, name: str = "Equal-Weight") -> DataFrame:
-    n = F.count("*").over(Window.partitionBy())
-    return symbols.select(F.lit(name).alias("portfolio"), "symbol", (1.0 / n).alias("weight"))
+    n = F.broadcast(symbols.agg(F.count("*").alias("_n")))
+    return symbols.crossJoin(n).select(F.lit(name).alias("portfolio"), "symbol", (1.0 / F.col("_n")).alias("weight"))
 
 
 def inverse_variance_weights(variances: DataFrame, name: str = "Inverse-Variance") -> DataFrame:
     """Least variance for a diagonal covariance, from (symbol, variance)."""
     w = 1.0 / F.col("variance")
-    return variances.select(F.lit(name).alias("portfolio"), "symbol", (w / F.sum(w).over(Window.partitionBy())).alias("weight"))
+    total = F.broadcast(variances.agg(F.sum(w).alias("_total")))
+    return variances.crossJoin(total).select(F.lit(name).alias("portfolio"), "symbol", (w / F.col("_total")).alias("weight"))
 
 
 def factor_exposure(weights: DataFrame, exposures: DataFrame) -> DataFrame:
@@ -187,16 +188,29 @@ def dense(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def frontiers(problems: DataFrame, points: int = C.FRONTIER_POINTS, limits: Callable[[list[str]], Limits] | None = None) -> DataFrame:
-    """Efficient frontiers, one task a problem: each point with its figures and its weights by symbol."""
+    """Efficient frontiers: each point with its figures and its weights by symbol.
+
+    One task a problem finds the ends and with them the targets; then each (problem, target) is solved where it lands.
+    """
+
+    def bounds(symbols: list[str]) -> Limits:
+        return limits(symbols) if limits else Limits(cap=C.MAX_STOCK_WEIGHT, soft=True, penalty=C.STOCK_SOFT_PENALTY)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        symbols, sigma, mu = dense(pdf)
+        targets, low, ok, ok_high = frontier_targets(sigma, mu, points, bounds(symbols))
+        return pd.DataFrame([(pdf["problem"].iloc[0], k, float(t), bool(ok_high), bool(ok), low.tolist() if k == 0 else None) for k, t in enumerate(targets)], columns=["problem", "point", "target", "high", "ok", "low"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         symbols, sigma, mu = dense(pdf)
-        lim = limits(symbols) if limits else Limits(cap=C.MAX_STOCK_WEIGHT, soft=True, penalty=C.STOCK_SOFT_PENALTY)
-        name = pdf["problem"].iloc[0]
-        rows = [(name, p["point"], p["target"], p["expected_return"], p["volatility"], p["sharpe"], p["converged"], s, float(w)) for p in frontier(sigma, mu, points, lim) for s, w in zip(symbols, p["weights"], strict=True)]
+        told = pdf.iloc[0]
+        found = (np.array(told["low"], float), told["ok"]) if told["point"] == 0 else minimum_variance(sigma, bounds(symbols), mu, float(told["target"]))
+        p = frontier_point(sigma, mu, int(told["point"]), float(told["target"]), (found[0], found[1] and told["high"]))
+        rows = [(told["problem"], p["point"], p["target"], p["expected_return"], p["volatility"], p["sharpe"], p["converged"], s, float(w)) for s, w in zip(symbols, p["weights"], strict=True)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FRONTIER_SCHEMA.split(", ")])
 
-    return problems.groupBy("problem").applyInPandas(solve, FRONTIER_SCHEMA)
+    targets = problems.groupBy("problem").applyInPandas(ends, "problem string, point int, target double, high boolean, ok boolean, low array<double>")
+    return problems.join(targets, "problem").groupBy("problem", "point").applyInPandas(solve, FRONTIER_SCHEMA)
 
 
 def max_sharpe(points: DataFrame) -> DataFrame:

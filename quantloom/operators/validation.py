@@ -11,6 +11,8 @@ from quantloom.functions import constants as C
 from quantloom.functions.special import adf_critical, chi2_tail
 from quantloom.operators.inference import newey_west_mean
 
+#: Most names of a covariance that is looked at as one dense matrix.
+LARGEST = 4_000
 VERDICT = "name string, statistic string, threshold string, verdict string, detail string"
 
 
@@ -188,7 +190,10 @@ def constraints(weights: DataFrame, leverage: float | None = None, tolerance: fl
 
 
 def smallest_eigenvalue(cov: DataFrame) -> float:
-    """Of a covariance (row, col, cov) of at most a few hundred names."""
+    """Of a covariance (row, col, cov) of at most ``LARGEST`` names: a dense program of the driver's."""
+    n = cov.select("row").distinct().count()
+    if n > LARGEST:
+        raise ValueError(f"{n} names; the least eigenvalue is computed for {LARGEST} at most")
     pdf = cov.toPandas()
     m = pdf.pivot(index="row", columns="col", values="cov").to_numpy(float)
     return float(np.linalg.eigvalsh((m + m.T) / 2).min())
@@ -247,6 +252,12 @@ def histogram(values: DataFrame, value: str, bins: int = 200) -> DataFrame:
     return out.select("bin", low.alias("low"), "n", (F.exp(-z * z / 2) / (F.col("sd") * (2 * np.pi) ** 0.5)).alias("density"))
 
 
+def daily_alpha(residuals: DataFrame) -> DataFrame:
+    """(date, alpha, cumulative): the mean residual of a date and its sum so far."""
+    daily = residuals.groupBy("date").agg(F.avg("residual").alias("alpha"))
+    return daily.withColumn("cumulative", F.sum("alpha").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def cumulative(series: DataFrame, by: str = "factor") -> DataFrame:
     w = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     return series.where("ret IS NOT NULL").withColumn("cumulative", F.product(1 + F.col("ret")).over(w) - 1)

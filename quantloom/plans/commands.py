@@ -83,6 +83,9 @@ class Settings:
     def segment_design(self) -> list[str]:
         return [c for c in self.design if c != "top100_flag"]
 
+    def design_of(self, scope: tuple[str, ...]) -> list[str]:
+        return self.segment_design if scope and scope[0] == "segments" else self.design
+
 
 class Commands:
     def __init__(self, spark: SparkSession, settings: Settings) -> None:
@@ -153,6 +156,7 @@ class Commands:
         market = F.broadcast(self.benchmark_rows())
         rows = P.with_returns(P.full_grid(px)).join(market, "date", "left").join(PR.load_volume(self.spark, s.at(s.volume), symbols), ["date", "symbol"], "left")
         events = A.visible_from(self.load("fundamentals_annual"))
+        self.save(A.as_of_join(rows.select("date", "symbol"), events, ["eps"]), "point_in_time")
         rows = A.as_of_join(rows, events, ["shares", "leverage", "roa", "roe", "net_margin", "eps", "bvps", "dps", "capex", "revenue_growth"])
         rows = X.momentum(X.rolling_beta(rows, n=s.lookback), lookback=s.lookback, skip=s.skip)
         rows = X.liquidity(X.holiday_filled(rows), n=s.lookback)
@@ -190,16 +194,24 @@ class Commands:
         exposures = self.load("exposures")
         stats = G.fit_statistics(fits)
         alpha = V.residual_alpha(residuals)
+        held = residuals.join(exposures.select("date", "symbol", "top100_flag", *self.s.design_of(scope)), ["date", "symbol"])
+        named = held.where("top100_flag IS NOT NULL").withColumn("segment", F.when(F.col("top100_flag") == 1, "top100").otherwise("rest"))
+        by_segment = V.residual_alpha(named, ["segment"]).agg(F.count("*").alias("n"), F.max(F.abs("nw_t")).alias("t"))
+        uneven = V.breusch_pagan(held, self.s.design_of(scope)).agg(F.count("*").alias("n"), F.avg((F.col("p") < 0.05).cast("double")).alias("share"))
+        early = V.look_ahead(self.load("point_in_time"), A.visible_from(self.load("fundamentals_annual")), "eps").agg(F.count("*").cast("double").alias("bad"))
         parts = [
             V.verdict(V.r2_distribution(stats), "r2", F.col("mean"), "-", F.lit(False), F.format_string("median %.4f of %d dates", "median", "n"), "INFO"),
             V.verdict(V.significant_factors(I.summary(returns)), "significant factors", F.col("n_significant").cast("double"), "|t| > 2", F.lit(False), F.format_string("of %d", "n"), "INFO"),
             V.verdict(V.jarque_bera(residuals, "residual"), "normal residuals", F.col("jb"), "p > 0.05", F.col("p") > 0.05, F.format_string("p %.4f", "p"), "WARN"),
             V.verdict(alpha, "residual alpha", F.col("nw_t"), "|t| < 2", F.col("verdict") == "PASS", F.format_string("%d dates", "n")),
+            V.verdict(by_segment, "residual alpha by segment", F.coalesce("t", F.lit(0.0)), "|t| < 2", F.coalesce("t", F.lit(0.0)) <= 2, F.format_string("largest of %d segments", "n")),
+            V.verdict(uneven, "even residual variance", F.coalesce("share", F.lit(0.0)), "<= 0.5", F.coalesce("share", F.lit(0.0)) <= 0.5, F.format_string("share of %d dates that reject it", "n"), "WARN"),
+            V.verdict(early, "no look-ahead", F.col("bad"), "0", F.col("bad") == 0, F.lit("rows that show a report too early")),
             V.verdict(V.chi2_share(V.ljung_box(residuals), "q", 5), "autocorrelation", F.coalesce("share", F.lit(0.0)), "<= 0.5", F.coalesce("share", F.lit(0.0)) <= 0.5, F.format_string("%d symbols", "n"), "WARN"),
             V.verdict(V.dickey_fuller(returns).agg(F.count("*").alias("n"), F.avg(F.col("stationary").cast("double")).alias("share")), "stationary factors", F.coalesce("share", F.lit(0.0)), "all", F.coalesce("share", F.lit(0.0)) >= 1, F.format_string("%d factors", "n"), "WARN"),
             V.verdict(V.industry_sums(exposures, self.s.industries).agg(F.count("*").cast("double").alias("bad")), "industry weights", F.col("bad"), "0", F.col("bad") == 0, F.lit("rows that do not sum to one")),
             V.verdict(V.decile_spread(exposures), "size spread", F.coalesce("t", F.lit(0.0)), "-", F.lit(False), F.lit("largest against smallest"), "INFO"),
-            V.verdict(V.variance_inflation(exposures, self.s.design if not scope else self.s.segment_design).agg(F.max("vif").alias("vif")), "inflation", F.coalesce("vif", F.lit(0.0)), "<= 10", F.coalesce("vif", F.lit(0.0)) <= 10, F.lit("largest mean over dates"), "WARN"),
+            V.verdict(V.variance_inflation(exposures, self.s.design_of(scope)).agg(F.max("vif").alias("vif")), "inflation", F.coalesce("vif", F.lit(0.0)), "<= 10", F.coalesce("vif", F.lit(0.0)) <= 10, F.lit("largest mean over dates"), "WARN"),
             V.verdict(V.coverage(stats).agg(F.sum(F.when(F.col("status") == "fitted", F.col("n_dates")).otherwise(0)).cast("double").alias("fitted")), "coverage", F.col("fitted"), "-", F.lit(False), F.lit("dates fitted"), "INFO"),
         ]
         out = parts[0]
@@ -209,11 +221,27 @@ class Commands:
 
     def validate(self, *scope: str) -> DataFrame:
         out = self.save(self.verdicts(*scope), "validation", *scope)
-        self.save(V.cumulative(self.load("factor_returns", *scope).select("date", "factor", "ret")), "plot_cumulative", *scope)
-        self.save(V.histogram(self.load("residuals_long", *scope), "residual"), "plot_residuals", *scope)
+        self.model_plots(*scope)
         self.write_text(sinks.report("Model checks", out), "validation_report", *scope)
         return out
 
+    def model_plots(self, *scope: str) -> None:
+        """What the plots of a fitted model are drawn from, one table a plot."""
+        returns = self.load("factor_returns", *scope).select("date", "factor", "ret")
+        residuals, exposures = self.load("residuals_long", *scope), self.load("exposures")
+        tables = {
+            "plot_cumulative": V.cumulative(returns),
+            "plot_significance": I.summary(returns).select("factor", "nw_t", (F.abs("nw_t") > 2).alias("significant")),
+            "plot_r2": V.rolling_r2(G.fit_statistics(self.load("fits", *scope))).select("date", "r2", "r2_mean"),
+            "plot_correlation": K.correlations(K.ewma_covariance(returns, halflife=self.s.halflife)),
+            "plot_vif": V.variance_inflation(exposures, self.s.design_of(scope)),
+            "plot_residuals": V.histogram(residuals, "residual"),
+            "plot_daily_alpha": V.daily_alpha(residuals),
+            "plot_deciles": X.decile_means(exposures),
+        }
+        for name, df in tables.items():
+            self.save(df, name, *scope)
+
     def refresh_prices(self) -> DataFrame:
         """Fetched rows (date, symbol, price) replace stored ones of the same date and symbol; later commands read the result.
 
@@ -339,6 +367,8 @@ class Commands:
         rank = V.spearman(self.load("expected_stock_returns", *scope).join(realized, "symbol"), "mu", "m")
         vol = V.realized_volatility(self.load("comparison", *scope), PF.performance(PF.return_series(weights, P.last_dates(held, C.TRADING_DAYS_PER_YEAR))))
         text = lambda c: F.lit(c)
+        betas = P.latest(self.load("exposures"), ["beta"]).select("symbol", "beta")
+        neutral = V.beta_neutrality(weights.where("portfolio = 'Beta-Neutral'"), betas).agg(F.max(F.abs("beta")).alias("beta"))
         parts = [
             V.verdict(V.constraints(weights, self.s.leverage), "constraints", F.col("total"), "1", F.col("verdict") == "PASS", F.col("portfolio")),
             V.verdict(self.spark.range(1).select(F.lit(least).alias("e")), "positive covariance", F.col("e"), ">= -1e-8", F.col("e") >= -1e-8, text("least eigenvalue")),
@@ -347,15 +377,38 @@ class Commands:
             V.verdict(V.concentration_verdict(weights), "concentration", F.col("largest"), "<= 0.1", F.col("verdict") == "PASS", F.col("portfolio"), "WARN"),
             V.verdict(monotone, "monotone frontier", F.coalesce("worst", F.lit(0.0)), ">= 0", F.col("verdict") == "PASS", text("least step of volatility")),
             V.verdict(vol, "realized volatility", F.coalesce("ratio", F.lit(0.0)), "0.5 to 2", F.col("verdict") == "PASS", F.col("portfolio"), "WARN"),
+            V.verdict(neutral, "beta neutrality", F.coalesce("beta", F.lit(0.0)), "1e-6", F.coalesce("beta", F.lit(0.0)) <= 1e-6, F.when(F.col("beta").isNull(), "no such portfolio").otherwise("net beta")),
             V.verdict(rank, "expected and realized", F.coalesce("rho", F.lit(0.0)), "> 0", F.coalesce("rho", F.lit(0.0)) > 0, F.format_string("%d symbols", "n"), "WARN"),
         ]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         out = self.save(out, "portfolio_validation", *scope)
+        self.portfolio_plots(base, realized)
         self.write_text(sinks.report("Portfolio checks", out, {"Comparison": self.load("comparison", *scope)}), "portfolio_report", *scope)
         return out
 
+    def portfolio_plots(self, base: str, realized: DataFrame) -> None:
+        """What the plots of portfolios are drawn from, one table a plot."""
+        scope = self.scope(base)
+        weights, tilts = self.load("weights", *scope), self.load("factor_exposure", *scope)
+        sectors = K.long_exposures(P.latest(self.load("exposures"), self.s.industries), self.s.industries)
+        equal = tilts.where("portfolio = 'Equal-Weight'").select("factor", F.col("exposure").alias("equal"))
+        held = P.last_dates(self.load("exposures").select("date", "symbol", "ret"), C.TRADING_DAYS_PER_YEAR)
+        compared = self.load("comparison", *scope)
+        tables = {
+            "plot_frontier": self.load("frontier", *scope).select("point", "volatility", "expected_return", "converged").distinct(),
+            "plot_weights": PF.top_holdings(weights, 20),
+            "plot_tilts": tilts.join(equal, "factor", "left").withColumn("tilt", F.col("exposure") - F.col("equal")),
+            "plot_sectors": PF.sector_weights(weights, sectors),
+            "plot_metrics": compared.select("portfolio", "ann_return", "ann_vol", "sharpe", "effective_n"),
+            "plot_risk": compared.select("portfolio", "factor_pct", "specific_pct"),
+            "plot_static": PF.drawdowns(PF.return_series(weights, held)),
+            "plot_expected": self.load("expected_stock_returns", *scope).join(realized, "symbol"),
+        }
+        for name, df in tables.items():
+            self.save(df, name, *scope)
+
     def validate_portfolio_segments(self) -> DataFrame:
         return self.validate_portfolio("portfolio_segments")
 
@@ -398,6 +451,8 @@ class Commands:
         metrics = self.save(PF.performance(series, turnover=turns), "metrics", *scope)
         relative = self.save(PF.benchmark_relative(series, bench), "relative", *scope)
         self.save(PF.drawdowns(series), "plot_drawdowns", *scope)
+        self.save(series.join(bench, "date"), "plot_benchmark", *scope)
+        self.save(turns, "plot_turnover", *scope)
         checks = V.constraints(weights.withColumn("portfolio", F.concat_ws(" ", "portfolio", F.col("as_of").cast("string"))), s.leverage).groupBy("verdict").agg(F.count("*").alias("n"))
         self.write_text(sinks.report("Backtest", checks, {"Performance": metrics, "Against the benchmark": relative}), "backtest_report", *scope)
         return metrics

@@ -58,7 +58,7 @@ def test_model(market):
     x = market.load("exposures")
     assert x.count() == N * DAYS and set(market.s.design) <= set(x.columns)
     verdicts = {r["name"]: r["verdict"] for r in market.load("validation").collect()}
-    assert verdicts["industry weights"] == "PASS" and len(verdicts) == 10
+    assert verdicts["industry weights"] == "PASS" and verdicts["no look-ahead"] == "PASS" and len(verdicts) == 13
     assert market.load("factor_covariance").count() == len(market.s.design) ** 2
     assert market.load("specific_risk").count() == N
     assert "Model checks" in "\n".join(r[0] for r in market.spark.read.text(market.paths.at("validation_report")).collect())

@@ -10,7 +10,7 @@ from quantloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-CHOSEN = ["winsor_zscore", "panel_returns_pad", "period_slices", "upsert_refresh", "rolling_beta", "holiday_ffill", "pit_asof", "value_composite", "size_decile", "exposure_panel", "wls_groups_fitted", "newey_west_summary", "macro_regression", "joint_cov", "stock_covariance", "risk_decomposition", "gmv_diagonal", "backtest_turnover", "macd", "macro_tilt", "ljung_box", "look_ahead_check", "name_normalize", "event_sessions"]
+CHOSEN = ["winsor_zscore", "panel_returns_pad", "period_slices", "upsert_refresh", "rolling_beta", "holiday_ffill", "pit_asof", "value_composite", "size_decile", "exposure_panel", "wls_groups_fitted", "newey_west_summary", "macro_regression", "joint_cov", "stock_covariance", "risk_decomposition", "gmv_diagonal", "backtest_turnover", "macd", "macro_tilt", "ljung_box", "look_ahead_check", "name_normalize", "event_sessions", "wls_full", "residuals", "breusch_pagan", "beta_neutral", "max_return_capped", "walk_forward_specific", "walk_forward_expected", "walk_forward_diagonal", "joint_specific_risk", "universe_mapping", "pivot_wide"]
 
 
 @pytest.fixture(scope="module")
