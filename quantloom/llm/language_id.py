@@ -182,7 +182,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language cannot be told (``und``) go."""
+    """Pipeline stage: documents whose language cannot be told (``und``: null, empty or without a letter) go.
+
+    It learns from the rows that have a language; repeated rows are judged each; an empty table stays empty.
+    """
     found = predict(docs, train(docs), keep=tuple(docs.columns))
     # the operator's own columns come last, so they are addressed by place even where a document column has their name
     return found.toDF(*[f"c{k}" for k in range(len(docs.columns))], "_pred", "_score").where(F.col("_pred") != UND).drop("_pred", "_score").toDF(*docs.columns)

@@ -1,13 +1,14 @@
 """Best-fit packing of tokenized documents into sequences of a fixed length.
 
 The tasks tokenize their documents and cut only those longer than a sequence, the first piece being the shorter one.
-Packing is bulk-synchronous best fit. Pieces are ranked by (length, id) over the whole cluster: salted local ranks
-plus the sizes of the runs before them. Sorted pieces and sorted gaps are runs of equal numbers, at most one run for
+Packing is bulk-synchronous best fit. Pieces are ranked within their length over the whole cluster: a length of many
+pieces is split by a hash into shares of about ``SHARE`` rows, which are sorted side by side, and a rank is that in the
+share plus the sizes of the shares before it. Sorted pieces and sorted gaps are runs of equal numbers, at most one run for
 each length, so the successor sweep of a round (which run of gaps is the least that holds this run of pieces) works
 on at most ``SEQUENCE`` runs whatever the number of documents; within a run, conflicts are resolved by rank: the k-th
 piece takes the k-th gap. The gaps shrink, and the sweeps go on until all is placed; when no gap holds a piece, new
-sequences are opened. The result of the sweeps is a short list of intervals of ranks, which is broadcast, and every
-piece looks up its sequence and its place there.
+sequences are opened. As runs are so few, the driver does the sweeps; no piece is collected. Their result is a short
+list of intervals of ranks, which is broadcast, and every piece looks up its sequence and its place there.
 
 The ids are those of the byte-level BPE in the ``tokenizers`` file; its merges are run by ``tiktoken`` on the same
 vocabulary and pattern (equal ids, several times faster), except for very long texts and texts that hold a special
@@ -30,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import documents, small_batches, store
+from quantloom.llm.common import bounded, documents, small_batches, store
 
 SEQUENCE = 2_048
 END_ID = 0
-SALTS = 64
+SHARE = 250_000
 #: Characters from which a text goes through ``tokenizers``.
 LONG = 1_000_000
 
@@ -140,13 +141,17 @@ def sweep(runs: dict[int, int], size: int = SEQUENCE) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def ranked(cut_: DataFrame) -> DataFrame:
-    """Add ``rank``, from 0 among all pieces of a length: a local rank in each of SALTS runs plus the runs before."""
-    salted = cut_.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+def ranked(cut_: DataFrame, runs: dict[int, int]) -> DataFrame:
+    """Add ``rank``, from 0 among all pieces of a length: the rank in the piece's share plus the shares before.
+
+    ``runs`` has the number of pieces of each length.
+    """
+    shares = cut_.sparkSession.createDataFrame([(int(x), -(-n // SHARE)) for x, n in runs.items()], "length long, shares long")
+    salted = cut_.join(F.broadcast(shares), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("shares"))).drop("shares")
     local = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # at most SEQUENCE * SALTS rows
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))  # a row for each SHARE pieces, and one a length
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("base"))
-    return local.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "own", "base")
+    return local.join(bounded(before), ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own")).drop("salt", "own", "base")
 
 
 def pack(df: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, end: int = END_ID) -> DataFrame:
@@ -166,7 +171,7 @@ def pack(df: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, end
             yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(sequence), pa.array(plan[at, 4])], [*names, "sequence_id", "offset"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return ranked(cut_).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked(cut_, runs).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,5 +179,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every remaining document is packed."""
+    """Pipeline stage: every remaining document is packed, a null text as its end id alone; repeated rows each."""
     return pack(docs)

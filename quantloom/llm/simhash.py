@@ -189,7 +189,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the row with the smallest (doc_id, row number) stays.
 
-    Rows without a doc_id stay too.
+    Rows without a doc_id stay too; null and empty texts are copies of each other; an empty table stays empty.
     """
     docs = numbered(docs)
     key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", ROW))

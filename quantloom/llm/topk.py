@@ -15,7 +15,7 @@ Queries are packed in chunks, and each chunk meets each block once, so memory is
 
 Cases: vectors that are null or have a null or non-finite component, and rows without an id, take no part; vectors of
 different lengths never meet (their inner product is undefined); rows that repeat an id are rows of their own, and a
-query leaves out only its own row; equal scores go to the smaller id; a score beyond 64 bits is ranked exactly and
+query leaves out only its own row; ids are integers; equal scores go to the smaller id; a score beyond 64 bits is ranked exactly and
 returned as the nearest long; an empty table gives no rows; further columns are ignored.
 """
 
