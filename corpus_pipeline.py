@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; each result is written to the shared folder and
 read again as the next stage's documents. All but the last return the columns of ``documents``.
+
+Cases: null and empty texts, and those without a letter, go in the first stage; of repeated rows one stays (rows without
+a doc_id all stay); contaminated rows go; personal data is replaced in place; further columns pass through, whatever
+their names; an empty table gives no rows. The stages' docstrings say more.
 """
 
 from __future__ import annotations
