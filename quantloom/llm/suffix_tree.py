@@ -16,7 +16,7 @@ to parts by a hash of the context; a part sums over all chunks and tells each ch
 the chunk knows its candidates of the next length. So counts are aggregated before they are shuffled, and what is
 shuffled are distinct pairs of chunks, not occurrences. A context that more than a share ``HOT`` of all tokens follows is
 dealt to as many parts as its share of them, by its next symbols. The words of the shortest contexts travel as they are;
-longer contexts are named by 64-bit hashes, and next symbols within a context by 40 bits of a hash.
+longer contexts are named by 48 bits of a hash beside their part, and next symbols within a context by 40 bits.
 
 Cases: a null text is empty: just the end; with nothing to train on every symbol is the unknown one and both scores are
 0; words only in held-out texts have count 0; repeated rows count as often as they occur; an unbroken run of any length
@@ -41,7 +41,7 @@ from quantloom.llm.common import crc_mod, documents, part_count, small_batches,
 DEPTH = 2
 LEAST_COUNT = 4
 DIVERGENCE = 2.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 14 << 20
 #: Share of all tokens from which a context is dealt to several parts.
 HOT = 1 / 2_000
 #: The start of a text, among the words of a part: no word holds white space.
@@ -71,6 +71,17 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def narrow(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each number."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widened(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
 def blanked(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -186,16 +197,15 @@ class Level:
         runs = np.bincount(self.entry, minlength=len(self.part)).astype(np.uint64)
         at = np.concatenate(([0], np.cumsum(runs))).astype(np.int64)
         n = self.n[self.order].astype(np.uint64)
-        five = self.key40.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums")}
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             a, b = at[i], at[j]
             out["part"].append(int(self.part[i]))
             out["keys"].append(keys(i, j))
             out["runs"].append(pack(runs[i:j]))
-            out["next"].append(five[a:b].tobytes())
+            out["next"].append(narrow(self.key40[a:b], 5))
             out["n"].append(pack(n[a:b]))
-            out["sums"].append(None if sums is None else sums[i:j].tobytes())
+            out["sums"].append(None if sums is None else sums[i:j].astype(np.float32).tobytes())
         kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary()}
         return pa.table({"chunk": pa.array([chunk] * len(out["part"]), pa.int64()), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
@@ -203,6 +213,8 @@ class Level:
         """From a part's answers: of each context how many tokens follow it, how many kinds, and its sum; n of each pair."""
         answers = sorted(answers, key=lambda r: r["part"])
         joined = [np.concatenate([np.zeros(0), *(unpack(r[c]).astype(float) for r in answers)]) for c in ("total", "kinds", "gain", "n")]
+        if not len(joined[2]):  # of the shortest contexts parts know no sums
+            joined[2] = np.zeros(len(self.owner))
         size = int(self.owner.max(initial=-1)) + 1
         total, kinds, gain = (np.bincount(self.owner, weights=x, minlength=size) for x in joined[:3])
         n = np.empty(len(self.order))
@@ -223,15 +235,12 @@ def summed(level: int, rows: pa.Table) -> pa.Table:
     if level == 1:
         gid = np.concatenate([np.fromiter((words.setdefault(w, len(words)) for w in r["keys"].split(b"\n")), np.int64) for r in told])
     else:
-        gid = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in told]), return_inverse=True)[1]
+        gid = np.unique(np.concatenate([widened(r["keys"], 6) for r in told]), return_inverse=True)[1]
     size = int(gid.max(initial=-1)) + 1
     runs_ = np.concatenate(runs)
     cut_p = np.concatenate(([0], np.cumsum(runs_)))[cut_e]
     of = np.repeat(gid, runs_)
-    raw = np.frombuffer(b"".join(r["next"] for r in told), np.uint8).reshape(-1, 5)
-    nxt = np.zeros((len(raw), 8), np.uint8)
-    nxt[:, :5] = raw
-    nxt = nxt.view("<u8").ravel()
+    nxt = widened(b"".join(r["next"] for r in told), 5)
     n = np.concatenate([np.zeros(0, np.int64), *(unpack(r["n"]).astype(np.int64) for r in told)])
     order = np.lexsort((nxt, of))
     new = np.ones(len(order), bool)
@@ -245,14 +254,14 @@ def summed(level: int, rows: pa.Table) -> pa.Table:
     kinds = np.bincount(context, weights=each > 0, minlength=size)
     gain = np.bincount(context, weights=each * np.log(np.maximum(each, 1)), minlength=size)
     if level > 1:
-        gain = gain - np.bincount(gid, weights=np.concatenate([np.frombuffer(r["sums"], np.float64) for r in told]), minlength=size)
+        gain = gain - np.bincount(gid, weights=np.concatenate([np.frombuffer(r["sums"], np.float32) for r in told]), minlength=size)
     plain = sum(total[k] > 0 for w, k in words.items() if not w.startswith(START) and b" " not in w)
     out = []
     for k, r in enumerate(told):
         e, p = slice(cut_e[k], cut_e[k + 1]), slice(cut_p[k], cut_p[k + 1])
         some = gid[e]
         found = [pack(x.astype(np.uint64)) for x in (total[some], kinds[some])]
-        out.append((r["chunk"], level, r["part"], *found, pack(gain[some]), pack(each[back[p]].astype(np.uint64)), int(plain) if not k else 0, int(total.sum()) if not k else 0))
+        out.append((r["chunk"], level, r["part"], *found, pack(gain[some] if level > 1 else gain[:0].astype(float)), pack(each[back[p]].astype(np.uint64)), int(plain) if not k else 0, int(total.sum()) if not k else 0))
     types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
     names = ["of", "level", "part", "total", "kinds", "gain", "n", "words", "tokens"]
     return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(names, types, strict=True))})
@@ -374,7 +383,7 @@ class Chunk:
 
     def rows(self) -> pa.Table:
         x = self.level
-        return x.rows(self.row["chunk"], lambda i, j: x.names[i:j].tobytes(), self.sums)
+        return x.rows(self.row["chunk"], lambda i, j: narrow(x.names[i:j], 6), self.sums)
 
 
 def settle(scores: np.ndarray, keep: np.ndarray, tokens: np.ndarray, context: np.ndarray, chain: np.ndarray) -> None:
