@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Shuffle files of what is executed within are deleted as it ends: once a table is stored nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def store(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quantloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))  # with the application, not before: results are lazy
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -52,7 +66,8 @@ def store_bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
     name = f"quantloom_{tag.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    with cleaned(spark):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
     _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
     return spark.table(name)
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,3 +33,20 @@ def test_broadcasts_are_bounded_in_bytes(spark):
     assert 100 * 1000 < common.memory_bytes(df) < 100 * 1400
     assert common.small(df, 200_000) and not common.small(df, 100_000)
     assert common.memory_bytes(df.limit(0)) == 0
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    files = lambda: {f for d in glob.glob("/tmp/blockmgr-*") for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    had = files()
+    out = common.store(spark.range(1000).repartition(3, "id"), "t")
+    assert out.count() == 1000 and spark.conf.get(key) == before
+    for _ in range(50):
+        if not files() - had:
+            break
+        time.sleep(0.1)
+    # counting shuffles too, and its files stay until Spark's cleaner finds them; those of the stored table are gone
+    assert len(files() - had) <= 4
