@@ -6,19 +6,18 @@ equals, which depends on nothing but the string, so that equal strings have equa
 segments, the runs of strings that share an anchor (at most WIDTH + WIDTH - ANCHOR bytes), and a repeat can only be
 found among segments of equal anchor. This is the sharding of the suffix sort:
 
-1. A task hashes its texts and lists the segments: hash of the anchor, digest of the whole segment, place. Segments of
-   a task that are equal byte by byte are reduced to the first, and the strings of the later ones are marked at once, so
-   a group of copies costs one row for each task, whatever its size.
-2. The lists are shuffled by anchor. Again the first of equal segments, by their 128-bit BLAKE2b digests, stands for
-   all. An anchor with one kind of segment has nothing left to compare; the others' segments are fetched from the texts.
+1. A task hashes its texts and lists the segments: hash of the anchor, and place. Segments of a task that are equal byte
+   by byte are reduced to the first, and the strings of the later ones are marked at once, so a group of copies costs one
+   row for each task, whatever its size.
+2. The lists are shuffled by anchor. A segment whose anchor no other has cannot repeat; the others are fetched from the
+   texts.
 3. Each goes to up to two shards, by the hash of the anchor with the bytes up to 34 before or after it: one of the two
    is part of every string around the anchor. So a common phrase does not gather in one shard unless its
    surroundings are as common. A shard builds the suffix array of its segments by induced sorting, computes permuted
    common prefixes, and in each group of suffixes that share WIDTH bytes marks all but the earliest.
 4. Marks of a document are merged, and its remaining bytes are hashed.
 
-So suffix arrays decide wherever segments overlap in part; whole copies of a segment are decided by comparison within a
-task and by a cryptographic digest between tasks, since to fetch all copies too would move most of a repeated text.
+So hashes only choose what is compared: bytes decide within a task, and suffix arrays between tasks.
 
 Cases: a null text is empty; texts shorter than WIDTH bytes stay whole; strings never cross documents; rows that
 repeat an id, and rows without one (last), are documents of their own, in the order of their texts; an empty table
@@ -116,18 +115,17 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield anchor[p], whole, row, lo + a - offsets[row], hi - lo + 1, p - lo
 
 
-def firsts(f: np.ndarray, h: np.ndarray, key: np.ndarray, lo: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (f, h, g, key, lo), and which of that order begin a new (f, h, g)."""
-    g = np.zeros(len(f), np.uint8) if g is None else g
+def firsts(f: np.ndarray, h: np.ndarray, key: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (f, h, key, lo), and which of that order begin a new (f, h)."""
     order = np.argsort(f, kind="stable")
     same = f[order][1:] == f[order][:-1]
     # only runs of equal anchors need the finer order
     run = np.concatenate((same, [False])) | np.concatenate(([False], same))
     at = np.flatnonzero(run)
     part = order[at]
-    order[at] = part[np.lexsort((lo[part], key[part], g[part], h[part], f[part]))]
+    order[at] = part[np.lexsort((lo[part], key[part], h[part], f[part]))]
     new = np.ones(len(order), bool)
-    new[1:] = (f[order][1:] != f[order][:-1]) | (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+    new[1:] = (f[order][1:] != f[order][:-1]) | (h[order][1:] != h[order][:-1])
     return order, new
 
 
@@ -143,14 +141,6 @@ def equal_segments(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndar
     return out
 
 
-def digests(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit digests of the segments of ``size`` strings that begin at ``at``, in two halves."""
-    raw = data.tobytes()
-    found = b"".join(hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at.tolist(), (at + size + WIDTH - 1).tolist(), strict=True))
-    both = np.frombuffer(found, np.uint64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
 def joined_runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks [lo, hi] of keys, sorted, with neighbours and overlaps made one."""
     order = np.lexsort((lo, key))
@@ -167,12 +157,12 @@ def joined_runs(key: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return key[at], lo[at], reach[np.concatenate((at[1:], [len(key)])) - 1]
 
 
-_LIST = "part int, n int, f binary, h binary, g binary, key binary, lo binary, size binary, place binary"
-_FIELDS = {"f": np.uint64, "h": np.uint64, "g": np.uint64, "key": np.int64, "lo": np.int64, "size": np.uint8, "place": np.uint8}
+_LIST = "part int, n int, f binary, key binary, lo binary, size binary, place binary"
+_FIELDS = {"f": np.uint64, "key": np.int64, "lo": np.int64, "size": np.uint8, "place": np.uint8}
 
 
 def segment_lists(df: DataFrame, parts: int) -> DataFrame:
-    """Packed lists of first segments by part, and of marks (h empty), from texts (key, text)."""
+    """Packed lists of first segments by part, and of marks (size empty), from texts (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -183,14 +173,14 @@ def segment_lists(df: DataFrame, parts: int) -> DataFrame:
             order = np.lexsort((columns["lo"], columns["key"], part))
             part = part[order]
             cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
-            packed: list[list] = [[] for _ in range(9)]
+            packed: list[list] = [[] for _ in range(7)]
             columns = {k: v[order] for k, v in columns.items()}
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 packed[0].append(int(part[i]))
                 packed[1].append(j - i)
                 for k, (name, kind) in enumerate(_FIELDS.items()):
                     packed[k + 2].append(columns[name][i:j].astype(kind).tobytes() if name in columns else b"")
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(packed, kinds, strict=True)], ["part", "n", *_FIELDS])
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -210,8 +200,7 @@ def segment_lists(df: DataFrame, parts: int) -> DataFrame:
                 s = slice(i, i + (1 << 16))
                 yield rows((k[s] % parts).astype(np.int32), {"key": k[s], "lo": a[s], "f": b[s]})
             kept = order[new]
-            h, g = digests(data, at[kept], n[kept])
-            yield rows((f[kept] % np.uint64(parts)).astype(np.int32), {"f": f[kept], "h": h, "g": g, "key": key[kept], "lo": lo[kept], "size": n[kept], "place": place[kept]})
+            yield rows((f[kept] % np.uint64(parts)).astype(np.int32), {"f": f[kept], "key": key[kept], "lo": lo[kept], "size": n[kept], "place": place[kept]})
 
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
@@ -234,23 +223,20 @@ def sift(lists: pa.Table) -> pa.Table:
     got: dict[str, list] = {k: [] for k in _FIELDS}
     marks: list[tuple[np.ndarray, ...]] = []
     for r in lists.to_pylist():
-        if r["h"]:
+        if r["size"]:
             for k, kind in _FIELDS.items():
                 got[k].append(np.frombuffer(r[k], kind))
         else:
             marks.append((np.frombuffer(r["key"], np.int64), np.frombuffer(r["lo"], np.int64), np.frombuffer(r["f"], np.uint64).astype(np.int64)))
-    f, h, g, key, lo, size, place = (np.concatenate([np.zeros(0, kind), *got[k]]) for k, kind in _FIELDS.items())
+    f, key, lo, size, place = (np.concatenate([np.zeros(0, kind), *got[k]]) for k, kind in _FIELDS.items())
     size, place = size.astype(np.int64), place.astype(np.int64)
-    order, new = firsts(f, h, key, lo, g)
-    later = order[~new]
-    marks.append((key[later], lo[later], lo[later] + size[later] - 1))
-    kept = order[new]
+    kept = np.argsort(f, kind="stable")
     several = np.zeros(len(kept), bool)
     same = f[kept][1:] == f[kept][:-1]
     several[1:] |= same
     several[:-1] |= same
     v = kept[several]
-    k, a, b = joined_runs(*(np.concatenate(x) for x in zip(*marks, strict=True)))
+    k, a, b = joined_runs(*(np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*marks, strict=True) if marks else [(), (), ()])))
     n = len(k)
     return pa.table({"key": np.concatenate((k, key[v])), "lo": np.concatenate((a, lo[v])), "hi": np.concatenate((b, lo[v] + size[v] - 1)), "place": np.concatenate((np.full(n, -1, np.int32), place[v].astype(np.int32))), "f": np.concatenate((np.zeros(n, np.int64), f[v].view(np.int64)))})
 

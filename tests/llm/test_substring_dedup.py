@@ -62,8 +62,18 @@ def test_bytes_decide_what_hashes_propose():
     assert sd.equal_segments(data, a, b, size, sizes).tolist() == [False, False, False, True]
     data[599] ^= 1
     assert sd.equal_segments(data, a, b, size, sizes).tolist() == [True, True, False, True]
-    h, g = sd.digests(data, np.array([0, 500, 1]), np.array([3, 3, 3]))
-    assert (h[0], g[0]) == (h[1], g[1]) != (h[2], g[2])
+
+
+def test_copies_in_different_tasks_are_left_to_the_suffix_arrays(make, monkeypatch):
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abcdefgh "), 3000))
+    rows = [(i, text) for i in range(12)]
+    want = brute(rows)
+    assert got(sd.dedup(make(rows, 4))) == want
+    blind = lambda parts: pa.table({"key": pa.array([], pa.int64()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
+    monkeypatch.setattr(sd, "repeats", blind)
+    left = sum(r[2] == 0 for r in got(sd.dedup(make(rows, 4))))
+    assert left > 1  # without them one copy of each task would stay
 
 
 def test_segments_depend_on_content_only():
