@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import bounded, documents, part_count, small_batches, store, text_bytes
+from quantloom.llm.common import documents, part_count, small_batches, store, text_bytes
 from quantloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -321,7 +321,7 @@ def dedup(df: DataFrame) -> DataFrame:
     wanted = sifted.where("place >= 0").groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "place")).alias("wanted"))
     wanted = store(wanted, "wanted")
     size = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) * LONGEST
-    fetch = docs.select("key", "text").join(bounded(wanted), "key")
+    fetch = docs.select("key", "text").join(wanted, "key")  # both lists grow with the texts, so they are never broadcast
     found = fetched(fetch).groupBy(F.pmod("shard", F.lit(max(parts, size // SHARD_BYTES))).alias("group")).applyInArrow(repeats, "key long, lo long, hi long")
     marks = sifted.where("place < 0").select("key", "lo", "hi").unionByName(found)
     spans = store(marks.groupBy(F.pmod("key", F.lit(parts)).alias("group")).applyInArrow(by_document, "key long, spans binary"), "spans")
@@ -344,7 +344,7 @@ def dedup(df: DataFrame) -> DataFrame:
                 digest.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    met = docs.join(bounded(spans), "key", "left").select("doc_id", "text", "spans")
+    met = docs.join(spans, "key", "left").select("doc_id", "text", "spans")
     return small_batches(met).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
