@@ -14,7 +14,8 @@ found among segments of equal anchor. This is the sharding of the suffix sort:
 3. Each goes to up to two shards, by the hash of the anchor with the bytes up to 34 before or after it: one of the two
    is part of every string around the anchor. So a common phrase does not gather in one shard unless its
    surroundings are as common. A shard builds the suffix array of its segments by induced sorting, computes permuted
-   common prefixes, and in each group of suffixes that share WIDTH bytes marks all but the earliest.
+   common prefixes, and in each group of suffixes that share WIDTH bytes marks all but the earliest. Parts of the same
+   bytes enter it once.
 4. Marks of a document are merged, and its remaining bytes are hashed.
 
 So hashes only choose what is compared: bytes decide within a task, and suffix arrays between tasks.
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -271,8 +273,17 @@ def fetched(texts: DataFrame) -> DataFrame:
 def repeats(parts: pa.Table) -> pa.Table:
     """Marks of the strings of a shard's parts that start earlier in another, or earlier in the same."""
     shard, key, lo = (parts[c].to_numpy() for c in ("shard", "key", "lo"))
-    _, code, count = np.unique(shard, return_inverse=True, return_counts=True)
-    use = np.flatnonzero(count[code] > 1)
+    # parts of the same bytes need no sorting: the strings of all but the earliest are marked as they are
+    same = pc.dictionary_encode(parts["bytes"].combine_chunks()).indices.to_numpy()
+    size = pc.binary_length(parts["bytes"]).to_numpy().astype(np.int64)
+    order = np.lexsort((lo, key, same, shard))
+    again = np.zeros(len(order), bool)
+    again[1:] = (same[order][1:] == same[order][:-1]) & (shard[order][1:] == shard[order][:-1])
+    copies = order[again]
+    copied = key[copies], lo[copies], lo[copies] + size[copies] - WIDTH
+    first = order[~again]
+    _, code, count = np.unique(shard[first], return_inverse=True, return_counts=True)
+    use = np.sort(first[count[code] > 1])
     key, lo = key[use], lo[use]
     data, offsets = text_bytes(parts["bytes"].take(pa.array(use)))
     order = suffix_array(data, WIDTH)
@@ -289,7 +300,8 @@ def repeats(parts: pa.Table) -> pa.Table:
     g = group[ranked]
     later = ranked[np.concatenate(([False], g[1:] == g[:-1]))] if len(g) else ranked
     # an equal place comes from the two parts of one segment, which share no string, so all but the first are later
-    k, a, b = joined_runs(where_key[later], where_lo[later], where_lo[later])
+    marks = where_key[later], where_lo[later], where_lo[later]
+    k, a, b = joined_runs(*(np.concatenate(x) for x in zip(copied, marks, strict=True)))
     return pa.table({"key": k, "lo": a, "hi": b})
 
 
