@@ -14,7 +14,8 @@ Nothing of the tree is broadcast or collected. A task writes its texts as chunks
 For each length of context in turn a chunk lists its distinct (context, next symbol) with their training counts, dealt
 to parts by a hash of the context; a part sums over all chunks and tells each chunk the sums of what it listed; with them
 the chunk knows its candidates of the next length. So counts are aggregated before they are shuffled, and what is
-shuffled are distinct pairs of chunks, not occurrences. A context that more than a share ``HOT`` of all tokens follows is
+shuffled are distinct pairs of chunks, not occurrences. Contexts of two symbols or more are listed in ``TURNS``, each for
+some of the parts, and the parts tell whether a context is retained instead of sending its sums. A context that more than a share ``HOT`` of all tokens follows is
 dealt to as many parts as its share of them, by its next symbols. The words of the shortest contexts travel as they are;
 longer contexts are named by 48 bits of a hash beside their part, and next symbols within a context by 40 bits.
 
@@ -44,6 +45,8 @@ DIVERGENCE = 2.0
 CHUNK_BYTES = 8 << 20
 #: Share of all tokens from which a context is dealt to several parts.
 HOT = 1 / 2_000
+#: In how many turns the parts are told of longer contexts: the shuffle files of one turn are gone before the next.
+TURNS = 2
 #: The start of a text, among the words of a part: no word holds white space.
 START = b"\t"
 
@@ -57,6 +60,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def ordering(key: np.ndarray) -> np.ndarray:
+    """Places that sort numbers of 0 or more; equal ones keep their order where key and place fit 63 bits together."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()) >> (63 - bits):
+        return np.argsort(key)
+    return np.sort(key.astype(np.int64) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers of 0 or more in order, of each a place where it stands, and of every place its number's rank."""
+    order = ordering(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inv = np.empty(len(key), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inv
+
+
 def pack(values: np.ndarray) -> bytes:
     """Numbers of one type, byte by byte of their places, compressed."""
     least = np.min_scalar_type(values.max(initial=0)) if values.dtype.kind == "u" else values.dtype
@@ -172,62 +194,83 @@ class Level:
     entry: np.ndarray  # of each pair in that order: its entry
     key40: np.ndarray  # of each pair in that order: the next symbol
     names: np.ndarray  # of each entry
+    split: np.ndarray  # of each entry: whether other parts have a share of its context
 
     @classmethod
     def of(cls, context: np.ndarray, symbol: np.ndarray, symbols: int, train: np.ndarray, names: np.ndarray, salts: np.ndarray, hashes: np.ndarray, parts: int) -> Level:
-        key, first, inv = np.unique(context.astype(np.int64) * symbols + symbol, return_index=True, return_inverse=True)
+        key, first, inv = distinct(context.astype(np.int64) * symbols + symbol)
         of, nxt = key // symbols, key % symbols
         begin = np.cumsum(salts) - salts
         owner = np.repeat(np.arange(len(salts)), salts)
         salt = np.arange(len(owner)) - begin[owner]
         named = mixed(names[owner] + salt.astype(np.uint64) * _ODD)
         part = (named % np.uint64(parts)).astype(np.int64)
-        dealt = np.argsort(part, kind="stable")
+        dealt = ordering(part)
         rank = np.empty(len(dealt), np.int64)
         rank[dealt] = np.arange(len(dealt))
         short = hashes[nxt] & _LOW40
         entry = rank[begin[of] + (short % salts[of].astype(np.uint64)).astype(np.int64)]
-        order = np.lexsort((short, entry))
+        order = ordering(entry)
         n = np.bincount(inv, weights=train, minlength=len(key))
-        return cls(inv, first, of, n, owner[dealt], salt[dealt], part[dealt], order, entry[order], short[order], named[dealt])
+        return cls(inv, first, of, n, owner[dealt], salt[dealt], part[dealt], order, entry[order], short[order], named[dealt], salts[owner[dealt]] > 1)
 
-    def rows(self, chunk: int, keys, sums: np.ndarray | None = None) -> pa.Table:
-        """One row for each part; ``keys(i, j)`` packs the names of entries i to j."""
+    def rows(self, chunk: int, keys, sums: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> pa.Table:
+        """One row for each part of this turn; ``keys(i, j)`` packs the names of entries i to j."""
         cuts = np.flatnonzero(np.concatenate(([True], self.part[1:] != self.part[:-1], [True]))) if len(self.part) else np.zeros(1, np.int64)
         runs = np.bincount(self.entry, minlength=len(self.part)).astype(np.uint64)
         at = np.concatenate(([0], np.cumsum(runs))).astype(np.int64)
         n = self.n[self.order].astype(np.uint64)
-        out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums")}
+        out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums", "split")}
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if self.part[i] % turns != turn:
+                continue
             a, b = at[i], at[j]
             out["part"].append(int(self.part[i]))
             out["keys"].append(keys(i, j))
             out["runs"].append(pack(runs[i:j]))
             out["next"].append(narrow(self.key40[a:b], 5))
             out["n"].append(pack(n[a:b]))
-            out["sums"].append(None if sums is None else sums[i:j].astype(np.float32).tobytes())
-        kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary()}
+            out["sums"].append(None if sums is None else pack(sums[i:j].astype(np.float32)))
+            out["split"].append(None if sums is None else pack(np.packbits(self.split[i:j])))
+        kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary(), "split": pa.binary()}
         return pa.table({"chunk": pa.array([chunk] * len(out["part"]), pa.int64()), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
-    def heard(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """From a part's answers: of each context how many tokens follow it, how many kinds, and its sum; n of each pair."""
+    def heard(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From parts' answers: of each context how many tokens follow it (of the shortest), how many kinds, its sum (where
+        no part alone knows whether it is retained), and else whether it is; n of each pair."""
         answers = sorted(answers, key=lambda r: r["part"])
-        joined = [np.concatenate([np.zeros(0), *(unpack(r[c]).astype(float) for r in answers)]) for c in ("total", "kinds", "gain", "n")]
-        if not len(joined[2]):  # of the shortest contexts parts know no sums
-            joined[2] = np.zeros(len(self.owner))
-        size = int(self.owner.max(initial=-1)) + 1
-        total, kinds, gain = (np.bincount(self.owner, weights=x, minlength=size) for x in joined[:3])
-        n = np.empty(len(self.order))
-        n[self.order] = joined[3]
-        return total, kinds, gain, n
+        contexts, size = int(self.owner.max(initial=-1)) + 1, np.bincount(self.part)
+        total, kinds, gain, n = (np.concatenate([np.zeros(0), *(unpack(r[c]).astype(float) for r in answers)]) for c in ("total", "kinds", "gain", "n"))
+        kept = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(unpack(r["kept"]), count=int(size[r["part"]])) for r in answers if r["kept"])])
+        unsure = np.flatnonzero(self.unsure) if len(kept) else np.zeros(0, np.int64)
+        kept[unsure] = 0
+        of = [self.owner[: len(total)], self.owner, self.owner[unsure], self.owner[: len(kept)]]
+        total, kinds, gain, kept = (np.bincount(o, weights=x, minlength=contexts) for o, x in zip(of, (total, kinds, gain, kept), strict=True))
+        each = np.empty(len(self.order))
+        each[self.order] = n
+        return total, kinds, gain, kept > 0, each
+
+    @property
+    def unsure(self) -> np.ndarray:
+        """Of each entry: whether its part cannot tell if the context is retained, as it has a share of it or just a sum."""
+        return self.split | (np.bincount(self.entry, minlength=len(self.part)) == 0)
+
+
+_SENT = "chunk long, part long, keys binary, runs binary, next binary, n binary, sums binary, split binary"
+_HEARD = "of long, level int, part long, kept binary, total binary, kinds binary, gain binary, n binary, words long, tokens long"
 
 
-_SENT = "chunk long, part long, keys binary, runs binary, next binary, n binary, sums binary"
-_HEARD = "of long, level int, part long, total binary, kinds binary, gain binary, n binary, words long, tokens long"
+def retained(total: np.ndarray, kinds: np.ndarray, gain: np.ndarray, divergence: float) -> np.ndarray:
+    """Whether contexts of two symbols or more are, by how many tokens follow them, how many kinds, and their sums."""
+    return (kinds > 0) & (gain - total * np.log(np.maximum(total, 1)) >= divergence * kinds)
 
 
-def summed(level: int, rows: pa.Table) -> pa.Table:
-    """Of one part: for every row the sums over all rows of what it lists."""
+def summed(level: int, rows: pa.Table, divergence: float = DIVERGENCE) -> pa.Table:
+    """Of one part: for every row the sums over all rows of what it lists.
+
+    Of longer contexts the chunk knows how many tokens follow, so the part tells whether they are retained, and sends sums
+    only of those that it cannot tell this of.
+    """
     told = rows.to_pylist()
     runs = [unpack(r["runs"]).astype(np.int64) for r in told]
     cut_e = np.concatenate(([0], np.cumsum([len(x) for x in runs]))).astype(np.int64)
@@ -235,14 +278,14 @@ def summed(level: int, rows: pa.Table) -> pa.Table:
     if level == 1:
         gid = np.concatenate([np.fromiter((words.setdefault(w, len(words)) for w in r["keys"].split(b"\n")), np.int64) for r in told])
     else:
-        gid = np.unique(np.concatenate([widened(r["keys"], 6) for r in told]), return_inverse=True)[1]
+        gid = distinct(np.concatenate([widened(r["keys"], 6) for r in told]).astype(np.int64))[2]
     size = int(gid.max(initial=-1)) + 1
     runs_ = np.concatenate(runs)
     cut_p = np.concatenate(([0], np.cumsum(runs_)))[cut_e]
     of = np.repeat(gid, runs_)
     nxt = widened(b"".join(r["next"] for r in told), 5)
     n = np.concatenate([np.zeros(0, np.int64), *(unpack(r["n"]).astype(np.int64) for r in told)])
-    order = np.lexsort((nxt, of))
+    order = np.argsort(of << 40 | nxt.astype(np.int64)) if size < 1 << 23 else np.lexsort((nxt, of))
     new = np.ones(len(order), bool)
     new[1:] = (of[order][1:] != of[order][:-1]) | (nxt[order][1:] != nxt[order][:-1])
     group = np.cumsum(new) - 1
@@ -254,16 +297,24 @@ def summed(level: int, rows: pa.Table) -> pa.Table:
     kinds = np.bincount(context, weights=each > 0, minlength=size)
     gain = np.bincount(context, weights=each * np.log(np.maximum(each, 1)), minlength=size)
     if level > 1:
-        gain = gain - np.bincount(gid, weights=np.concatenate([np.frombuffer(r["sums"], np.float32) for r in told]), minlength=size)
+        gain = gain - np.bincount(gid, weights=np.concatenate([unpack(r["sums"]) for r in told]), minlength=size)
+        unsure = np.concatenate([np.unpackbits(unpack(r["split"]), count=len(x)) for r, x in zip(told, runs, strict=True)]).astype(bool) | (runs_ == 0)
+        kept = retained(total, kinds, gain, divergence)[gid]
     plain = sum(total[k] > 0 for w, k in words.items() if not w.startswith(START) and b" " not in w)
     out = []
     for k, r in enumerate(told):
         e, p = slice(cut_e[k], cut_e[k + 1]), slice(cut_p[k], cut_p[k + 1])
         some = gid[e]
-        found = [pack(x.astype(np.uint64)) for x in (total[some], kinds[some])]
-        out.append((r["chunk"], level, r["part"], *found, pack(gain[some] if level > 1 else gain[:0].astype(float)), pack(each[back[p]].astype(np.uint64)), int(plain) if not k else 0, int(total.sum()) if not k else 0))
-    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
-    names = ["of", "level", "part", "total", "kinds", "gain", "n", "words", "tokens"]
+        found = [
+            None if level == 1 else pack(np.packbits(kept[e])),
+            pack(total[some if level == 1 else some[:0]].astype(np.uint64)),
+            pack(kinds[some].astype(np.uint64)),
+            pack(gain[some[:0] if level == 1 else some[unsure[e]]]),
+            pack(each[back[p]].astype(np.uint64)),
+        ]
+        out.append((r["chunk"], level, r["part"], *found, int(plain) if not k else 0, int(total.sum()) if not k else 0))
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+    names = ["of", "level", "part", "kept", "total", "kinds", "gain", "n", "words", "tokens"]
     return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(zip(names, types, strict=True))})
 
 
@@ -282,7 +333,9 @@ class Chunk:
         self.cuts = np.concatenate(([0], np.cumsum(length)))
         self.end, self.start = len(self.words), len(self.words) + 1
         self.symbol = np.full(int(self.cuts[-1]), self.end, np.int64)
-        self.symbol[np.setdiff1d(np.arange(len(self.symbol)), self.cuts[1:] - 1, assume_unique=True)] = ids
+        inside = np.ones(len(self.symbol), bool)
+        inside[self.cuts[1:] - 1] = False
+        self.symbol[inside] = ids
         before = np.concatenate(([self.start], self.symbol[:-1]))
         before[self.cuts[:-1]] = self.start
         self.train = np.repeat(np.array(self.row["train"], bool), length).astype(float)
@@ -310,14 +363,14 @@ class Chunk:
 
         return x.rows(self.row["chunk"], keys)
 
-    def walk(self, answers: dict[int, list[dict]], upto: int) -> np.ndarray:
-        """Take in the answers on contexts of 1 .. ``upto`` symbols and file those that are one longer.
+    def walk(self, answers: dict[int, list[dict]], upto: int, last: bool = False) -> np.ndarray:
+        """Take in the answers on contexts of 1 .. ``upto`` symbols and, unless they are the ``last``, file those one longer.
 
         Returns the natural log of each token's probability in the longest retained state so far.
         """
         kept = None
         for d in range(1, upto + 1):
-            total, kinds, gain, n = self.level.heard(answers.get(d, []))
+            total, kinds, gain, sure, n = self.level.heard(answers.get(d, []))
             if d == 1:
                 total, kinds = (np.concatenate((x, np.zeros(self.start + 1)))[: self.start + 1] for x in (total, kinds))
                 seen = total.copy()
@@ -329,18 +382,21 @@ class Chunk:
                 sums = -self.divergence(total, n)[extra]
             else:
                 size = len(self.names)
-                gain, kinds = (np.concatenate((x, np.zeros(size + len(extra)))) for x in (gain, kinds))
+                gain, kinds, sure = (np.concatenate((x, np.zeros(size + len(extra), x.dtype))) for x in (gain, kinds, sure))
                 if d == 2:  # the sums asked for beside the longer contexts tell which of the shortest are retained
                     keep = np.zeros(self.start + 1, bool)
                     keep[extra] = gain[size : size + len(extra)] >= self.told.divergence * kept[0][extra]
                     settle(scores, keep, *kept[1:])
                 total = self.totals
-                keep = (kinds[:size] > 0) & (gain[:size] - total * np.log(np.maximum(total, 1)) >= self.told.divergence * kinds[:size])
+                keep = np.where(self.shared, retained(total, kinds[:size], gain[:size], self.told.divergence), sure[:size])
                 extra, sums = extra[:0], np.zeros(0)
-            self.lengthen(total, kinds, n)
+            self.smooth(total, kinds, n)
             if d > 1:
                 settle(scores, keep, self.before, self.of, self.chain)
+            if last and d == upto:
+                break
             kept = kinds, self.before, self.of, self.chain
+            self.lengthen(n)
             self.file(mixed(self.hashes[extra] ^ _ODD), sums)
         return scores
 
@@ -351,17 +407,21 @@ class Chunk:
             part = np.where(x.n > 0, x.n * (np.log(n / total[x.context]) - self.chain[self.at[x.first]]), 0.0)
         return np.bincount(x.context, weights=part, minlength=len(total))
 
-    def lengthen(self, total: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> None:
-        """Smooth the level's distributions down to the shorter contexts', and turn to contexts of one symbol more."""
+    def smooth(self, total: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> None:
+        """Smooth the level's distributions down to the shorter contexts'."""
         x, c = self.level, self.level.context
-        here = self.at[x.first]
-        shorter = self.chain[here]
+        shorter = self.chain[self.at[x.first]]
         candidate = total[c] >= self.told.least
         with np.errstate(divide="ignore"):
             smooth = np.where(candidate, np.log((n + kinds[c] * np.exp(shorter)) / np.maximum(total[c] + kinds[c], 1)), shorter)
         self.chain = self.chain.copy()
         self.chain[self.at] = smooth[x.inv]
         self.before, self.of = self.at, c[x.inv]
+
+    def lengthen(self, n: np.ndarray) -> None:
+        """Turn to contexts of one symbol more."""
+        x, c = self.level, self.level.context
+        here = self.at[x.first]
         use = np.flatnonzero((n >= self.told.least) & (self.symbol[here] != self.end))
         place = np.full(len(n), -1)
         place[use] = np.arange(len(use))
@@ -375,15 +435,16 @@ class Chunk:
         """Deal the contexts to parts; ``extra`` are names of contexts whose ``sums`` alone are asked for."""
         share = self.totals / max(1, self.told.tokens)
         salts = np.where(share >= HOT, np.ceil(share * self.told.parts), 1).astype(np.int64)
+        self.shared = salts > 1
         names, salts = np.concatenate((self.names, extra)), np.concatenate((salts, np.ones(len(extra), np.int64)))
         self.level = x = Level.of(self.next, self.symbol[self.at], self.start + 1, self.train[self.at], names, salts, self.hashes, self.told.parts)
         self.sums = np.bincount(x.entry, weights=(x.n * self.chain[self.at[x.first]])[x.order], minlength=len(x.owner)).astype(float)
         asked = x.owner >= len(self.names)
         self.sums[asked] = sums[x.owner[asked] - len(self.names)]
 
-    def rows(self) -> pa.Table:
+    def rows(self, turn: int = 0, turns: int = 1) -> pa.Table:
         x = self.level
-        return x.rows(self.row["chunk"], lambda i, j: narrow(x.names[i:j], 6), self.sums)
+        return x.rows(self.row["chunk"], lambda i, j: narrow(x.names[i:j], 6), self.sums, turn, turns)
 
 
 def settle(scores: np.ndarray, keep: np.ndarray, tokens: np.ndarray, context: np.ndarray, chain: np.ndarray) -> None:
@@ -416,7 +477,7 @@ def score(df: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergenc
     frequent = chunks.select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n"))
     hot = {bytes(r["hot"]): -(-r["n"] * parts // total) for r in frequent.where(F.col("n") >= max(1, HOT * total)).collect()}  # at most 1 / HOT and the start
     told = Told(parts, hot, least=least, divergence=divergence)
-    heard = "of", "level", "part", "total", "kinds", "gain", "n"
+    heard = "of", "level", "part", "kept", "total", "kinds", "gain", "n"
 
     def list_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -424,7 +485,7 @@ def score(df: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergenc
                 yield from Chunk(told, row).first_rows().to_batches()
 
     def sums_of(level: int, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("part").applyInArrow(lambda t: summed(level, t), _HEARD)
+        return rows.groupBy("part").applyInArrow(lambda t: summed(level, t, divergence), _HEARD)
 
     answers = store(sums_of(1, small_batches(chunks).mapInArrow(list_first, _SENT)), "sums")
     seen = answers.agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
@@ -436,22 +497,23 @@ def score(df: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, divergenc
     def cogrouped(f, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(f, schema)
 
-    def lister(known: int):
+    def lister(known: int, turn: int):
         def list_longer(c: pa.Table, a: pa.Table) -> pa.Table:
             chunk = Chunk(told, chunk_rows(c))
             chunk.walk(by_level(a), known)
-            return chunk.rows()
+            return chunk.rows(turn, TURNS)
 
         return list_longer
 
     for d in range(2, depth + 1):
-        found = sums_of(d, cogrouped(lister(d - 1), _SENT)).select(*heard)
-        answers = answers.unionByName(store(found, "sums") if d < depth else found)
+        found = [store(sums_of(d, cogrouped(lister(d - 1, turn), _SENT)).select(*heard), "sums") for turn in range(TURNS)]
+        for x in found:
+            answers = answers.unionByName(x)
 
     def add(c: pa.Table, a: pa.Table) -> pa.Table:
         row = chunk_rows(c)
         chunk = Chunk(told, row)
-        logp = chunk.walk(by_level(a), depth) / np.log(10)
+        logp = chunk.walk(by_level(a), depth, last=True) / np.log(10)
         begins, size = chunk.cuts[:-1], np.diff(chunk.cuts)
         sums = [np.add.reduceat(x, begins) for x in (logp, chunk.base / np.log(10), (chunk.seen > 0).astype(np.int64))]
         return pa.table({"doc_id": pa.array(row["doc_id"], c.schema.field("doc_id").type.value_type), "train": pa.array(row["train"], pa.bool_()), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(size), told.tokens), pa.int64()), "base_score": pa.array(sums[1]), "score": pa.array(sums[0])})

@@ -119,3 +119,40 @@ def test_held_out_texts_teach_nothing(spark):
 def test_contexts_beat_the_base_on_held_out_texts(spark):
     r = st.op1_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r["s"] > 0.95 * r["b"]
+
+
+def test_places_in_order():
+    for key in ([], [5], [3, 1, 3, 0, 1], [2**62, 7, 2**62, 0]):
+        key = np.array(key, np.int64)
+        values, first, inv = st.distinct(key)
+        assert values.tolist() == sorted(set(key.tolist()))
+        assert key[first].tolist() == values.tolist() and values[inv].tolist() == key.tolist()
+
+
+def test_parts_send_sums_only_of_what_they_cannot_tell(spark, sample):
+    df = spark.createDataFrame([(i, t, True) for i, (_, t) in enumerate(sample)], "doc_id long, text string, train boolean").coalesce(1)
+    told = st.Told(4, {}, tokens=sum(len(tokens(t)) + 1 for _, t in sample), kinds=1 + len({w for _, t in sample for w in tokens(t)}))
+    (row,) = [r.asDict() for r in st.chunked(df).collect()]
+
+    def answers(level, rows):
+        return [st.summed(level, rows.slice(k, 1)).to_pylist()[0] for k in range(rows.num_rows)]
+
+    chunk = st.Chunk(told, row)
+    chunk.walk({1: answers(1, chunk.first_rows())}, 1)
+    x, rows = chunk.level, chunk.rows()
+    turns = [chunk.rows(k, 2) for k in range(2)]
+    assert sorted(r["part"] for t in turns for r in t.to_pylist()) == rows["part"].to_pylist() and all(t.num_rows == 2 for t in turns)
+    found = answers(2, rows)
+    alone = np.bincount(x.entry, minlength=len(x.part)) == 0  # contexts of one symbol, of which sums alone are asked for
+    assert 0 < alone.sum() < len(x.part)
+    assert sum(len(st.unpack(r["gain"])) for r in found) == alone.sum()
+    total, kinds, gain, sure, n = x.heard(found)
+    size = len(chunk.names)
+    want = st.retained(chunk.totals, kinds[:size], sums(chunk, x)[:size], told.divergence)
+    assert np.array_equal(sure[:size], want) and 0 < want.sum() < size
+
+
+def sums(chunk, x):
+    """Of each context: the sum of n * (log n - log p of the next symbol in the shorter state), with the sums as sent."""
+    own = np.bincount(x.context, weights=x.n * np.log(np.maximum(x.n, 1)), minlength=int(x.owner.max()) + 1)
+    return own - np.bincount(x.owner, weights=chunk.sums.astype(np.float32), minlength=len(own))
