@@ -140,7 +140,7 @@ def chunked(df: DataFrame) -> DataFrame:
             hot = np.flatnonzero(follows >= max(1, HOT * tokens)).tolist()
             listed = [words[k] for k in hot] + [START]
             counts = [int(follows[k]) for k in hot] + [sum(train)]
-            columns = [[base + made], [zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))], [pack(place[flat])]]
+            columns = [[base + made], [zstandard.ZstdCompressor(level=6).compress(b"\n".join(words))], [pack(place[flat])]]
             docs = [pa.concat_arrays(ids).to_pylist(), train.copy(), length.tolist()]
             types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(ids[0].type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             values = [*columns, *([x] for x in docs), [tokens], [listed], [counts]]
@@ -214,13 +214,16 @@ class Level:
         n = np.bincount(inv, weights=train, minlength=len(key))
         return cls(inv, first, of, n, owner[dealt], salt[dealt], part[dealt], order, entry[order], short[order], named[dealt], salts[owner[dealt]] > 1)
 
-    def rows(self, chunk: int, keys, sums: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> pa.Table:
-        """One row for each part of this turn; ``keys(i, j)`` packs the names of entries i to j."""
+    def rows(self, chunk: int, keys, sums: np.ndarray | None = None, asked: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> pa.Table:
+        """One row for each part of this turn; ``keys(i, j)`` packs the names of entries i to j.
+
+        ``asked`` has the kinds of entries of which only the ``sums`` are listed, else 0.
+        """
         cuts = np.flatnonzero(np.concatenate(([True], self.part[1:] != self.part[:-1], [True]))) if len(self.part) else np.zeros(1, np.int64)
         runs = np.bincount(self.entry, minlength=len(self.part)).astype(np.uint64)
         at = np.concatenate(([0], np.cumsum(runs))).astype(np.int64)
         n = self.n[self.order].astype(np.uint64)
-        out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums", "split")}
+        out: dict[str, list] = {k: [] for k in ("part", "keys", "runs", "next", "n", "sums", "asked", "split")}
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if self.part[i] % turns != turn:
                 continue
@@ -231,32 +234,27 @@ class Level:
             out["next"].append(narrow(self.key40[a:b], 5))
             out["n"].append(pack(n[a:b]))
             out["sums"].append(None if sums is None else pack(sums[i:j].astype(np.float32)))
+            out["asked"].append(None if asked is None else pack(asked[i:j]))
             out["split"].append(None if sums is None else pack(np.packbits(self.split[i:j])))
-        kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary(), "split": pa.binary()}
+        kinds = {"part": pa.int64(), "keys": pa.binary(), "runs": pa.binary(), "next": pa.binary(), "n": pa.binary(), "sums": pa.binary(), "asked": pa.binary(), "split": pa.binary()}
         return pa.table({"chunk": pa.array([chunk] * len(out["part"]), pa.int64()), **{k: pa.array(v, kinds[k]) for k, v in out.items()}})
 
     def heard(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """From parts' answers: of each context how many tokens follow it (of the shortest), how many kinds, its sum (where
-        no part alone knows whether it is retained), and else whether it is; n of each pair."""
+        several parts have a share), and else whether it is retained; n of each pair."""
         answers = sorted(answers, key=lambda r: r["part"])
         contexts, size = int(self.owner.max(initial=-1)) + 1, np.bincount(self.part)
         total, kinds, gain, n = (np.concatenate([np.zeros(0), *(unpack(r[c]).astype(float) for r in answers)]) for c in ("total", "kinds", "gain", "n"))
         kept = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(unpack(r["kept"]), count=int(size[r["part"]])) for r in answers if r["kept"])])
-        unsure = np.flatnonzero(self.unsure) if len(kept) else np.zeros(0, np.int64)
-        kept[unsure] = 0
-        of = [self.owner[: len(total)], self.owner, self.owner[unsure], self.owner[: len(kept)]]
+        shared = np.flatnonzero(self.split) if len(kept) else np.zeros(0, np.int64)
+        of = [self.owner[: len(total)], self.owner, self.owner[shared], self.owner[: len(kept)]]
         total, kinds, gain, kept = (np.bincount(o, weights=x, minlength=contexts) for o, x in zip(of, (total, kinds, gain, kept), strict=True))
         each = np.empty(len(self.order))
         each[self.order] = n
         return total, kinds, gain, kept > 0, each
 
-    @property
-    def unsure(self) -> np.ndarray:
-        """Of each entry: whether its part cannot tell if the context is retained, as it has a share of it or just a sum."""
-        return self.split | (np.bincount(self.entry, minlength=len(self.part)) == 0)
-
 
-_SENT = "chunk long, part long, keys binary, runs binary, next binary, n binary, sums binary, split binary"
+_SENT = "chunk long, part long, keys binary, runs binary, next binary, n binary, sums binary, asked binary, split binary"
 _HEARD = "of long, level int, part long, kept binary, total binary, kinds binary, gain binary, n binary, words long, tokens long"
 
 
@@ -269,7 +267,7 @@ def summed(level: int, rows: pa.Table, divergence: float = DIVERGENCE) -> pa.Tab
     """Of one part: for every row the sums over all rows of what it lists.
 
     Of longer contexts the chunk knows how many tokens follow, so the part tells whether they are retained, and sends sums
-    only of those that it cannot tell this of.
+    only of those that other parts have a share of.
     """
     told = rows.to_pylist()
     runs = [unpack(r["runs"]).astype(np.int64) for r in told]
@@ -298,7 +296,9 @@ def summed(level: int, rows: pa.Table, divergence: float = DIVERGENCE) -> pa.Tab
     gain = np.bincount(context, weights=each * np.log(np.maximum(each, 1)), minlength=size)
     if level > 1:
         gain = gain - np.bincount(gid, weights=np.concatenate([unpack(r["sums"]) for r in told]), minlength=size)
-        unsure = np.concatenate([np.unpackbits(unpack(r["split"]), count=len(x)) for r, x in zip(told, runs, strict=True)]).astype(bool) | (runs_ == 0)
+        asked = np.concatenate([unpack(r["asked"]).astype(np.int64) for r in told])
+        kinds[gid[asked > 0]] = asked[asked > 0]
+        split = np.concatenate([np.unpackbits(unpack(r["split"]), count=len(x)) for r, x in zip(told, runs, strict=True)]).astype(bool)
         kept = retained(total, kinds, gain, divergence)[gid]
     plain = sum(total[k] > 0 for w, k in words.items() if not w.startswith(START) and b" " not in w)
     out = []
@@ -309,7 +309,7 @@ def summed(level: int, rows: pa.Table, divergence: float = DIVERGENCE) -> pa.Tab
             None if level == 1 else pack(np.packbits(kept[e])),
             pack(total[some if level == 1 else some[:0]].astype(np.uint64)),
             pack(kinds[some].astype(np.uint64)),
-            pack(gain[some[:0] if level == 1 else some[unsure[e]]]),
+            pack(gain[some[:0] if level == 1 else some[split[e]]]),
             pack(each[back[p]].astype(np.uint64)),
         ]
         out.append((r["chunk"], level, r["part"], *found, int(plain) if not k else 0, int(total.sum()) if not k else 0))
@@ -383,9 +383,9 @@ class Chunk:
             else:
                 size = len(self.names)
                 gain, kinds, sure = (np.concatenate((x, np.zeros(size + len(extra), x.dtype))) for x in (gain, kinds, sure))
-                if d == 2:  # the sums asked for beside the longer contexts tell which of the shortest are retained
+                if d == 2:  # asked beside the longer contexts: which of the shortest are retained
                     keep = np.zeros(self.start + 1, bool)
-                    keep[extra] = gain[size : size + len(extra)] >= self.told.divergence * kept[0][extra]
+                    keep[extra] = sure[size : size + len(extra)]
                     settle(scores, keep, *kept[1:])
                 total = self.totals
                 keep = np.where(self.shared, retained(total, kinds[:size], gain[:size], self.told.divergence), sure[:size])
@@ -397,7 +397,7 @@ class Chunk:
                 break
             kept = kinds, self.before, self.of, self.chain
             self.lengthen(n)
-            self.file(mixed(self.hashes[extra] ^ _ODD), sums)
+            self.file(mixed(self.hashes[extra] ^ _ODD), sums, kept[0][extra])
         return scores
 
     def divergence(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -431,8 +431,9 @@ class Chunk:
         self.next = follow[follow >= 0]
         self.at = self.at[follow >= 0] + 1  # a token that is not the end has a next one in its text
 
-    def file(self, extra: np.ndarray, sums: np.ndarray) -> None:
-        """Deal the contexts to parts; ``extra`` are names of contexts whose ``sums`` alone are asked for."""
+    def file(self, extra: np.ndarray, sums: np.ndarray, kinds: np.ndarray) -> None:
+        """Deal the contexts to parts; ``extra`` are names of contexts of which, by their ``sums`` and ``kinds``, only
+        whether they are retained is asked."""
         share = self.totals / max(1, self.told.tokens)
         salts = np.where(share >= HOT, np.ceil(share * self.told.parts), 1).astype(np.int64)
         self.shared = salts > 1
@@ -441,10 +442,12 @@ class Chunk:
         self.sums = np.bincount(x.entry, weights=(x.n * self.chain[self.at[x.first]])[x.order], minlength=len(x.owner)).astype(float)
         asked = x.owner >= len(self.names)
         self.sums[asked] = sums[x.owner[asked] - len(self.names)]
+        self.asked = np.zeros(len(x.owner), np.uint64)
+        self.asked[asked] = kinds[x.owner[asked] - len(self.names)]
 
     def rows(self, turn: int = 0, turns: int = 1) -> pa.Table:
         x = self.level
-        return x.rows(self.row["chunk"], lambda i, j: narrow(x.names[i:j], 6), self.sums, turn, turns)
+        return x.rows(self.row["chunk"], lambda i, j: narrow(x.names[i:j], 6), self.sums, self.asked, turn, turns)
 
 
 def settle(scores: np.ndarray, keep: np.ndarray, tokens: np.ndarray, context: np.ndarray, chain: np.ndarray) -> None:
